@@ -23,6 +23,33 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ballot.llm.quality_pu import quality_scores
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_scores(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ballot.llm.secrets import secret_spans
+
+    found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ballot.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ballot.llm.pii import pii_spans
+
+    found = pii_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ballot.llm.quality_rules import FIXED, quality_rules
 
@@ -30,6 +57,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, table(spark, sf_dir, "labels")).select("doc_id", *FIXED, "base_failed", "kept")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ballot.llm.decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ballot.llm.packing import pack
 
