@@ -40,7 +40,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ballot.llm.toxicity import toxicity_scores
 
-    return toxicity_scores(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "held_out", "score", "predicted")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_scores(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Toxicity by weak supervision.
 
-Voters, each a word list or a pattern, fire or abstain on a text. All rows outside the held-out fold are
-counted by which voters fired: at most 2^VOTERS rows reach the driver, whatever the corpus. A generative
-label model, fitted by expectation and maximisation, has for either class a firing rate for every voter
-and an interaction for the pairs of voters that fire together more often than the class explains. Its
-posterior labels a bounded sample of texts, weighted back to the corpus, on which a sparse linear
-classifier over words and voters is trained. Label columns are not needed and not read.
+Voters, each a word list or a pattern, fire or abstain on a text; some of the lists are mined from labelled
+rows: words of which an excess in toxic rows is more than chance explains. All rows outside the held-out fold are
+counted by which voters fired and by their label, if any: at most 3 * 2^VOTERS rows reach the driver,
+whatever the corpus. A generative label model, fitted by expectation and maximisation with the known
+labels held fast, has for either class a firing rate for every voter and an interaction for the pairs of
+voters that fire together more often than the class explains. Its posterior labels a bounded sample of
+texts, weighted back to the corpus, on which a sparse linear classifier over words and voters is trained.
+Labels are optional; without any the voters' agreement alone decides.
 
 Defined results: a null text is empty; no voter fires on it, and it gets the score of a text without
 known words; equal texts get equal scores. Without a text on which a voter fires, words have no weight.
@@ -13,9 +15,10 @@ known words; equal texts get equal scores. Without a text on which a voter fires
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,45 +31,40 @@ from ballot.llm.common import held_out, map_text, share
 FIRED, SILENT = 4000, 6000  # sampled texts, about
 THRESHOLD = 0.5
 
-# Word lists, one voter each.
+# Word lists, one voter each; without words that are everyday ones in another of the languages.
 LEXICONS = {
-    "wits": "idiot idiots idiotic moron morons moronic stupid stupidity imbecile imbeciles dumb dumbass dimwit halfwit cretin retard retarded brainless dunce",
-    "worth": "worthless loser losers pathetic useless failure nobody parasite parasites vermin leech",
-    "filth": "trash scum filth filthy garbage dirtbag scumbag scumbags lowlife maggot maggots swine",
-    "disgust": "disgusting disgrace repulsive revolting vile sickening hideous ugly creep creepy",
-    "ridicule": "clown clowns joke buffoon fool fools foolish laughable ridiculous crybaby snowflake",
+    "wits": "idiot idiots idiotic moron morons moronic stupid stupidity imbecile imbeciles dumb dumbass dimwit halfwit cretin brainless dunce",
+    "worth": "worthless loser losers pathetic useless parasite parasites vermin leech crybaby",
+    "filth": "trash scum filth filthy garbage dirtbag scumbag scumbags lowlife maggot maggots disgusting disgrace repulsive revolting sickening hideous",
+    "ridicule": "clown clowns buffoon fool fools foolish laughable ridiculous creep creepy",
     "vulgar": "shit shitty bullshit fuck fucking fucker bitch bastard bastards asshole assholes crap piss dickhead prick wanker slut whore",
-    "threat": "kill murder strangle hang die exterminate destroy hurt burn rape threaten",
-    "german": "idioten dummkopf vollidiot arschloch scheisse scheiße dreck abschaum wichser hurensohn schlampe trottel versager missgeburt",
-    "french": "idiote connard connasse salaud salope merde imbécile crétin abruti ordure enculé pute minable",
-    "spanish": "estúpido estúpida imbécil pendejo cabrón mierda gilipollas basura escoria puta inútil asqueroso",
+    "foreign": "dummkopf vollidiot arschloch scheisse scheiße abschaum wichser hurensohn schlampe trottel missgeburt connard connasse salaud salope merde crétin abruti ordure enculé minable estúpido estúpida imbécil pendejo cabrón mierda gilipollas basura asqueroso",
 }
-# Patterns, one voter each.
-PATTERNS = {
-    "address": r"\byou(?:'re| are|r)?\s+(?:a |an |such a |all |so |just a )?(?:idiot|moron|stupid|loser|trash|scum|pathetic|worthless|disgusting|clown|dumb|fool|ugly)",
-    "command": r"\b(?:shut up|go to hell|get lost|drop dead|kill yourself|screw you|hate you|piss off)\b",
-}
-VOTERS = [*LEXICONS, *PATTERNS]
+# Patterns, together one voter.
+PATTERNS = r"\byou(?:'re| are|r)?\s+(?:a |an |such a |all |so |just a )?(?:idiot|moron|stupid|loser|trash|scum|pathetic|worthless|disgusting|clown|dumb|fool|ugly)|\b(?:shut up|go to hell|get lost|drop dead|kill yourself|screw you|hate you|piss off)\b"
+MINED = 5  # voters over words mined from labelled rows, the most telling first
+VOTERS = [*LEXICONS, "pattern", *(f"mined{k}" for k in range(MINED))]
+UNLABELLED = 0.1  # weight of an unlabelled row beside a labelled one, so that the many don't redefine the classes
+LABELLED = 20_000  # labelled rows, about, that words are mined from
 LEET = str.maketrans("013457@$!", "oieastasi")
 PUNCTUATION = re.compile(r"[^\w'@$!]+|_+")
 
 
 def words(text: str | None) -> set[str]:
-    return set(PUNCTUATION.sub(" ", (text or "").lower()).split())
+    return {w.strip("'@$!") for w in PUNCTUATION.sub(" ", (text or "").lower()).split()} - {""}
 
 
-@dataclass
 class Voters:
-    of_word: dict[str, int] = field(default_factory=lambda: Counter())
-    patterns: list[tuple[int, re.Pattern]] = field(default_factory=list)
+    """mined: further words, the most telling first, dealt to the mined voters by rank."""
 
-    def __post_init__(self):
-        for k, name in enumerate(VOTERS):
-            if name in LEXICONS:
-                for w in LEXICONS[name].split():
-                    self.of_word[w] |= 1 << k
-            else:
-                self.patterns.append((1 << k, re.compile(PATTERNS[name])))
+    def __init__(self, mined: list[str]):
+        self.of_word: dict[str, int] = {}
+        for k, name in enumerate(LEXICONS):
+            for w in LEXICONS[name].split():
+                self.of_word[w] = 1 << k
+        for k, w in enumerate(mined):
+            self.of_word.setdefault(w, 1 << len(LEXICONS) + 1 + k * MINED // len(mined))
+        self.pattern = re.compile(PATTERNS)
 
     def mask(self, text: str | None, own: set[str]) -> int:
         out = 0
@@ -74,35 +72,37 @@ class Voters:
             out |= self.of_word[w]
         for w in own:
             if not w.isalpha():  # digits and signs for letters
-                plain = w.strip("!'").translate(LEET)
-                if plain in self.of_word and plain.isalpha():
-                    out |= self.of_word[plain]
-        low = None
-        for bit, p in self.patterns:
-            if "you" in own or "shut" in own or "go" in own or "get" in own or "drop" in own or "piss" in own:
-                low = (text or "").lower() if low is None else low
-                if p.search(low):
-                    out |= bit
+                plain = w.translate(LEET)
+                if plain.isalpha():
+                    out |= self.of_word.get(plain, 0)
+        if ("you" in own or own & {"up", "hell", "lost", "dead", "yourself", "off"}) and self.pattern.search((text or "").lower()):
+            out |= 1 << len(LEXICONS)
         return out
 
 
+def telling(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> list[str]:
+    """Words of (word, toxic rows, all rows) whose excess in toxic rows no chance among so many words explains."""
+    mean = toxic / max(1, toxic + clean)
+    chance = math.sqrt(2 * math.log(max(3, len(counts))))
+    score = {w: (t - n * mean) / math.sqrt(n * mean * (1 - mean) + 1e-9) for w, t, n in counts if 2 * t > n}
+    return sorted((w for w in score if score[w] > chance), key=lambda w: (-score[w], w))
+
+
 def bits(masks: np.ndarray) -> np.ndarray:
     return (masks[:, None] >> np.arange(len(VOTERS)) & 1).astype(float)
 
 
 @dataclass
 class LabelModel:
-    """For either class, an exponential family over which voters fire: a weight a voter and a weight a chosen pair."""
+    """For either class the probability of every set of voters to fire: the flattest that has the class's rates and pairs."""
 
     prior: float
     pairs: list[tuple[int, int]]
-    weights: np.ndarray  # [class, voters + pairs]
-    log_norm: np.ndarray
+    log_p: np.ndarray  # [class, pattern]
 
     def posterior(self, masks: np.ndarray) -> np.ndarray:
-        x = design(masks, self.pairs)
-        z = x @ self.weights.T - self.log_norm + np.log([1 - self.prior, self.prior])
-        return 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -60, 60)))
+        z = self.log_p[:, masks] + np.log([1 - self.prior, self.prior])[:, None]
+        return 1 / (1 + np.exp(np.clip(z[0] - z[1], -60, 60)))
 
 
 def design(masks: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
@@ -110,17 +110,28 @@ def design(masks: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
     return np.hstack([b, *[(b[:, i] * b[:, j])[:, None] for i, j in pairs]])
 
 
-def fit(masks: np.ndarray, counts: np.ndarray, prior: float = 0.05, rounds: int = 60, most_pairs: int = 6) -> LabelModel:
-    """The label model of the patterns seen and their counts, by expectation and maximisation."""
+def flattest(features: np.ndarray, target: np.ndarray, sweeps: int = 30) -> np.ndarray:
+    """Log probabilities of all patterns with the given feature means, by iterative proportional fitting."""
+    p = np.full(len(features), 1 / len(features))
+    on = features > 0
+    for _ in range(sweeps):
+        for k, t in enumerate(target):
+            mean = p[on[:, k]].sum()
+            p = p * np.where(on[:, k], t / mean, (1 - t) / (1 - mean))
+    return np.log(np.maximum(p, 1e-300))
+
+
+def fit(masks: np.ndarray, counts: np.ndarray, known: np.ndarray, prior: float = 0.05, rounds: int = 60, most_pairs: int = 6) -> LabelModel:
+    """The label model of the patterns seen, their counts and labels (-1: none), by expectation and maximisation."""
     m = len(VOTERS)
     every = np.arange(1 << m)
-    counts = counts.astype(float)
+    counts = counts * np.where((known < 0) & (known.max() >= 0), UNLABELLED, 1.0)
     b = bits(masks)
     rate = np.array([np.full(m, 1e-3), np.full(m, 0.2)])
     pi = prior
     for _ in range(rounds):  # voters independent given the class
         ll = b @ np.log(rate).T + (1 - b) @ np.log(1 - rate).T + np.log([1 - pi, pi])
-        post = 1 / (1 + np.exp(np.clip(ll[:, 0] - ll[:, 1], -60, 60)))
+        post = np.where(known < 0, 1 / (1 + np.exp(np.clip(ll[:, 0] - ll[:, 1], -60, 60))), known)
         for k, w in enumerate((counts * (1 - post), counts * post)):
             # The toxic class keeps a rate over the other's, so that the classes cannot change places.
             rate[k] = (w @ b + (0.05 if k else 0.001)) / (w.sum() + 1)
@@ -134,24 +145,19 @@ def fit(masks: np.ndarray, counts: np.ndarray, prior: float = 0.05, rounds: int
     order = np.dstack(np.unravel_index(np.argsort(-excess, axis=None), excess.shape))[0]
     pairs = [(int(i), int(j)) for i, j in order[:most_pairs] if excess[i, j] > 4]
     xe, x = design(every, pairs), design(masks, pairs)
-    weights = np.hstack([np.log(rate / (1 - rate)), np.zeros((2, len(pairs)))])
-    norm = np.zeros(2)
-    for _ in range(12 if pairs else 1):
-        for k in (0, 1):
-            z = xe @ weights[k]
-            norm[k] = z.max() + np.log(np.exp(z - z.max()).sum())
-        model = LabelModel(pi, pairs, weights.copy(), norm.copy())
-        post = model.posterior(masks)
-        pi = float(np.clip((counts * post).sum() / counts.sum(), 1e-4, 0.5))
-        for k, w in enumerate((counts * (1 - post), counts * post)):
-            if not pairs or w.sum() < 1:
-                continue
-            target = w @ x / w.sum()
-            for _ in range(25):  # raises the likelihood of what this class is expected to fire
-                z = xe @ weights[k]
-                p = np.exp(z - z.max())
-                mean = (p / p.sum()) @ xe
-                weights[k] += np.clip(0.5 * (target - mean) / np.maximum(mean * (1 - mean), 1e-3), -0.5, 0.5) - 1e-4 * weights[k]
+    for _ in range(15):
+        given = [counts * (1 - post), counts * post]
+        pi = float(np.clip(given[1].sum() / counts.sum(), 1e-4, 0.5))
+        log_p = []
+        for k, w in enumerate(given):
+            rate = np.clip((w @ x[:, :m] + (0.05 if k else 0.001)) / (w.sum() + 1), 1e-7, 1 - 1e-7)
+            alone = np.array([rate[i] * rate[j] for i, j in pairs])
+            # Pairs are drawn to what independent voters would give, by the weight of ten rows.
+            both = (w @ x[:, m:] + 10 * alone) / (w.sum() + 10)
+            most = np.array([min(rate[i], rate[j]) for i, j in pairs])
+            log_p.append(flattest(xe, np.r_[rate, np.minimum(both, 0.999 * most)]))
+        model = LabelModel(pi, pairs, np.array(log_p))
+        post = np.where(known < 0, model.posterior(masks), known)
     return model
 
 
@@ -166,39 +172,42 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(rows: list[tuple[list[str], int, float, float]], least: int = 8, steps: int = 400, penalty: float = 2e-3) -> Classifier:
-    """A sparse logistic model of (words, fired voters, posterior, weight) rows, by proximal gradient steps."""
-    seen = Counter(w for own, *_ in rows for w in own)
-    names = sorted(w for w, n in seen.items() if n >= least)
+def train(rows: list[tuple[list[str], int, float, float]], least: int = 8, most: int = 400, steps: int = 600, penalty: float = 4e-4) -> Classifier:
+    """A sparse logistic model of (words, fired voters, posterior, weight) rows, by proximal gradient steps.
+
+    Of the words in `least` rows or more, the `most` that tell the classes apart best take part.
+    """
+    seen: Counter = Counter()
+    toxic: Counter = Counter()
+    for own, _, y, _ in rows:
+        seen.update(own)
+        for w in own:
+            toxic[w] += y
+    mean = sum(r[2] for r in rows) / max(1, len(rows))
+    apart = {w: abs(toxic[w] - n * mean) / (n * mean * (1 - mean) + 1) ** 0.5 for w, n in seen.items() if n >= least}
+    names = sorted(sorted(apart, key=lambda w: (-apart[w], w))[:most])
     number = {w: i for i, w in enumerate(names)}
     width = len(names) + len(VOTERS)
     pairs = [(i, number[w]) for i, (own, *_) in enumerate(rows) for w in own if w in number]
     pairs += [(i, len(names) + k) for i, (_, mask, *_) in enumerate(rows) for k in range(len(VOTERS)) if mask >> k & 1]
     at = np.array(pairs, np.int64).reshape(-1, 2)
     y, weight = (np.array([r[k] for r in rows]) for k in (2, 3))
-    # Classes weigh the same in training; the bias is moved back afterwards.
-    up = max((weight * y).sum(), 1e-9), max((weight * (1 - y)).sum(), 1e-9)
-    balance = weight * (y / up[0] + (1 - y) / up[1]) / 2
-    mean = np.bincount(at[:, 1], balance[at[:, 0]], width)
-    w, bias = np.zeros(width), 0.0
+    weight = weight / max(weight.sum(), 1e-9)
+    # Steps fit to each feature's curvature, which rare ones have little of.
+    curve = np.maximum(np.bincount(at[:, 1], weight[at[:, 0]], width), 1e-4) / 4
+    w, bias = np.zeros(width), float(np.log((weight @ y + 1e-6) / (weight @ (1 - y) + 1e-6)))
     for _ in range(steps):
         z = np.bincount(at[:, 0], w[at[:, 1]], len(rows)) + bias
-        r = balance * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y_balanced(y, up))
-        w -= 1.0 * np.bincount(at[:, 1], r[at[:, 0]], width) / np.maximum(mean, 0.02)
-        w = np.sign(w) * np.maximum(np.abs(w) - penalty / np.maximum(mean, 0.02), 0)
-        bias -= r.sum()
-    bias += np.log(up[0] / up[1]) / 2  # halfway between the balanced and the corpus odds
+        r = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
+        new = w - 0.3 * np.bincount(at[:, 1], r[at[:, 0]], width) / curve
+        w = np.sign(new) * np.maximum(np.abs(new) - 0.3 * penalty / curve, 0)
+        bias -= 2 * r.sum()
     return Classifier({n: float(v) for n, v in zip(names, w, strict=False) if v}, w[len(names) :], float(bias))
 
 
-def y_balanced(y: np.ndarray, up: tuple[float, float]) -> np.ndarray:
-    """Posteriors under equal class weights."""
-    return (y / up[0]) / (y / up[0] + (1 - y) / up[1])
-
-
-def votes(docs: DataFrame, id_column: str, text: str, with_words: bool) -> DataFrame:
+def votes(docs: DataFrame, mined: list[str], id_column: str, text: str, with_words: bool) -> DataFrame:
     def make():
-        voters = Voters()
+        voters = Voters(mined)
 
         def run(texts):
             own = [words(t) for t in texts]
@@ -207,38 +216,64 @@ def votes(docs: DataFrame, id_column: str, text: str, with_words: bool) -> DataF
 
         return run
 
-    added = [("mask", T.LongType(), pa.int64()), ("words", T.ArrayType(T.StringType()), pa.list_(pa.string()))]
-    return map_text(docs, text, added if with_words else added[:1], make, keep=[id_column])
+    return map_text(docs, text, [("mask", T.LongType(), pa.int64()), WORDS] if with_words else [("mask", T.LongType(), pa.int64())], make, keep=[id_column])
+
+
+WORDS = ("words", T.ArrayType(T.StringType()), pa.list_(pa.string()))
+
+
+def mine(rows: DataFrame, known: DataFrame) -> list[str]:
+    """Words telling toxic rows apart, from about LABELLED labelled rows; rows: (id, text), known: (__id, known)."""
+    total = {r.known: r["count"] for r in known.groupBy("known").count().collect()}
+    if set(total) != {0, 1}:
+        return []
+    some = known.filter(share(F.col("__id"), sum(total.values()), LABELLED, 5))
+    picked = rows.join(F.broadcast(some), F.col("id") == F.col("__id")).select("known", "text")
+    split = map_text(picked, "text", [WORDS], lambda: lambda texts: [[sorted(words(t)) for t in texts]], keep=["known"])
+    sums = split.select("known", F.explode("words").alias("word")).groupBy("word").agg(F.sum("known").alias("t"), F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    words_seen = sums.count()
+    likely = sums.filter("2 * t > n").orderBy(F.desc("t"), "word").limit(5000).collect()
+    counts = [(r.word, int(r.t), int(r.n)) for r in likely] + [("", 0, 1)] * (words_seen - len(likely))
+    return telling(counts, total[1], total[0])
 
 
-def toxicity_model(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Classifier:
+def toxicity_model(docs: DataFrame, labels: DataFrame | None = None, id_column: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str], Classifier]:
+    """The mined words and the classifier."""
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text")).filter(~held_out("id"))
-    found = votes(rows, "id", "text", False).groupBy("mask").count().collect()
-    masks = np.array([r["mask"] for r in found], np.int64)
-    counts = np.array([r["count"] for r in found], np.int64)
+    mined: list[str] = []
+    if labels is not None:
+        known = labels.select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("known")).filter("known IN (0, 1)").filter(~held_out("__id")).groupBy("__id").agg(F.max("known").alias("known"))
+        mined = mine(rows, known)
+    marked = votes(rows, mined, "id", "text", False)
+    if labels is None:
+        marked = marked.withColumn("known", F.lit(-1))
+    else:
+        marked = marked.join(known, F.col("id") == F.col("__id"), "left").select("mask", F.coalesce("known", F.lit(-1)).alias("known"))
+    found = marked.groupBy("mask", "known").count().collect()
+    masks, given, counts = (np.array([r[c] for r in found], np.int64) for c in ("mask", "known", "count"))
     if not len(masks):
-        return Classifier({}, np.zeros(len(VOTERS)), -2.0)
-    model = fit(masks, counts)
+        return mined, Classifier({}, np.zeros(len(VOTERS)), -2.0)
+    model = fit(masks, counts, given)
     fired, silent = int(counts[masks > 0].sum()), int(counts[masks == 0].sum())
     # The sample is chosen by id before texts are split; whether voters fire is known only afterwards.
     wide = share(F.col("id"), max(fired, 1), FIRED, 3)
     narrow = share(F.col("id"), max(silent, 1), SILENT, 4)
-    some = votes(rows.select("id", "text", wide.alias("wide"), narrow.alias("narrow")).filter("wide OR narrow").select(F.struct("id", "wide", "narrow").alias("at"), "text"), "at", "text", True)
+    some = votes(rows.select("id", "text", wide.alias("wide"), narrow.alias("narrow")).filter("wide OR narrow").select(F.struct("id", "wide", "narrow").alias("at"), "text"), mined, "at", "text", True)
     got = some.filter(F.when(F.col("mask") != 0, F.col("at.wide")).otherwise(F.col("at.narrow"))).select("at.id", "mask", "words").collect()
     got.sort(key=lambda r: (r.id is None, r.id))
     post = model.posterior(np.array([r.mask for r in got], np.int64)) if got else []
     n_fired = sum(r.mask != 0 for r in got)
     scale = fired / max(1, n_fired), silent / max(1, len(got) - n_fired)
-    return train([(r.words, r.mask, float(p), scale[0] if r.mask else scale[1]) for r, p in zip(got, post, strict=True)])
+    return mined, train([(r.words, r.mask, float(p), scale[0] if r.mask else scale[1]) for r, p in zip(got, post, strict=True)])
 
 
-def toxicity_scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame | None = None, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with held_out, score and predicted."""
-    model = docs.sparkSession.sparkContext.broadcast(toxicity_model(docs, id_column, text))
+    model = docs.sparkSession.sparkContext.broadcast(toxicity_model(docs, labels, id_column, text))
 
     def make():
-        voters = Voters()
-        classifier = model.value
+        mined, classifier = model.value
+        voters = Voters(mined)
 
         def run(texts):
             scores = []
