@@ -64,6 +64,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ballot.llm.html_extract import main_text
+
+    return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ballot.llm.packing import pack
 
