@@ -1,0 +1,26 @@
+"""Ranks within groups, for groups of any size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def group_ranks(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+    """df with `rank`, from 1, in each group.
+
+    While no group has more than `most` rows a window ranks them. Beyond that all rows are range-sorted by
+    keys and order: each range ranks its own rows, and the ranges' counts before it, a record for each range
+    and group, are added; so no group has to fit one task.
+    """
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= most:
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    ranged = df.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id())
+    ranged = ranged.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ranged.persist()
+    counts = ranged.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    own = F.row_number().over(Window.partitionBy("__range", *keys).orderBy(*order))
+    ranked = ranged.withColumn("__own", own).join(F.broadcast(before), [*keys, "__range"])
+    return ranked.withColumn("rank", F.col("__own") + F.col("__before")).drop("__own", "__before", "__range")
