@@ -178,17 +178,14 @@ def node_samples(train: DataFrame, knn: DataFrame, forest: Forest, level: int, s
     return some.join(train.select("train_id", "vec"), "train_id").join(knn.select("train_id", F.array_distinct("labels").alias("labels")), "train_id")
 
 
-def entropy_sums(labels: list[list[int]]) -> np.ndarray:
-    """Sum of v log2 v over the labels' counts v, after each row of a sequence."""
-    counts: dict[int, int] = {}
-    out, total = np.zeros(len(labels)), 0.0
-    for i, own in enumerate(labels):
-        for x in own:
-            v = counts.get(x, 0)
-            counts[x] = v + 1
-            total += (v + 1) * np.log2(v + 1) - (v * np.log2(v) if v else 0.0)
-        out[i] = total
-    return out
+def entropy_sums(row: np.ndarray, label: np.ndarray, n: int) -> np.ndarray:
+    """Sum of v log2 v over the labels' counts v, after each of n rows; row and label list the rows' labels."""
+    order = np.lexsort((row, label))
+    own = label[order]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    v = np.arange(len(own)) - np.repeat(first, np.diff(np.r_[first, len(own)])) + 1.0  # the label's count with this row
+    grown = v * np.log2(v) - np.where(v > 1, (v - 1) * np.log2(np.maximum(v - 1, 1)), 0.0)
+    return np.cumsum(np.bincount(row[order], grown, n))
 
 
 def gains(key: np.ndarray, labels: list[list[int]]) -> list[tuple[int, float, float]]:
@@ -197,16 +194,14 @@ def gains(key: np.ndarray, labels: list[list[int]]) -> list[tuple[int, float, fl
     The impurity of s rows is k log2 s - (1/s) sum v log2 v: k labels a row, v rows with a label.
     """
     n, k = len(key), sum(map(len, labels)) / max(1, len(labels))
-    ahead, behind = entropy_sums(labels), entropy_sums(labels[::-1])[::-1]
-    base = k * np.log2(n) - ahead[-1] / n
-    out = []
-    for i in range(n - 1):
-        if key[i] != key[i + 1]:
-            a, b = i + 1, n - i - 1
-            left = k * np.log2(a) - ahead[i] / a
-            right = k * np.log2(b) - behind[i + 1] / b
-            out.append((i, float(base - (a / n * left + b / n * right)), float((key[i] + key[i + 1]) / 2)))
-    return out
+    row = np.repeat(np.arange(n), [len(x) for x in labels])
+    flat = np.concatenate([np.asarray(x, np.int64) for x in labels])
+    ahead, behind = entropy_sums(row, flat, n), entropy_sums(n - 1 - row, flat, n)[::-1]
+    i = np.flatnonzero(key[:-1] != key[1:])
+    a, b = i + 1.0, n - i - 1.0
+    left, right = k * np.log2(a) - ahead[i] / a, k * np.log2(b) - behind[i + 1] / b
+    gain = k * np.log2(n) - ahead[-1] / n - (a / n * left + b / n * right)
+    return list(zip(i.tolist(), gain.tolist(), ((key[i] + key[i + 1]) / 2).tolist(), strict=True))
 
 
 def best_split(x: np.ndarray, labels: list[list[int]], dims: list[int], tolerance: float = TOLERANCE) -> tuple[int, float] | None:
