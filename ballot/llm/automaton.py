@@ -232,13 +232,14 @@ class Automaton:
             todo = np.flatnonzero(right != begin)
             begin = right
         out = np.zeros(len(texts), np.int64)
-        at = np.flatnonzero(found.ravel())
-        if len(at):
+        row, stretch = np.nonzero(found)
+        if len(row):
+            first = row * lane + stretch * 64
             length = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
             stop = np.cumsum(length)
             # A stretch may touch several texts; an exact check of each follows, so all of them are marked.
-            lo = np.searchsorted(stop, at * 64, side="right")
-            hi = np.searchsorted(stop, at * 64 + 63, side="right")
-            for a, b, m in zip(lo, hi, found.ravel()[at], strict=True):
+            lo = np.searchsorted(stop, first, side="right")
+            hi = np.searchsorted(stop, np.minimum(first + 63, (row + 1) * lane - 1), side="right")
+            for a, b, m in zip(lo, hi, found[row, stretch], strict=True):
                 out[a : b + 1] |= m
         return out

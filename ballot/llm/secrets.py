@@ -85,7 +85,7 @@ def secret_spans(docs: DataFrame, text: str = "text") -> DataFrame:
             counts = {k: [0] * n for k in BASE}
             digest, spans = [nothing] * n, [""] * n
             for i in np.flatnonzero(masks):
-                t = texts[i].decode()
+                t = (texts[i] or b"").decode()
                 found = [(k, *s) for b, k in enumerate(KINDS) if masks[i] >> b & 1 for s in spans_of(k, t, patterns)]
                 base = [x for x in found if x[0] in BASE]
                 for k, *_ in base:
