@@ -148,9 +148,14 @@ def learn(rows: list[dict], features: list[str] | None = None, precision: float
     left = rows
     while len(out) < most and count(left)[0] > 2:
         growing, pruning = [r for r in left if r["fold"]], [r for r in left if not r["fold"]]
-        rule = prune(grow(growing, features, longest), pruning)
-        p, n = count([r for r in left if covers(rule, r)]) if rule else (0, 0)
-        if p < 3 or p < precision * (p + n):
+        whole = grow(growing, features, longest)
+        shortest = len(prune(whole, pruning))
+        for k in range(shortest, len(whole) + 1):  # conditions pruned too much come back
+            rule = whole[:k]
+            p, n = count([r for r in left if covers(rule, r)]) if rule else (0, 0)
+            if p >= 3 and p >= precision * (p + n):
+                break
+        else:
             break
         out.append(rule)
         left = [r for r in left if not covers(rule, r)]
