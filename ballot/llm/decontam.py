@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ballot.llm.common import pieces
 
@@ -176,6 +177,8 @@ def find(docs: DataFrame, block: list[tuple[object, str | None]], item_type: T.D
     src = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     schema = T.StructType([T.StructField("id", src.schema[0].dataType), T.StructField("item", item_type), *[T.StructField(n, T.LongType()) for n in ("item_tokens", "covered_tokens", "n_tiles", "longest_tile")], T.StructField("coverage", T.DoubleType())])
 
+    item_kind = to_arrow_type(item_type)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = shared.value
         for b in batches:
@@ -186,7 +189,7 @@ def find(docs: DataFrame, block: list[tuple[object, str | None]], item_type: T.D
                     out.append((r, seeds.names[item], n, total, len(tiles), max(x[2] for x in tiles), total / n))
                 if out:
                     row, name, *rest = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(name), *(pa.array(x, pa.int64()) for x in rest[:-1]), pa.array(rest[-1], pa.float64())], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(name, item_kind), *(pa.array(x, pa.int64()) for x in rest[:-1]), pa.array(rest[-1], pa.float64())], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
