@@ -172,20 +172,10 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(rows: list[tuple[list[str], int, float, float]], least: int = 8, most: int = 400, steps: int = 600, penalty: float = 4e-4) -> Classifier:
-    """A sparse logistic model of (words, fired voters, posterior, weight) rows, by proximal gradient steps.
-
-    Of the words in `least` rows or more, the `most` that tell the classes apart best take part.
-    """
-    seen: Counter = Counter()
-    toxic: Counter = Counter()
-    for own, _, y, _ in rows:
-        seen.update(own)
-        for w in own:
-            toxic[w] += y
-    mean = sum(r[2] for r in rows) / max(1, len(rows))
-    apart = {w: abs(toxic[w] - n * mean) / (n * mean * (1 - mean) + 1) ** 0.5 for w, n in seen.items() if n >= least}
-    names = sorted(sorted(apart, key=lambda w: (-apart[w], w))[:most])
+def train(rows: list[tuple[list[str], int, float, float]], names: list[str], steps: int = 600, penalty: float = 4e-4) -> Classifier:
+    """A sparse logistic model of (words, fired voters, posterior, weight) rows, by proximal gradient steps; names: words it may use."""
+    if not rows:
+        return Classifier({}, np.zeros(len(VOTERS)), -2.0)
     number = {w: i for i, w in enumerate(names)}
     width = len(names) + len(VOTERS)
     pairs = [(i, number[w]) for i, (own, *_) in enumerate(rows) for w in own if w in number]
@@ -239,6 +229,7 @@ def mine(rows: DataFrame, known: DataFrame) -> list[str]:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame | None = None, id_column: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str], Classifier]:
     """The mined words and the classifier."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text")).filter(~held_out("id"))
     mined: list[str] = []
     if labels is not None:
@@ -259,12 +250,23 @@ def toxicity_model(docs: DataFrame, labels: DataFrame | None = None, id_column:
     wide = share(F.col("id"), max(fired, 1), FIRED, 3)
     narrow = share(F.col("id"), max(silent, 1), SILENT, 4)
     some = votes(rows.select("id", "text", wide.alias("wide"), narrow.alias("narrow")).filter("wide OR narrow").select(F.struct("id", "wide", "narrow").alias("at"), "text"), mined, "at", "text", True)
-    got = some.filter(F.when(F.col("mask") != 0, F.col("at.wide")).otherwise(F.col("at.narrow"))).select("at.id", "mask", "words").collect()
-    got.sort(key=lambda r: (r.id is None, r.id))
-    post = model.posterior(np.array([r.mask for r in got], np.int64)) if got else []
+    post = spark.createDataFrame([(int(m), float(p)) for m, p in zip(masks, model.posterior(masks), strict=True)], "mask long, post double").dropDuplicates(["mask"])
+    some = some.filter(F.when(F.col("mask") != 0, F.col("at.wide")).otherwise(F.col("at.narrow"))).join(F.broadcast(post), "mask").select("at.id", "mask", "post", "words")
+    names = apart(some)
+    own = F.array_intersect("words", F.lit(names).cast("array<string>"))
+    got = some.select("id", "mask", "post", own.alias("words")).collect()
+    got.sort(key=lambda r: (r.id is None, r.id, r.mask))
     n_fired = sum(r.mask != 0 for r in got)
     scale = fired / max(1, n_fired), silent / max(1, len(got) - n_fired)
-    return mined, train([(r.words, r.mask, float(p), scale[0] if r.mask else scale[1]) for r, p in zip(got, post, strict=True)])
+    return mined, train([(r.words, r.mask, r.post, scale[0] if r.mask else scale[1]) for r in got], names)
+
+
+def apart(some: DataFrame, least: int = 8, most: int = 400) -> list[str]:
+    """Of the words in `least` sampled rows or more the `most` that tell posteriors apart best."""
+    total = some.agg(F.avg("post")).first()[0] or 0.0
+    sums = some.select("post", F.explode("words").alias("word")).groupBy("word").agg(F.sum("post").alias("t"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    far = F.round(F.abs(F.col("t") - F.col("n") * total) / F.sqrt(F.col("n") * (total * (1 - total)) + 1), 6)
+    return sorted(r.word for r in sums.orderBy(far.desc(), "word").limit(most).collect())
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame | None = None, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
