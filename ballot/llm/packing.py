@@ -1,8 +1,9 @@
 """Packing along a space-filling curve.
 
 Each document is tokenised once; its token counts, hashed to a fixed number of buckets, are projected to
-a few dimensions and give a Hilbert key. Documents are range-sorted by that key, and every range is
-filled up in order: neighbours on the curve share sequences, each of which is cut when it is full. What
+a few dimensions and give a Hilbert key. Documents are range-sorted by that key, in rows of one sequence's
+length at most, so that ranges of as many rows are alike in size however long the documents are, and every
+range is filled up in order: neighbours on the curve share sequences, each of which is cut when it is full. What
 is left at the end of a range is cut into sequences of powers of two, so that nothing is padded.
 
 Ids are from the tokenizer file given. Texts in plain Latin scripts take a faster library with the same
@@ -128,7 +129,7 @@ def curve_keys(ids: list[np.ndarray], matrix: np.ndarray) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, text: str, keep: list[str], paths: tuple[str, str | None], id_kind: str) -> DataFrame:
-    """keep, curve (Hilbert key) and ids (little-endian, of id_kind)."""
+    """keep, curve (Hilbert key), doc_tokens and chunks: the ids (little-endian, of id_kind), LENGTH at a time."""
 
     def make():
         encode = _encoder(paths, id_kind)
@@ -137,11 +138,12 @@ def tokenised(docs: DataFrame, text: str, keep: list[str], paths: tuple[str, str
 
         def run(texts):
             ids = [np.concatenate([encode(t), closing]) if t else closing for t in texts]
-            return [curve_keys(ids, matrix) if ids else [], [x.tobytes() for x in ids]]
+            chunks = [[x[i : i + LENGTH].tobytes() for i in range(0, len(x), LENGTH)] for x in ids]
+            return [curve_keys(ids, matrix) if ids else [], [len(x) for x in ids], chunks]
 
         return run
 
-    return map_text(docs, text, [("curve", T.LongType(), pa.int64()), ("ids", T.BinaryType(), pa.binary())], make, keep=keep)
+    return map_text(docs, text, [("curve", T.LongType(), pa.int64()), ("doc_tokens", T.LongType(), pa.int64()), ("chunks", T.ArrayType(T.BinaryType()), pa.list_(pa.binary()))], make, keep=keep)
 
 
 _held: dict = {}
@@ -159,14 +161,28 @@ def parts_of(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def place(docs: Iterator[tuple[object, np.ndarray]], length: int) -> Iterator[tuple]:
-    """(doc, start, piece ids, doc tokens, sequence, offset) along the order given."""
+def place(rows: Iterator[tuple[object, int, int, np.ndarray]], length: int) -> Iterator[tuple]:
+    """(doc, start, piece ids, doc tokens, sequence, offset) along the order of (doc, start, doc tokens, ids) rows.
+
+    What follows another piece of its document in the same sequence is one piece with it.
+    """
     number, fill, held = 0, 0, []
-    for doc, ids in docs:
-        at = 0
+    last = None
+    for doc, start, n, ids in rows:
+        if held and last == (doc, start, n) and start:
+            own, at, ids_before, *rest = held[-1]
+            take = min(len(ids), length - fill)
+            held[-1] = (own, at, np.concatenate([ids_before, ids[:take]]), *rest)
+            at, fill = take, fill + take
+            if fill == length:
+                yield from held
+                number, fill, held = number + 1, 0, []
+        else:
+            at = 0
+        last = (doc, start + len(ids), n)
         while at < len(ids):
             take = min(len(ids) - at, length - fill)
-            held.append((doc, at, ids[at : at + take], len(ids), number, fill))
+            held.append((doc, start + at, ids[at : at + take], n, number, fill))
             at, fill = at + take, fill + take
             if fill == length:
                 yield from held
@@ -190,8 +206,8 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length:
     # Written once: the range bounds are sampled from it, and the row number must stay what it was.
     paths = paths or default_paths()
     id_kind = id_type(paths[0])
-    ids = scratch.table(tokenised(src, "text", ["doc"], paths, id_kind).withColumn("row", F.monotonically_increasing_id()))
-    ordered = ids.repartitionByRange("curve", "row").sortWithinPartitions("curve", "row").select("doc", "ids")
+    ids = scratch.table(tokenised(src, "text", ["doc"], paths, id_kind).withColumn("row", F.monotonically_increasing_id()).select("doc", "curve", "row", "doc_tokens", F.posexplode("chunks").alias("part", "ids")))
+    ordered = ids.repartitionByRange("curve", "row", "part").sortWithinPartitions("curve", "row", "part").select("doc", "part", "doc_tokens", "ids")
     names = [id_column, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = T.StructType([T.StructField(id_column, kind), *[T.StructField(n, T.LongType()) for n in names[1:]]])
 
@@ -202,8 +218,8 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length:
         def rows():
             for b in batches:
                 types[:] = [b.column(0).type]
-                for doc, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    yield doc, np.frombuffer(x.as_buffer(), id_kind)
+                for doc, part, n, x in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                    yield doc, part * LENGTH, n, np.frombuffer(x, id_kind)
 
         out: list[list] = [[] for _ in names]
         batch = lambda: pa.RecordBatch.from_arrays([pa.array(x, types[0] if i == 0 else pa.int64()) for i, x in enumerate(out)], names=names)
