@@ -144,35 +144,49 @@ HINTS = {
 HINT_OF = {w: k for k, words in HINTS.items() for w in words.split()}
 # Stock phrases of what surrounds articles.
 PHRASES = re.compile(r"©|\bcopyright\b|all rights reserved|\bcookies?\b|\bsubscribe\b|\bsign (?:in|up)\b|\blog ?in\b|privacy policy|terms of|\bnewsletter\b|\bread more\b|\bshare (?:this|on)\b|\breply\b|\bcomments?\b|\badvertisement\b|\bsponsored\b", re.I)
+#: One of these is in any text that the phrases are in; plain searches are much faster.
+STEMS = ("©", "copyright", "rights reserved", "cookie", "subscribe", "sign in", "sign up", "log in", "login", "privacy policy", "terms of", "newsletter", "read more", "share ", "reply", "comment", "advertisement", "sponsored")
 TAGS = "nav header footer aside form article main section ul ol li table td figure figcaption blockquote pre button label select h1 h2 h3 h4 h5 h6 p a dl div".split()
 
 
+def chain_features(tags: tuple[str, ...], names: tuple[str, ...]) -> tuple[list[str], str]:
+    """Features of a block's ancestors, and its own block element."""
+    held = set(tags)
+    own = next((t for t in reversed(tags) if t in BLOCKS), "none")
+    hints = {HINT_OF[n] for n in names if n in HINT_OF}
+    f = [f"tag:{t}" for t in TAGS if t in held] + [f"own:{own}"] + [f"hint:{h}" for h in sorted(hints)]
+    inside = "article" if "article" in held else "main" if "main" in held or "main" in hints else "body"
+    f.append(f"inside:{inside}")
+    apart = [x for x in ("nav", "aside", "footer", "header", "form") if x in held] + [x for x in ("menu", "advert", "side", "notice", "comment", "share", "foot", "form") if x in hints]
+    f += [f"apart in {inside}"] if apart else [f"plain in {inside}"]
+    if "header" in held and own in ("h1", "h2"):
+        f.append(f"title in header in {inside}")
+    return f, own
+
+
 def features(blocks: list[Block]) -> list[list[str]]:
     """Names of the features that hold for each block."""
     out = []
     seen_h1 = False
+    chains: dict[tuple, tuple[list[str], str]] = {}
     for i, b in enumerate(blocks):
-        tags = set(b.tags)
-        own = next((t for t in reversed(b.tags) if t in BLOCKS), "none")
-        hints = {HINT_OF[n] for n in b.names if n in HINT_OF}
-        n = len(b.text.split())
+        chain = (tuple(b.tags), tuple(b.names))
+        if chain not in chains:
+            chains[chain] = chain_features(*chain)
+        above, own = chains[chain]
+        f = list(above)
+        n = b.text.count(" ") + 1
         links = b.linked / max(1, len(b.text))
         seen_h1 |= own == "h1"
-        f = [f"tag:{t}" for t in TAGS if t in tags] + [f"own:{own}"] + [f"hint:{h}" for h in hints]
-        f.append("words:" + ("1-2" if n < 3 else "3-7" if n < 8 else "8-19" if n < 20 else "20-59" if n < 60 else "60-"))
-        f.append("links:" + ("0" if links == 0 else "some" if links < 0.5 else "most"))
-        f.append("end:" + ("stop" if b.text[-1] in ".!?…\"'”)" else "other"))
-        if PHRASES.search(b.text):
+        f.append("words:1-2" if n < 3 else "words:3-7" if n < 8 else "words:8-19" if n < 20 else "words:20-59" if n < 60 else "words:60-")
+        f.append("links:0" if links == 0 else "links:some" if links < 0.5 else "links:most")
+        f.append("end:stop" if b.text[-1] in ".!?…\"'”)" else "end:other")
+        low = b.text.lower()
+        if any(x in low for x in STEMS) and PHRASES.search(low):
             f.append("phrase")
             if n < 20:
                 f.append("short phrase")
-        f.append("h1:" + ("own" if own == "h1" else "after" if seen_h1 else "before"))
-        inside = "article" if "article" in tags else "main" if "main" in tags or "main" in hints else "body"
-        f.append(f"inside:{inside}")
-        apart = [x for x in ("nav", "aside", "footer", "header", "form") if x in tags] + [x for x in ("menu", "advert", "side", "notice", "comment", "share", "foot", "form") if x in hints]
-        f += [f"apart in {inside}"] if apart else [f"plain in {inside}"]
-        if "header" in tags and own in ("h1", "h2"):
-            f.append(f"title in header in {inside}")
+        f.append("h1:own" if own == "h1" else "h1:after" if seen_h1 else "h1:before")
         if own == "li" and links > 0.5:
             f.append("linked item")
         if i == 0:
@@ -188,18 +202,30 @@ class Field:
     number: dict[str, int] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
+    _cells: dict[str, tuple[float, float]] | None = None
+
+    def emission(self, names: list[str]) -> tuple[float, float]:
+        """Sums of a block's weights for either label; of plain floats, which Python adds faster than array cells."""
+        if self._cells is None:
+            self._cells = {x: tuple(self.weights[i].tolist()) for x, i in self.number.items()}
+        a = b = 0.0
+        for x in names:
+            if cell := self._cells.get(x):
+                a += cell[0]
+                b += cell[1]
+        return a, b
 
     def decode(self, names: list[list[str]]) -> list[int]:
         """The likeliest labels of a page's blocks."""
         if not names:
             return []
-        w, m = self.weights, self.moves
-        emit = [[sum(w[self.number[x], k] for x in f if x in self.number) for k in (0, 1)] for f in names]
+        m = self.moves.tolist()
+        emit = [self.emission(f) for f in names]
         score, back = emit[0], []
         for e in emit[1:]:
-            best = [0 if score[0] + m[0, k] >= score[1] + m[1, k] else 1 for k in (0, 1)]
+            best = [0 if score[0] + m[0][k] >= score[1] + m[1][k] else 1 for k in (0, 1)]
             back.append(best)
-            score = [score[best[k]] + m[best[k], k] + e[k] for k in (0, 1)]
+            score = [score[best[k]] + m[best[k]][k] + e[k] for k in (0, 1)]
         labels = [int(score[1] > score[0])]
         for best in reversed(back):
             labels.append(best[labels[-1]])
