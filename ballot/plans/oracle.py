@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ballot.plans.queries import DEPTH, DIM, K, LABELLED, NARROW, QUERY_EVERY, SEED, TRAIN_K, TREES, VOTES
+from ballot.plans import forest_sql
+from ballot.plans.queries import DEPTH, DIM, K, LABELLED, NARROW, QUERY_EVERY, RF_SHARE, SEED, TRAIN_K, TREES, VOTES
 
 V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings)"
 S = "s AS (SELECT id, list_transform(vec, lambda x: x * (1 + id % 7)) AS vec FROM v)"
@@ -13,7 +14,7 @@ IP = "list_inner_product({0}, {1})"
 
 
 def ranked(pairs: str, k: int, nearest: str = "ASC") -> str:
-    return f"SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY d {nearest}, id) AS rank, id, round(d, 5) AS distance FROM ({pairs})) WHERE rank <= {k}"
+    return f"SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY d {nearest}, id) AS rank, id, round(d, 5) + 0.0 AS distance FROM ({pairs})) WHERE rank <= {k}"
 
 
 def pairs(metric: str, rows: str = "v", queries: str = "q", where: str = "") -> str:
@@ -37,7 +38,7 @@ def weights(density: float) -> str:
 
 
 def projection(density: float) -> str:
-    return f"WITH {V}, {weights(density)} SELECT id, t::INT AS tree, l::INT AS level, round(list_inner_product(vec, w), 6) AS value FROM v, w"
+    return f"WITH {V}, {weights(density)} SELECT id, t::INT AS tree, l::INT AS level, round(list_inner_product(vec, w), 6) + 0.0 AS value FROM v, w"
 
 
 def forest() -> str:
@@ -59,7 +60,7 @@ def forest() -> str:
     return "WITH " + ",\n".join(out)
 
 
-def ann(metric: str, rows: str, nearest: str, votes: float) -> str:
+def ann(metric: str, rows: str, nearest: str, votes: float | str) -> str:
     cand = f"SELECT e.qid, c.id, {metric.format('q.vec', 'c.vec')} AS d FROM summed e JOIN {rows} c ON c.id = e.label JOIN q ON q.qid = e.qid WHERE votes >= {votes}"
     return padded(ranked(cand, K, nearest), K)
 
@@ -83,13 +84,41 @@ gains AS (SELECT t, ord, d, i - 1 AS position, (key + next) / 2 AS split,
   FROM bounds WHERE next IS NOT NULL AND next <> key)"""
 
 
+LABELS = f"labels AS MATERIALIZED (SELECT qid AS train_id, id AS label FROM ({ranked(pairs(L2, queries='a').replace('FROM a, v', 'FROM (SELECT id AS qid, vec FROM v) a, v'), TRAIN_K)}))"
+TRIED = 8  # whole part of DIM / sqrt(DIM)
+
+
+def trees(kind: str) -> str:
+    """CTEs of a whole forest, up to the summed votes of the queries."""
+    out = [V, Q, LABELS]
+    if kind == "RF":
+        out += forest_sql.rf_levels(DEPTH, TREES, DIM, TRIED, SEED, TRAIN_K) + forest_sql.rf_route(DEPTH, TREES)
+    else:
+        out += forest_sql.pca_levels(DEPTH, TREES, DIM, TRIED, SEED) + forest_sql.pca_route(DEPTH, TREES)
+    out.append(f"leaves AS (SELECT id AS train_id, t, node - {2**DEPTH - 1} AS leaf FROM f{DEPTH})")
+    out.append("counts AS (SELECT t, leaf, label, count(*) AS c FROM leaves JOIN labels USING (train_id) GROUP BY ALL)")
+    vote = "c::DOUBLE" if kind == "PCA" else f"c / (sum(c) OVER (PARTITION BY t, leaf) * {TREES})::DOUBLE"
+    out.append(f"weighed AS (SELECT t, leaf, label, {vote} AS vote FROM counts)")
+    out.append(f"summed AS (SELECT qid, label, sum(vote) AS votes FROM (SELECT qid, t, node - {2**DEPTH - 1} AS leaf FROM g{DEPTH}) JOIN weighed USING (t, leaf) GROUP BY ALL)")
+    return "WITH RECURSIVE " + ",\n".join(out)
+
+
+def nodes(kind: str) -> str:
+    own = "coalesce(s.d, -1)::INT AS split_dim" if kind == "RF" else "-1 AS split_dim"
+    return f"{trees(kind)} SELECT a.t::INT AS tree, b.node::INT AS node, floor(log2(b.node + 1))::INT AS level, {own}, coalesce(round(s.split, 4), 0.0::DOUBLE) + 0.0 AS split_point FROM range({TREES}) a(t) CROSS JOIN range({2**DEPTH - 1}) b(node) LEFT JOIN splits s ON s.t = a.t AND s.node = b.node"
+
+
+def share(found: str, exact: str, head: str) -> str:
+    return f"{head}, found AS ({found}), truth AS ({exact}) SELECT qid, count(found.id) / {K}::DOUBLE AS recall FROM truth LEFT JOIN (SELECT qid, id FROM found WHERE id >= 0) found USING (qid, id) GROUP BY qid"
+
+
 def oracle_sql() -> dict[str, str]:
     f = forest()
     exact = ranked(pairs(L2), K)
-    recall = f"{f}, found AS ({ann(L2, 'v', 'ASC', VOTES)}), truth AS ({exact}) SELECT qid, count(found.id) / {K}::DOUBLE AS recall FROM truth LEFT JOIN (SELECT qid, id FROM found WHERE id >= 0) found USING (qid, id) GROUP BY qid"
+    rf_least = f"{RF_SHARE} / (SELECT count(*) FROM v)"
     return {
-        "pairwise_l2": f"{BASE} SELECT qid, id, round(d, 5) AS distance FROM ({pairs(L2)})",
-        "pairwise_ip": f"{BASE} SELECT qid, id, round(d, 5) AS distance FROM ({pairs(IP, 's')})",
+        "pairwise_l2": f"{BASE} SELECT qid, id, round(d, 5) + 0.0 AS distance FROM ({pairs(L2)})",
+        "pairwise_ip": f"{BASE} SELECT qid, id, round(d, 5) + 0.0 AS distance FROM ({pairs(IP, 's')})",
         "exact_l2_batch": f"{BASE} {exact}",
         "exact_l2_expressions": f"{BASE} {exact}",
         "exact_ip_batch": f"{BASE} {ranked(pairs(IP, 's'), K, 'DESC')}",
@@ -102,7 +131,7 @@ def oracle_sql() -> dict[str, str]:
         "training_labels": f"{f} SELECT train_id, label FROM labels",
         "rp_projection_dense": projection(1.0),
         "rp_projection_sparse": projection(0.125),
-        "rp_split_points": f"{f} SELECT t::INT AS tree, node, round(split, 4) AS split_point FROM splits",
+        "rp_split_points": f"{f} SELECT t::INT AS tree, node, round(split, 4) + 0.0 AS split_point FROM splits",
         "rp_leaf_assignment": f"{f} SELECT train_id, t::INT AS tree, leaf FROM leaves",
         "leaf_votes_raw": f"{f} SELECT t::INT AS tree, leaf, label, c::DOUBLE AS vote FROM counts",
         "leaf_votes_min_b": f"{f} SELECT t::INT AS tree, leaf, label, c::DOUBLE AS vote FROM counts WHERE c >= 5",
@@ -114,7 +143,15 @@ def oracle_sql() -> dict[str, str]:
         "ann_rp_l2": f"{f} {ann(L2, 'v', 'ASC', VOTES)}",
         "ann_rp_ip": f"{f} {ann(IP, 's', 'DESC', VOTES)}",
         "ann_rp_empty_election": f"{f} {ann(L2, 'v', 'ASC', 1e9)}",
-        "rf_root_gain": f"{root_gain()} SELECT t::INT AS tree, d::INT AS dim, position, round(gain, 6) AS gain, round(split, 6) AS split FROM gains",
-        "rf_root_split": f"{root_gain()} SELECT t::INT AS tree, x.d::INT AS dim, round(x.split, 6) AS split FROM (SELECT t, list_reduce(list_prepend({{'gain': 0::DOUBLE, 'd': -1::BIGINT, 'split': 0::DOUBLE}}, list({{'gain': gain, 'd': d, 'split': split}} ORDER BY ord, position)), lambda a, b: CASE WHEN b.gain > a.gain + 0.001 THEN b ELSE a END) AS x FROM gains GROUP BY t)",
-        "recall_at_k": recall,
+        "rf_root_gain": f"{root_gain()} SELECT t::INT AS tree, d::INT AS dim, position, round(gain, 6) + 0.0 AS gain, round(split, 6) + 0.0 AS split FROM gains",
+        "rf_root_split": f"{root_gain()} SELECT t::INT AS tree, x.d::INT AS dim, round(x.split, 6) + 0.0 AS split FROM (SELECT t, list_reduce(list_prepend({{'gain': 0::DOUBLE, 'd': -1::BIGINT, 'split': 0::DOUBLE}}, list({{'gain': gain, 'd': d, 'split': split}} ORDER BY ord, position)), lambda a, b: CASE WHEN b.gain > a.gain + 0.001 THEN b ELSE a END) AS x FROM gains GROUP BY t)",
+        "rf_nodes": nodes("RF"),
+        "rf_leaf_assignment": f"{trees('RF')} SELECT train_id, t::INT AS tree, leaf FROM leaves",
+        "ann_rf_l2": f"{trees('RF')} {ann(L2, 'v', 'ASC', rf_least)}",
+        "pca_root_direction": f"{trees('PCA')} SELECT t::INT AS tree, (j - 1)::INT AS place, dims[j]::INT AS dim, round(w[j], 6) + 0.0 AS weight FROM c0, range(1, {TRIED + 1}) a(j)",
+        "pca_nodes": nodes("PCA"),
+        "ann_pca_l2": f"{trees('PCA')} {ann(L2, 'v', 'ASC', VOTES)}",
+        "recall_at_k": share(ann(L2, "v", "ASC", VOTES), exact, f),
+        "recall_at_k_rf": share(ann(L2, "v", "ASC", rf_least), exact, trees("RF")),
+        "recall_at_k_pca": share(ann(L2, "v", "ASC", VOTES), exact, trees("PCA")),
     }

@@ -263,7 +263,9 @@ def rf_root_split(spark, sf_dir):
 
 
 def _nodes(spark, sf_dir, kind):
-    return index(spark, sf_dir, kind).nodes().withColumn("split_point", F.round("split_point", 4))
+    """-1 and 0 where a node has no split."""
+    out = index(spark, sf_dir, kind).nodes().withColumn("split_point", F.coalesce(F.round("split_point", 4), F.lit(0.0)))
+    return out.withColumn("split_dim", F.coalesce("split_dim", F.lit(-1)))
 
 
 def rf_nodes(spark, sf_dir):
