@@ -55,6 +55,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, share: int = 4 << 20) -> DataFrame:
+    """A table too small to have a split for each core, dealt to all of them; others as they are.
+
+    It is for files of one row group, which one task would read: under `share` bytes a core are shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < share * cores
+    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
+
+
 def held_out(id_column: str) -> F.Column:
     """One row in five, by the checksum of its id as text; such rows never train a model."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 5 == 0, F.lit(False))

@@ -7,73 +7,77 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballot.llm.common import table
+from ballot.llm.common import spread, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ballot.llm.line_dedup import line_dedup
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ballot.llm.simhash import simhash_classes
 
-    return simhash_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simhash_classes(documents(spark, sf_dir))
 
 
 def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ballot.llm.quality_pu import quality_scores
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return quality_scores(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ballot.llm.secrets import secret_spans
 
-    found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secret_spans(documents(spark, sf_dir))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ballot.llm.toxicity import toxicity_scores
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return toxicity_scores(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ballot.llm.pii import pii_spans
 
-    found = pii_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii_spans(documents(spark, sf_dir))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ballot.llm.quality_rules import FIXED, quality_rules
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return quality_rules(docs, table(spark, sf_dir, "labels")).select("doc_id", *FIXED, "base_failed", "kept")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ballot.llm.decontam import contamination
 
-    return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ballot.llm.html_extract import main_text
 
-    return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return main_text(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ballot.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pack(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
