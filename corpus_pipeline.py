@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballot.llm.common import Scratch, table
+from ballot.llm.common import Scratch, spread, table
 from ballot.llm.decontam import decontaminated
 from ballot.llm.line_dedup import line_dedup
 from ballot.llm.packing import pack
@@ -75,7 +75,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's result over documents; what lies between the stages is written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     between = Scratch(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
