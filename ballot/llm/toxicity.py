@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ballot.llm.common import held_out, map_text, share
+from ballot.llm.common import Scratch, held_out, map_text, share
 
 FIRED, SILENT = 4000, 6000  # sampled texts, about
 THRESHOLD = 0.5
@@ -47,11 +47,16 @@ VOTERS = [*LEXICONS, "pattern", *(f"mined{k}" for k in range(MINED))]
 UNLABELLED = 0.1  # weight of an unlabelled row beside a labelled one, so that the many don't redefine the classes
 LABELLED = 20_000  # labelled rows, about, that words are mined from
 LEET = str.maketrans("013457@$!", "oieastasi")
-PUNCTUATION = re.compile(r"[^\w'@$!]+|_+")
+#: ASCII but letters, digits and these signs, which stand for letters at times, is space.
+SPACES = bytes(b if b >= 128 or chr(b).isalnum() or chr(b) in "'@$!" else 32 for b in range(256))
+MARKS = re.compile("[¡¿«»‐-‧„“”]")
 
 
 def words(text: str | None) -> set[str]:
-    return {w.strip("'@$!") for w in PUNCTUATION.sub(" ", (text or "").lower()).split()} - {""}
+    low = (text or "").lower()
+    if not low.isascii():
+        low = MARKS.sub(" ", low)
+    return {w.strip("'@$!") for w in set(low.encode().translate(SPACES).decode().split())} - {""}
 
 
 class Voters:
@@ -212,7 +217,7 @@ def votes(docs: DataFrame, mined: list[str], id_column: str, text: str, with_wor
 WORDS = ("words", T.ArrayType(T.StringType()), pa.list_(pa.string()))
 
 
-def mine(rows: DataFrame, known: DataFrame) -> list[str]:
+def mine(rows: DataFrame, known: DataFrame, scratch: Scratch) -> list[str]:
     """Words telling toxic rows apart, from about LABELLED labelled rows; rows: (id, text), known: (__id, known)."""
     total = {r.known: r["count"] for r in known.groupBy("known").count().collect()}
     if set(total) != {0, 1}:
@@ -220,21 +225,22 @@ def mine(rows: DataFrame, known: DataFrame) -> list[str]:
     some = known.filter(share(F.col("__id"), sum(total.values()), LABELLED, 5))
     picked = rows.join(F.broadcast(some), F.col("id") == F.col("__id")).select("known", "text")
     split = map_text(picked, "text", [WORDS], lambda: lambda texts: [[sorted(words(t)) for t in texts]], keep=["known"])
-    sums = split.select("known", F.explode("words").alias("word")).groupBy("word").agg(F.sum("known").alias("t"), F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    sums = scratch.table(split.select("known", F.explode("words").alias("word")).groupBy("word").agg(F.sum("known").alias("t"), F.count(F.lit(1)).alias("n")).filter("n >= 3"))
     words_seen = sums.count()
     likely = sums.filter("2 * t > n").orderBy(F.desc("t"), "word").limit(5000).collect()
     counts = [(r.word, int(r.t), int(r.n)) for r in likely] + [("", 0, 1)] * (words_seen - len(likely))
     return telling(counts, total[1], total[0])
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame | None = None, id_column: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str], Classifier]:
+def toxicity_model(docs: DataFrame, labels: DataFrame | None = None, id_column: str = "doc_id", text: str = "text", label: str = "toxic", scratch: Scratch | None = None) -> tuple[list[str], Classifier]:
     """The mined words and the classifier."""
     spark = docs.sparkSession
+    scratch = scratch or Scratch(spark)
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text")).filter(~held_out("id"))
     mined: list[str] = []
     if labels is not None:
         known = labels.select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("known")).filter("known IN (0, 1)").filter(~held_out("__id")).groupBy("__id").agg(F.max("known").alias("known"))
-        mined = mine(rows, known)
+        mined = mine(rows, known, scratch)
     marked = votes(rows, mined, "id", "text", False)
     if labels is None:
         marked = marked.withColumn("known", F.lit(-1))
@@ -252,6 +258,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame | None = None, id_column:
     some = votes(rows.select("id", "text", wide.alias("wide"), narrow.alias("narrow")).filter("wide OR narrow").select(F.struct("id", "wide", "narrow").alias("at"), "text"), mined, "at", "text", True)
     post = spark.createDataFrame([(int(m), float(p)) for m, p in zip(masks, model.posterior(masks), strict=True)], "mask long, post double").dropDuplicates(["mask"])
     some = some.filter(F.when(F.col("mask") != 0, F.col("at.wide")).otherwise(F.col("at.narrow"))).join(F.broadcast(post), "mask").select("at.id", "mask", "post", "words")
+    some = scratch.table(some)  # a bounded sample, read three times
     names = apart(some)
     own = F.array_intersect("words", F.lit(names).cast("array<string>"))
     got = some.select("id", "mask", "post", own.alias("words")).collect()
