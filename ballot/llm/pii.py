@@ -26,7 +26,8 @@ from ballot.llm.common import map_text
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match can only start where its digits do; saying so keeps long runs of digits linear.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SIGN = re.compile(r"[0-9@]")
@@ -46,9 +47,10 @@ SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ -]+)?(?:{_DIGIT}|[0-9]+)(?:(?:[
 SPELLED_WORD = re.compile(rf"plus|double|triple|dot|point|[0-9]+|{'|'.join(DIGITS)}", re.I)
 HINT = re.compile(r"\b(?:zero|one|two|three|four|five|six|seven|eight|nine)\b", re.I)
 BRACKET = re.compile(r"[\[({<]")
-BRACKET_AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*", re.I)
-BRACKET_DOT = re.compile(r"\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*", re.I)
-PLAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.| dot )[A-Za-z0-9_%+-]+)*(?P<at> at |@| @ )[A-Za-z0-9-]+(?:(?: dot | \. |\.)[A-Za-z0-9-]+)*?(?: dot | \. |\.)[A-Za-z]{2,6}(?![A-Za-z0-9-])", re.I)
+BRACKET_AT = re.compile(r"[\[({<]\s*(?:at|@)\s*[\])}>]", re.I)
+BRACKET_DOT = re.compile(r"[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]", re.I)
+#: Parts are as long as the rules of mail and names allow, 64 and 63, and twenty at most, so that a search is linear.
+PLAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{1,64}(?:(?:\.| dot )[A-Za-z0-9_%+-]{1,64}){0,20}(?P<at> at |@| @ )[A-Za-z0-9-]{1,63}(?:(?: dot | \. |\.)[A-Za-z0-9-]{1,63}){0,20}?(?: dot | \. |\.)[A-Za-z]{2,6}(?![A-Za-z0-9-])", re.I)
 JOINT = re.compile(r" at | dot | @ | \. ", re.I)
 
 
@@ -145,10 +147,18 @@ def homoglyphs(c: Copy) -> Copy:
     return c.replaced([(m.start(), m.end(), new) for m in FOREIGN.finditer(c.text) if (new := folded(m[0])) != m[0]])
 
 
+def widened(t: str, a: int, b: int) -> tuple[int, int]:
+    """The range with the spaces beside it, eight on either side at most, as people type them."""
+    for _ in range(8):
+        a -= a > 0 and t[a - 1].isspace()
+        b += b < len(t) and t[b].isspace()
+    return a, b
+
+
 def signs(c: Copy) -> Copy:
     if BRACKET.search(c.text):
         for pattern, sign in ((BRACKET_AT, "@"), (BRACKET_DOT, ".")):
-            c = c.replaced([(m.start(), m.end(), sign) for m in pattern.finditer(c.text)])
+            c = c.replaced([(*widened(c.text, *m.span()), sign) for m in pattern.finditer(c.text)])
     edits = []
     if "@" not in c.text and " dot " not in c.text.lower():
         return c
