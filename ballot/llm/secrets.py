@@ -34,9 +34,9 @@ ADDED = {
     "slack": ("xox[abeoprs]-[A-Za-z0-9-]{10,}", False, 0, 0),
     "google": ("AIza[A-Za-z0-9_-]{35,}", False, 0, 0),
     "stripe": ("[rs]k_live_[A-Za-z0-9]{16,}", False, 0, 0),
-    "webtoken": ("eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", False, 0, 0),
+    "webtoken": ("(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", False, 0, 0),
     "private_key": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", False, 0, 0),
-    "address_password": ("[a-z][a-z0-9+]*://[A-Za-z0-9_.-]+:[A-Za-z0-9_.%!$*+-]{6,}@[A-Za-z0-9.-]+", False, 0, 0),
+    "address_password": ("(?<![a-z0-9+])[a-z][a-z0-9+]*://[A-Za-z0-9_.-]+:[A-Za-z0-9_.%!$*+-]{6,}@[A-Za-z0-9.-]+", False, 0, 0),
 }
 #: What must be in a text for the kind to have a span there. Most least lengths are left to the exact search:
 #: counted runs of several rules side by side would multiply the states (48,000 with them, 1,200 without).
