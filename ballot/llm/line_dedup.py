@@ -102,7 +102,7 @@ def twice_seen(docs: DataFrame, text: str, least: int, bits: int) -> bytes:
             if more.any():
                 yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([zlib.compress(more.tobytes(), 1)], pa.binary())], names=["segment", "twice"])
 
-    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(build, "segment int, once binary, twice binary").repartition("segment").mapInArrow(merge, "segment int, twice binary").toLocalIterator()
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(build, "segment int, once binary, twice binary").repartition("segment").mapInArrow(merge, "segment int, twice binary").collect()  # bits / 8 bytes at most
     out = np.zeros(bits // 8, np.uint8)
     for r in rows:
         out[r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = np.frombuffer(zlib.decompress(r.twice), np.uint8)
@@ -146,7 +146,7 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", l
     repeated = scratch.table(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep")).filter(F.col("n") >= documents).drop("n"))
     size = repeated.agg(F.coalesce(F.sum(F.octet_length("key") + 120), F.lit(0))).first()[0]
     if size <= broadcast_bytes:
-        drops = spark.sparkContext.broadcast({r.key.encode(): r.keep for r in repeated.toLocalIterator()})
+        drops = spark.sparkContext.broadcast({r.key.encode(): r.keep for r in repeated.collect()})
         return rewrite(docs, id_column, text, least, drops)
     # The join's hot keys are split by Spark's skew handling; sums by id follow in a shuffle of their own.
     lost = found.join(repeated, "key").filter(~F.col("id").eqNullSafe(F.col("keep"))).groupBy(F.col("id").alias("__id")).agg(F.collect_set(F.unhex(F.md5("key"))).alias("__lost"))
