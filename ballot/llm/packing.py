@@ -7,7 +7,7 @@ range is filled up in order: neighbours on the curve share sequences, each of wh
 is left at the end of a range is cut into sequences of powers of two, so that nothing is padded.
 
 Ids are from the tokenizer file given. Texts in plain Latin scripts take a faster library with the same
-vocabulary, split at single spaces, where a token always begins; other texts take the file's own library.
+vocabulary and merges; other texts take the file's own library.
 
 Defined results: a null or empty text is the closing id alone; rows with equal or null ids are documents
 of their own, told apart by a row number.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +33,6 @@ LENGTH = 2048
 CLOSING = 1
 BUCKETS, DIMS, BITS = 1024, 3, 10
 OTHER = re.compile("[^\x00-ɏ]")
-CACHED = 200_000
 
 
 def id_type(path: str) -> str:
@@ -60,25 +60,11 @@ def encoder(path: str, ranks: str | None, kind: str) -> Callable[[str], np.ndarr
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
     plain = fast.encode_ordinary
-    known: dict[str, bytes] = {}
-
-    def word(w: str) -> bytes:
-        got = known.get(w)
-        if got is None:
-            if len(known) >= CACHED:
-                known.clear()
-            got = np.array(plain(" " + w), kind).tobytes()
-            if len(w) < 64:
-                known[w] = got
-        return got
+    code = "H" if kind == "<u2" else "I"
 
     def encode(t: str) -> np.ndarray:
-        if OTHER.search(t):
-            return np.array(whole(t), kind)
-        first, *rest = t.split(" ")
-        if not first or "" in rest:
-            return np.array(plain(t), kind)
-        return np.frombuffer(np.array(plain(first), kind).tobytes() + b"".join(map(word, rest)), kind)
+        ids = whole(t) if OTHER.search(t) else plain(t)
+        return np.frombuffer(array(code, ids), kind)
 
     return encode
 
