@@ -19,6 +19,7 @@ from ballot.functions.vectors import L2, Metric, reported, sort_key
 from ballot.sources.vectors import check_schema, matrix
 
 QUERY_BYTES = 32 << 20  # of queries sent to all tasks at once
+BEST_ROWS = 640 << 10  # rows of k nearest that a block of queries has at most: a task holds some multiples of them
 CELLS = 4 << 20  # distances held at once in a task
 
 
@@ -105,12 +106,12 @@ def kernel_keys(corpus: DataFrame, block: list[tuple[int, list[float]]], k: int,
     return corpus.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(run, "qid long, id long, key double")
 
 
-def query_blocks(queries: DataFrame, most: int = QUERY_BYTES) -> Iterator[list[tuple[int, list[float]]]]:
+def query_blocks(queries: DataFrame, most: int = QUERY_BYTES, rows: int = BEST_ROWS) -> Iterator[list[tuple[int, list[float]]]]:
     held, size = [], 0
     for r in queries.select(F.col("qid").cast("long").alias("qid"), "vec").toLocalIterator():
         held.append((r.qid, r.vec))
         size += 8 * len(r.vec)
-        if size >= most:
+        if size >= most or len(held) >= rows:
             yield held
             held, size = [], 0
     if held:
@@ -125,7 +126,7 @@ def exact_keys(corpus: DataFrame, queries: DataFrame, k: int, metric: Metric | s
         return pairs.select("qid", "id", sort_key(F.col("__q"), F.col("__c"), metric).alias("key"))
     if plan != "kernel":
         raise ValueError(f"unknown plan {plan!r}; use 'kernel' or 'expressions'")
-    parts = [kernel_keys(corpus, block, k, metric) for block in query_blocks(queries, query_bytes)]
+    parts = [kernel_keys(corpus, block, k, metric) for block in query_blocks(queries, query_bytes, max(1, BEST_ROWS // k))]
     return reduce(DataFrame.unionAll, parts) if parts else queries.sparkSession.createDataFrame([], "qid long, id long, key double")
 
 

@@ -1,6 +1,6 @@
 """The engine's operators over the driver's `embeddings`, and the same results in DuckDB's SQL.
 
-All rows are corpus and all rows up to TRAIN_ROWS train; the queries are the rows whose id is a multiple
+All rows are corpus and all rows train, whatever their number; the queries are the rows whose id is a multiple
 of QUERY_EVERY. Vectors have unit length, so for searches by inner product they are stretched by
 1 + id % 7, which tells the metrics apart.
 """
@@ -20,7 +20,6 @@ from ballot.plans.index import VectorIndex
 from ballot.sources.vectors import read_vectors
 
 QUERY_EVERY = 50
-TRAIN_ROWS = 50_000  # training rows, about, at most; chosen by a hash of the id
 K, TRAIN_K, TREES, DEPTH, SEED, DIM = 10, 50, 10, 5, 7, 64
 VOTES = 19.5  # of RP and PCA: counts, whole numbers, so that none lies on the threshold
 RF_SHARE = 1.3  # of RF: a probability, as a multiple of what each corpus row would get if all got the same
@@ -36,9 +35,7 @@ def queries_of(rows: DataFrame) -> DataFrame:
 
 
 def train_of(rows: DataFrame) -> DataFrame:
-    n = rows.count()
-    some = rows if n <= TRAIN_ROWS else rows.filter(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * TRAIN_ROWS / n))
-    return some.select(F.col("id").alias("train_id"), "vec")
+    return rows.select(F.col("id").alias("train_id"), "vec")
 
 
 def stretched(rows: DataFrame) -> DataFrame:

@@ -200,3 +200,20 @@ def test_streamed_queries(spark, data, tmp_path):
     run = search_stream(ix, stream, 4, 2, lambda df, n: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert sorted(map(tuple, got)) == sorted(map(tuple, ix.ann(q, 4, 2, return_distances=True).collect()))
+
+
+def test_all_rows_train_at_any_size(spark):
+    from ballot.plans import queries
+
+    rows = spark.range(60_000).select("id", F.array(F.lit(1.0)).alias("vec"))
+    assert queries.train_of(rows).count() == 60_000
+
+
+def test_labels_in_many_blocks(data, monkeypatch):
+    from ballot.operators import exact
+
+    c, train, _, _ = data
+    want = {r.train_id: r.labels for r in training_labels(c, train, 20).collect()}
+    monkeypatch.setattr(exact, "BEST_ROWS", 20 * 150)
+    assert len(list(exact.query_blocks(train.withColumnRenamed("train_id", "qid"), rows=150))) == 4
+    assert {r.train_id: r.labels for r in training_labels(c, train, 20).collect()} == want
