@@ -77,7 +77,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ballot.llm.packing import pack
 
-    return pack(documents(spark, sf_dir))
+    return pack(documents(spark, sf_dir), added=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -329,6 +329,23 @@ def test_hilbert_curve():
         assert (np.abs(np.diff(cells[np.argsort(key)], axis=0)).sum(axis=1) == 1).all()
 
 
+@pytest.mark.parametrize("ranks", [True, False])
+def test_packing_added_tokens(ranks):
+    from tokenizers import Tokenizer
+
+    path, table_path = packing.default_paths()
+    encode, own = packing.encoder(path, table_path if ranks else None, "<u2", added=True), Tokenizer.from_file(path)
+    for t in ("logs <|endoftext|> end", "<|endoftext|>", "<|endoftext|><|endoftext|>é", "plain <|endoftext| >", "привет <|endoftext|>"):
+        assert encode(t).tolist() == own.encode(t, add_special_tokens=False).ids
+    assert 50256 in encode("logs <|endoftext|> end")
+
+
+def test_packing_query_has_ids_of_added_tokens(spark, tmp_path):
+    frame(spark, [(1, "logs <|endoftext|> end")]).write.parquet(str(tmp_path / "documents.parquet"))
+    (row,) = queries.op10_packing(spark, str(tmp_path)).groupBy("doc_id").max("doc_tokens").collect()
+    assert row[1] == 6
+
+
 def test_packing_round_trip(spark, texts):
     from tokenizers import Tokenizer
 
