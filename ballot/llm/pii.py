@@ -4,7 +4,7 @@ Base spans are found in the text as it stands. Then transducers rewrite a copy:
 compatibility forms to ASCII, invisible characters to nothing, disguised "at" and "dot" to their signs,
 spelled digits to figures. Every character of the copy carries the source range it came from, so that
 identifiers found in the copy give spans of the source. Of these, only those that a transducer had a
-hand in, and that overlap no base span, are added.
+hand in, and that overlap no base span or hold it whole and more, are added; base spans stay.
 
 Defined results: a null text is empty; equal rows get equal results; spans are in code points.
 """
@@ -50,7 +50,8 @@ BRACKET = re.compile(r"[\[({<]")
 BRACKET_AT = re.compile(r"[\[({<]\s*(?:at|@)\s*[\])}>]", re.I)
 BRACKET_DOT = re.compile(r"[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]", re.I)
 #: Parts are as long as the rules of mail and names allow, 64 and 63, and twenty at most, so that a search is linear.
-PLAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{1,64}(?:(?:\.| dot )[A-Za-z0-9_%+-]{1,64}){0,20}(?P<at> at |@| @ )[A-Za-z0-9-]{1,63}(?:(?: dot | \. |\.)[A-Za-z0-9-]{1,63}){0,20}?(?: dot | \. |\.)[A-Za-z]{2,6}(?![A-Za-z0-9-])", re.I)
+#: A spaced full stop after a whole name ends a sentence; it joins only names that are spaced from their first part on.
+PLAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{1,64}(?:(?:\.| dot )[A-Za-z0-9_%+-]{1,64}){0,20}(?P<at> at |@| @ )[A-Za-z0-9-]{1,63}(?:(?:(?: dot |\.)[A-Za-z0-9-]{1,63}){0,20}(?: dot |\.)[A-Za-z]{2,63}(?![A-Za-z0-9-])| \. (?:[A-Za-z0-9-]{1,63}(?: dot |\.| \. (?-i:(?=[a-z0-9])))){0,20}[A-Za-z]{2,63}(?![A-Za-z0-9-]))", re.I)
 JOINT = re.compile(r" at | dot | @ | \. ", re.I)
 
 
@@ -213,7 +214,11 @@ def disguised(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[s
             if not any(copy.made[a:b]) and hi - lo == b - a:
                 continue
             i = bisect_left(taken, (lo, lo))
-            if not (i < len(taken) and taken[i][0] < hi or i and taken[i - 1][1] > lo):
+            over = [taken[i - 1]] if i and taken[i - 1][1] > lo else []
+            while i < len(taken) and taken[i][0] < hi:
+                over.append(taken[i])
+                i += 1
+            if all(lo <= x and y <= hi and (x, y) != (lo, hi) for x, y in over):
                 out.append((kind, lo, hi))
     return out
 

@@ -228,6 +228,22 @@ def test_disguises(text, kind, part):
     assert [(k, text[a:b]) for k, a, b in found] == [(kind, part)]
 
 
+@pytest.mark.parametrize(
+    ("text", "parts"),
+    [
+        ("write jane at example dot co dot uk, please", ["jane at example dot co dot uk"]),
+        ("write jane at mail dot corp dot com", ["jane at mail dot corp dot com"]),
+        ("write jane at example dot photography", ["jane at example dot photography"]),
+        ("write jane @ example . co . uk", ["jane @ example . co . uk"]),
+        ("write jane [dot] doe@example.com", ["jane [dot] doe@example.com"]),
+        ("write jane@example.co [dot] uk", ["jane@example.co [dot] uk"]),
+        ("write jane@example.com . then go", []),
+    ],
+)
+def test_whole_disguised_addresses(text, parts):
+    assert [text[a:b] for _, a, b in pii.disguised(text, pii.detect(text))] == parts
+
+
 def test_no_disguise_in_plain_text(texts):
     for t in ["look at example.com", "one two three", "meet at noon dot", "five at four", "", *texts.values()]:
         assert pii.disguised(t, pii.detect(t)) == []
