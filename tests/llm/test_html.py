@@ -23,6 +23,11 @@ def test_blocks():
     assert [b.text for b in got] == ["a b&c d", "e f", "g", "h", "tail"]
 
 
+def test_formulas_are_text():
+    got = H.leaf_blocks("<p>So <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding=tex>x = 2 tex</annotation><annotation-xml><ci>x</ci></annotation-xml></semantics></math> holds.</p>")
+    assert [b.text for b in got] == ["So x=2 holds."]
+
+
 def test_main_text_of_a_page():
     page = """<html><head><title>T</title><style>p{}</style></head><body><header class="site-header"><a href="/">Site</a></header>
     <nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav><div class="cookie-notice">We use cookies here.</div>
