@@ -1,83 +1,154 @@
-"""Growing of forests, level by level over all trees at once.
+"""Growing of forests: a task a tree, from one sample of training rows of bounded size.
 
-The training rows stay distributed: at each level every row is routed by the model so far, and what a
-node needs to split travels to it: for RP and PCA the median of its rows' projections, for RF a sample of
-its rows of bounded size. The driver gets one record for each node.
+Splits need no more rows than give their medians and gains: about `fit_rows` training rows, chosen by a hash of
+their ids (all rows, where there are no more), are sent to every task once, and every task grows whole
+trees. Nothing is shuffled, and there is one job a forest. The sample only places the splits: all training
+rows are routed and counted afterwards (`forest.routed`, `votes.leaf_counts`).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballot.functions import randomness as R
-from ballot.operators.forest import TERMINAL, Forest, projected_dims, rp_weights
-from ballot.operators.ranking import group_ranks
+from ballot.operators.forest import PLACES, TERMINAL, Forest, projected_dims, rp_weights
 from ballot.sources.vectors import matrix
 
-SUBSAMPLE = 100  # rows that score a node's split (RF) or give its direction's moments (PCA: all)
+SUBSAMPLE = 100  # rows that score a node's split (RF)
 TOLERANCE = 0.001
-IN_WINDOW = 1_000_000  # rows of a node up to which a window ranks it
+FIT_ROWS = 50_000  # training rows, about, that splits are placed by
+FIT_BYTES = 64 << 20  # of them sent to the tasks
 
 
-def level_values(train: DataFrame, forest: Forest, level: int) -> DataFrame:
-    """(tree, node, value, train_id) of all training rows at a level."""
-    shared = train.sparkSession.sparkContext.broadcast(forest)
+@dataclass
+class Sample:
+    """Training rows in the order of their ids; labels only for RF."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    labels: list[np.ndarray] | None = None
+
+
+def fit_share(id_column: str, rows: int, wanted: int, seed: int) -> F.Column:
+    """A condition that about `wanted` of `rows` meet, alike in every run; all, where there are no more."""
+    if rows <= wanted:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(1 << 40)) < int(wanted / rows * (1 << 40))
+
+
+def fit_sample(train: DataFrame, forest: Forest, n_train: int, knn: DataFrame | None = None, fit_rows: int = FIT_ROWS) -> Sample:
+    """The rows that splits are placed by: `fit_rows` and FIT_BYTES at most, up to hashing."""
+    wanted = max(1, min(fit_rows, FIT_BYTES // (8 * forest.dim)))
+    some = train.select(F.col("train_id").cast("long").alias("train_id"), "vec").filter(fit_share("train_id", n_train, wanted, forest.seed))
+    if knn is not None:
+        some = some.join(knn.select("train_id", F.array_distinct("labels").alias("labels")), "train_id", "left")
+    got = some.toArrow().combine_chunks()
+    ids = got.column("train_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    x = matrix(pa.concat_arrays(got.column("vec").chunks), forest.dim)[order] if len(ids) else np.zeros((0, forest.dim))
+    labels = None
+    if knn is not None:
+        own = got.column("labels").to_pylist()
+        labels = [np.asarray([v for v in own[i] or () if v is not None and v >= 0], np.int64) for i in order]
+    return Sample(ids[order], x, labels)
+
+
+def per_tree(spark, forest: Forest, sample: Sample, work: Callable[[int, Forest, Sample], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What `work` yields for each tree, a task a tree."""
+    shared = spark.sparkContext.broadcast((forest, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
+        f, s = shared.value
         for b in batches:
-            for lo in range(0, b.num_rows, 2048):
-                part = b.slice(lo, 2048)
-                ids, x = part.column(0).to_numpy(), matrix(part.column(1), f.dim)
-                node = f.nodes_at(x, level, ids)
-                v = f.values(x, node, level)
-                tree = np.broadcast_to(np.arange(f.n_trees, dtype=np.int32), node.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(tree.ravel()), pa.array(node.ravel()), pa.array(v.ravel()), pa.array(np.repeat(ids, f.n_trees))], names=["tree", "node", "value", "train_id"])
+            for t in b.column(0).to_pylist():
+                yield from work(t, f, s)
+
+    return spark.range(0, forest.n_trees, 1, forest.n_trees).mapInArrow(run, schema)
+
 
-    return train.select(F.col("train_id").cast("long").alias("train_id"), "vec").mapInArrow(run, "tree int, node long, value double, train_id long")
+NODE = "tree int, node int, split double, cut_value double, cut_id long, dim long, weights array<double>"
 
 
-def median_splits(values: DataFrame, most: int = IN_WINDOW) -> DataFrame:
-    """(tree, node, split, cut_value, cut_id): the half-way value, and the last row of the left half.
+def node_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+    names = [c.split()[0] for c in NODE.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    The left half has the extra row. The split is the middle value, or the mean of the two middle ones.
+
+def median_split(value: np.ndarray, ids: np.ndarray) -> tuple[float, float, int, np.ndarray]:
+    """(split, cut_value, cut_id, goes left) of a node's rows.
+
+    The left half has the extra row. The split is the middle value, or the mean of the two middle ones; the
+    cut is the left half's last row, so that equal values are told apart by id.
     """
-    keys, order = ["tree", "node"], ["value", "train_id"]
-    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    placed = group_ranks(values, keys, order, most)
-    middle = placed.join(F.broadcast(sizes), keys).withColumn("left", F.ceil(F.col("n") / 2))
-    middle = middle.filter((F.col("rank") == F.col("left")) | (F.col("n") % 2 == 0) & (F.col("rank") == F.col("left") + 1))
-    last = F.when(F.col("rank") == F.col("left"), F.struct("value", "train_id"))
-    out = middle.groupBy(*keys).agg(((F.min("value") + F.max("value")) / 2).alias("split"), F.max(last).alias("cut"))
-    return out.select(*keys, "split", F.col("cut.value").alias("cut_value"), F.col("cut.train_id").alias("cut_id"))
-
-
-def put_medians(forest: Forest, train: DataFrame, level: int, most: int) -> None:
-    for r in median_splits(level_values(train, forest, level), most).collect():  # one record a node
-        forest.splits[r.tree, r.node] = r.split
-        forest.cut_value[r.tree, r.node], forest.cut_id[r.tree, r.node] = r.cut_value, r.cut_id
+    order = np.lexsort((ids, value))
+    half = -(-len(order) // 2)
+    last = order[half - 1]
+    split = value[last] if len(order) % 2 else (value[last] + value[order[half]]) / 2
+    left = np.zeros(len(order), bool)
+    left[order[:half]] = True
+    return float(split), float(value[last]), int(ids[last]), left
 
 
-def grow_rp(train: DataFrame, forest: Forest, most: int = IN_WINDOW) -> Forest:
-    """Random projections, one a level and tree; median splits."""
-    forest.weights = rp_weights(forest.n_trees, forest.depth, forest.dim, forest.density, forest.seed)
-    for level in range(forest.depth):
-        put_medians(forest, train, level, most)
+def grow(train: DataFrame, forest: Forest, n_train: int, knn: DataFrame | None = None, fit_rows: int = FIT_ROWS) -> Forest:
+    """Fills in the forest's arrays."""
+    m = projected_dims(forest.density, forest.dim)
+    if forest.kind == "RP":
+        forest.weights = rp_weights(forest.n_trees, forest.depth, forest.dim, forest.density, forest.seed)
+        work = rp_tree
+    elif forest.kind == "PCA":
+        if m < 1:
+            raise ValueError("density leaves no dimension to project on")
+        draw_directions(forest, m)
+        work = pca_tree
+    else:
+        if not m:
+            return forest
+        work = rf_tree
+    sample = fit_sample(train, forest, n_train, knn if forest.kind == "RF" else None, fit_rows)
+    for r in per_tree(train.sparkSession, forest, sample, work, NODE).collect():  # one record a node
+        forest.splits[r.tree, r.node] = r.split
+        if forest.kind == "RF":
+            forest.split_dims[r.tree, r.node] = r["dim"]
+        else:
+            forest.cut_value[r.tree, r.node], forest.cut_id[r.tree, r.node] = r.cut_value, r.cut_id
+        if forest.kind == "PCA":
+            forest.weights[r.tree, r.node] = r.weights
     return forest
 
 
-def grow_pca(train: DataFrame, forest: Forest, most: int = IN_WINDOW) -> Forest:
-    """For each node a sparse direction near its rows' first principal component; median splits."""
-    m = projected_dims(forest.density, forest.dim)
-    if m < 1:
-        raise ValueError("density leaves no dimension to project on")
+def median_tree(t: int, f: Forest, s: Sample, direction: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Nodes of a tree whose splits are medians; direction(node, rows): a node's values, after its weights are set."""
+    rows = [np.arange(len(s.ids))]
+    out = []
+    for node in range(f.n_inner):
+        own, rows[node] = rows[node], None
+        if not len(own):
+            rows += [own, own]
+            continue
+        value = direction(node, own)
+        split, cut_value, cut_id, left = median_split(value, s.ids[own])
+        weights = f.weights[t, node].tolist() if f.kind == "PCA" else None
+        out.append((t, node, split, cut_value, cut_id, TERMINAL, weights))
+        rows += [own[left], own[~left]]
+    if out:
+        yield node_batch(out)
+
+
+def rp_tree(t: int, f: Forest, s: Sample) -> Iterator[pa.RecordBatch]:
+    """Random projections, one a level; median splits."""
+    values = np.round(s.x @ f.weights[t].T, PLACES)
+    yield from median_tree(t, f, s, lambda node, own: values[own, (node + 1).bit_length() - 1])
+
+
+def draw_directions(forest: Forest, m: int) -> None:
     shape = (forest.n_trees, forest.n_inner, m)
     forest.dims, forest.weights = np.zeros(shape, np.int64), np.zeros(shape)
     for t in range(forest.n_trees):
@@ -85,14 +156,19 @@ def grow_pca(train: DataFrame, forest: Forest, most: int = IN_WINDOW) -> Forest:
             places = [f"{forest.seed}:pca:{t}:{n}:{j}" for j in range(m)]
             forest.dims[t, n] = [R.integer(p, forest.dim) for p in places]  # repeats are possible, and meant
             forest.weights[t, n] = [R.normal(p) for p in places]
-    for level in range(forest.depth):
-        for r in moments(train, forest, level).collect():
-            n, total, cross = r.n, np.array(r.total), np.array(r.cross).reshape(m, m)
-            if n > 1:
-                c = 0.02 / (n - 1) * (cross - np.outer(total, total) / n)
-                forest.weights[r.tree, r.node] = principal(c, forest.weights[r.tree, r.node])
-        put_medians(forest, train, level, most)
-    return forest
+
+
+def pca_tree(t: int, f: Forest, s: Sample) -> Iterator[pa.RecordBatch]:
+    """For each node a sparse direction near its rows' first principal component; median splits."""
+
+    def direction(node: int, own: np.ndarray) -> np.ndarray:
+        y = s.x[own][:, f.dims[t, node]]
+        if len(own) > 1:
+            apart = y - y.mean(axis=0)
+            f.weights[t, node] = principal(0.02 / (len(own) - 1) * (apart.T @ apart), f.weights[t, node])
+        return np.round((y * f.weights[t, node]).sum(axis=1), PLACES)
+
+    yield from median_tree(t, f, s, direction)
 
 
 def principal(c: np.ndarray, v: np.ndarray, steps: int = 20, still: float = 0.01) -> np.ndarray:
@@ -108,74 +184,38 @@ def principal(c: np.ndarray, v: np.ndarray, steps: int = 20, still: float = 0.01
     return np.round(v, 9)
 
 
-def moments(train: DataFrame, forest: Forest, level: int) -> DataFrame:
-    """(tree, node, n, total, cross): sums over a node's rows of its sampled dimensions and of their products.
-
-    Every task sums its own rows; what is shuffled is a record for each task and node.
-    """
-    shared = train.sparkSession.sparkContext.broadcast(forest)
-    m = forest.dims.shape[2]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
-        sums: dict[tuple[int, int], list] = {}
-        for b in batches:
-            ids, x = b.column(0).to_numpy(), matrix(b.column(1), f.dim)
-            node = f.nodes_at(x, level, ids)
-            for t in range(f.n_trees):
-                for n in np.unique(node[:, t]):
-                    y = x[node[:, t] == n][:, f.dims[t, n]]
-                    acc = sums.setdefault((t, int(n)), [0, np.zeros(m), np.zeros((m, m))])
-                    acc[0] += len(y)
-                    acc[1] += y.sum(axis=0)
-                    acc[2] += y.T @ y
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int64()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1].tolist() for v in sums.values()], pa.list_(pa.float64())), pa.array([v[2].ravel().tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["tree", "node", "n", "total", "cross"])
-
-    part = train.select(F.col("train_id").cast("long").alias("train_id"), "vec").mapInArrow(run, "tree int, node long, n long, total array<double>, cross array<double>")
-    add = lambda name, size: F.array(*[F.sum(F.col(name)[i]) for i in range(size)]).alias(name)
-    if m > 24:  # too many sums for one generated expression
-        def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"tree": pdf.tree[:1], "node": pdf.node[:1], "n": [pdf.n.sum()], "total": [np.sum(np.stack(pdf.total), axis=0)], "cross": [np.sum(np.stack(pdf.cross), axis=0)]})
-
-        return part.groupBy("tree", "node").applyInPandas(merged, part.schema)
-    return part.groupBy("tree", "node").agg(F.sum("n").alias("n"), add("total", m), add("cross", m * m))
-
-
-def level_dims(forest: Forest) -> np.ndarray:
-    """[tree, level, m]: the dimensions that every node of a level may split on, in the order they are tried."""
-    m = projected_dims(forest.density, forest.dim)
-    return np.array([[R.sample(f"{forest.seed}:rf:{t}:{level}", m, forest.dim) for level in range(forest.depth)] for t in range(forest.n_trees)], np.int64).reshape(forest.n_trees, forest.depth, m)
-
-
-def node_samples(train: DataFrame, knn: DataFrame, forest: Forest, level: int, size: int = SUBSAMPLE) -> DataFrame:
-    """(tree, node, train_id, vec, labels): up to `size` rows a node, those of the least hashes."""
-    shared = train.sparkSession.sparkContext.broadcast(forest)
-    seed = forest.seed
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A task keeps no more than `size` rows a node, so that this many a task and node are shuffled.
-        f = shared.value
-        kept: dict[tuple[int, int], list[tuple[str, int]]] = {}
-        for b in batches:
-            ids, x = b.column(0).to_numpy(), matrix(b.column(1), f.dim)
-            node = f.nodes_at(x, level)
-            for t in range(f.n_trees):
-                for i, n in zip(ids.tolist(), node[:, t].tolist(), strict=True):
-                    own = kept.setdefault((t, n), [])
-                    own.append((hashlib.md5(f"{seed}:sub:{t}:{n}:{i}".encode()).hexdigest(), i))
-                    if len(own) > 4 * size:
-                        own.sort()
-                        del own[size:]
-        rows = [(t, n, h, i) for (t, n), own in kept.items() for h, i in sorted(own)[:size]]
-        if rows:
-            tree, node, h, i = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(node, pa.int64()), pa.array(h), pa.array(i, pa.int64())], names=["tree", "node", "h", "train_id"])
-
-    some = train.select(F.col("train_id").cast("long").alias("train_id"), "vec").mapInArrow(run, "tree int, node long, h string, train_id long")
-    w = Window.partitionBy("tree", "node").orderBy("h", "train_id")
-    some = some.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= size).select("tree", "node", "train_id")
-    return some.join(train.select("train_id", "vec"), "train_id").join(knn.select("train_id", F.array_distinct("labels").alias("labels")), "train_id")
+def tried_dims(forest: Forest, tree: int, level: int) -> list[int]:
+    """The dimensions that every node of a tree's level may split on, in the order they are tried."""
+    return R.sample(f"{forest.seed}:rf:{tree}:{level}", projected_dims(forest.density, forest.dim), forest.dim)
+
+
+def node_sample(ids: np.ndarray, seed: int, tree: int, node: int, size: int = SUBSAMPLE) -> np.ndarray:
+    """Positions of up to `size` of a node's rows, those of the least hashes, in the order of ids."""
+    if len(ids) <= size:
+        return np.arange(len(ids))
+    digest = np.array([hashlib.md5(f"{seed}:sub:{tree}:{node}:{i}".encode()).hexdigest() for i in ids.tolist()])
+    return np.sort(np.lexsort((ids, digest))[:size])
+
+
+def rf_tree(t: int, f: Forest, s: Sample) -> Iterator[pa.RecordBatch]:
+    """Splits of greatest entropy gain over the labels; a node without one is terminal, and all below it."""
+    level_dims = [tried_dims(f, t, level) for level in range(f.depth)]
+    rows = [np.arange(len(s.ids))]
+    out = []
+    for node in range(f.n_inner):
+        own, rows[node] = rows[node], None
+        found = None
+        if len(own) > 1:
+            some = own[node_sample(s.ids[own], f.seed, t, node)]
+            found = best_split(s.x[some], [s.labels[i] for i in some], level_dims[(node + 1).bit_length() - 1])
+        if found is None:
+            rows += [own[:0], own[:0]]
+            continue
+        out.append((t, node, found[1], 0.0, 0, found[0], None))
+        left = s.x[own, found[0]] <= found[1]
+        rows += [own[left], own[~left]]
+    if out:
+        yield node_batch(out)
 
 
 def entropy_sums(row: np.ndarray, label: np.ndarray, n: int) -> np.ndarray:
@@ -188,7 +228,7 @@ def entropy_sums(row: np.ndarray, label: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(np.bincount(row[order], grown, n))
 
 
-def gains(key: np.ndarray, labels: list[list[int]]) -> list[tuple[int, float, float]]:
+def boundary_gains(key: np.ndarray, labels: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position, gain, split) at each boundary between different neighbouring keys; rows sorted by key.
 
     The impurity of s rows is k log2 s - (1/s) sum v log2 v: k labels a row, v rows with a label.
@@ -201,42 +241,20 @@ def gains(key: np.ndarray, labels: list[list[int]]) -> list[tuple[int, float, fl
     a, b = i + 1.0, n - i - 1.0
     left, right = k * np.log2(a) - ahead[i] / a, k * np.log2(b) - behind[i + 1] / b
     gain = k * np.log2(n) - ahead[-1] / n - (a / n * left + b / n * right)
-    return list(zip(i.tolist(), gain.tolist(), ((key[i] + key[i + 1]) / 2).tolist(), strict=True))
+    return i, gain, (key[i] + key[i + 1]) / 2
+
 
+def gains(key: np.ndarray, labels: list) -> list[tuple[int, float, float]]:
+    return list(zip(*(x.tolist() for x in boundary_gains(key, labels)), strict=True))
 
-def best_split(x: np.ndarray, labels: list[list[int]], dims: list[int], tolerance: float = TOLERANCE) -> tuple[int, float] | None:
+
+def best_split(x: np.ndarray, labels: list, dims: list[int], tolerance: float = TOLERANCE) -> tuple[int, float] | None:
     """The split kept after trying dims in order and positions upwards: one must beat the last by the tolerance."""
     best, pick = 0.0, None
     for d in dims:
         order = np.argsort(x[:, d], kind="stable")
-        for _, gain, split in gains(x[order, d], [labels[i] for i in order]):
-            if gain > best + tolerance:
-                best, pick = gain, (int(d), split)
+        _, gain, split = boundary_gains(x[order, d], [labels[i] for i in order])
+        for j in np.flatnonzero(gain > best + tolerance).tolist():
+            if gain[j] > best + tolerance:
+                best, pick = float(gain[j]), (int(d), float(split[j]))
     return pick
-
-
-def splitter(dims: list[list[int]]):
-    """A node's rows to its split; dims: what each tree tries at this level."""
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("train_id")
-        x = np.stack(pdf.vec.to_numpy()).astype(np.float64)
-        found = best_split(x, [list(v) for v in pdf.labels], dims[int(pdf.tree.iloc[0])]) if len(pdf) > 1 else None
-        return pd.DataFrame({"tree": [pdf.tree.iloc[0]], "node": [pdf.node.iloc[0]], "dim": [found[0] if found else TERMINAL], "split": [found[1] if found else 0.0]})
-
-    return split
-
-
-def grow_rf(train: DataFrame, knn: DataFrame, forest: Forest, size: int = SUBSAMPLE) -> Forest:
-    """Splits of greatest entropy gain over the labels; a node without one is terminal."""
-    tried = level_dims(forest)
-    if not tried.shape[2]:
-        return forest
-    for level in range(forest.depth):
-        split = splitter(tried[:, level].tolist())
-        samples = node_samples(train, knn, forest, level, size)
-        for r in samples.groupBy("tree", "node").applyInPandas(split, "tree int, node long, dim long, split double").collect():
-            above = (r.node - 1) // 2
-            if level == 0 or forest.split_dims[r.tree, above] != TERMINAL:  # below a terminal node there is nothing
-                forest.split_dims[r.tree, r.node], forest.splits[r.tree, r.node] = r["dim"], r["split"]
-    return forest

@@ -1,14 +1,14 @@
 """Exact search: every query against every corpus row, by L2 or inner product.
 
-Two plans with the same result. `expressions` stays in the JVM and suits few rows. `kernel` sends blocks
-of queries of bounded size to the tasks that scan the corpus, keeps each task's best k a query, and
-ranks what is left: a shuffle of k rows a query and task, whatever the corpus. Ties go to the lower id.
+Two plans with the same result. `expressions` stays in the JVM and suits few rows. `kernel` works on blocks
+as matrices: queries of bounded size are sent to the tasks that scan the corpus, and each task's best k a
+query are shuffled; more queries than that meet the corpus block by block in the cells of a grid. What is
+left is ranked. Ties go to the lower id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +19,26 @@ from ballot.functions.vectors import L2, Metric, reported, sort_key
 from ballot.sources.vectors import check_schema, matrix
 
 QUERY_BYTES = 32 << 20  # of queries sent to all tasks at once
-BEST_ROWS = 640 << 10  # rows of k nearest that a block of queries has at most: a task holds some multiples of them
+BEST_ROWS = 640 << 10  # rows of k nearest that queries sent to all tasks have at most: a task holds some multiples of them
+BLOCK_BYTES = 1 << 20  # of a block of the grid
 CELLS = 4 << 20  # distances held at once in a task
 
 
 def check_k(k: int) -> None:
     if k < 1:
-        raise ValueError("k must be positive")
+        raise ValueError(f"a search needs k of 1 or more, not {k}")
+
+
+def all_pairs(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, __q, id, __c): the stated queries against all rows; they are broadcast if their size allows it."""
+    n, dim = size_of(queries)
+    q = queries.select("qid", F.col("vec").alias("__q"))
+    return corpus.select("id", F.col("vec").alias("__c")).crossJoin(F.broadcast(q) if n * dim * 8 <= QUERY_BYTES else q)
 
 
 def pairwise(corpus: DataFrame, queries: DataFrame, metric: Metric | str = L2) -> DataFrame:
     """(qid, id, distance) of all pairs of a small corpus and few queries."""
-    pairs = corpus.select("id", F.col("vec").alias("__c")).crossJoin(F.broadcast(queries.select("qid", F.col("vec").alias("__q"))))
-    return pairs.select("qid", "id", reported(sort_key(F.col("__q"), F.col("__c"), metric), metric).alias("distance"))
+    return all_pairs(corpus, queries).select("qid", "id", reported(sort_key(F.col("__q"), F.col("__c"), metric), metric).alias("distance"))
 
 
 def ranked(keys: DataFrame, k: int, metric: Metric | str) -> DataFrame:
@@ -60,7 +67,6 @@ def best_of(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: Metri
         near = (q * q).sum(axis=1)[:, None] - 2 * product + (c * c).sum(axis=1)[None, :]
     else:
         near = -product
-    near = np.where(np.isnan(near), np.inf, near)
     if near.shape[1] > k:
         cut = np.partition(near, k - 1, axis=1)[:, k - 1]
         # The product form is off by some ulps of the norms; whatever may belong to the k is measured directly.
@@ -82,52 +88,96 @@ def trimmed(row: np.ndarray, ids: np.ndarray, key: np.ndarray, k: int) -> tuple[
     return row[keep], ids[keep], key[keep]
 
 
-def kernel_keys(corpus: DataFrame, block: list[tuple[int, list[float]]], k: int, metric: Metric) -> DataFrame:
-    """(qid, id, key): the k nearest of each task's part of the corpus, for one block of queries."""
-    shared = corpus.sparkSession.sparkContext.broadcast((np.array([q for q, _ in block], np.int64), np.array([v for _, v in block], np.float64)))
+def best_rows(qids: np.ndarray, q: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray]], k: int, metric: Metric) -> Iterator[pa.RecordBatch]:
+    """(qid, id, key): the k nearest rows of each query among all parts (ids, vectors)."""
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    for ids, c in parts:
+        for lo in range(0, len(c), 4096):
+            part, own = c[lo : lo + 4096], ids[lo : lo + 4096]
+            step = max(1, CELLS // len(part))
+            for at in range(0, len(q), step):
+                row, found, key = best_of(q[at : at + step], part, own, k, metric)
+                held = tuple(np.concatenate(x) for x in zip(held, (row + at, found, key), strict=True))
+            if len(held[0]) > 4 * k * len(q):
+                held = trimmed(*held, k)
+    row, found, key = trimmed(*held, k)
+    if len(row):
+        yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(found), pa.array(key)], names=["qid", "id", "key"])
+
+
+KEYS = "qid long, id long, key double"
+
+
+def kernel_keys(corpus: DataFrame, queries: DataFrame, dim: int, k: int, metric: Metric) -> DataFrame:
+    """The k nearest of each task's part of the corpus, for few enough queries to be sent to all tasks."""
+    got = queries.select(F.col("qid").cast("long").alias("qid"), "vec").toArrow().combine_chunks()
+    vecs = pa.concat_arrays(got.column("vec").chunks) if got.num_rows else None
+    shared = corpus.sparkSession.sparkContext.broadcast((got.column("qid").to_numpy(), matrix(vecs, dim) if got.num_rows else np.zeros((0, dim))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = shared.value
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        yield from best_rows(qids, q, ((b.column(0).to_numpy(), matrix(b.column(1), dim)) for b in batches), k, metric)
+
+    return corpus.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(run, KEYS)
+
+
+def packed(df: DataFrame, id_column: str, dim: int, rows: int) -> DataFrame:
+    """(block, ids, vecs): blocks of up to `rows` rows as little-endian bytes; block: a number to deal them by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
         for b in batches:
-            ids, c = b.column(0).to_numpy(), matrix(b.column(1), q.shape[1])
-            for lo in range(0, len(c), 4096):
-                part, own = c[lo : lo + 4096], ids[lo : lo + 4096]
-                step = max(1, CELLS // len(part))
-                for at in range(0, len(q), step):
-                    row, found, key = best_of(q[at : at + step], part, own, k, metric)
-                    held = tuple(np.concatenate(x) for x in zip(held, (row + at, found, key), strict=True))
-                if len(held[0]) > 4 * k * len(q):
-                    held = trimmed(*held, k)
-        row, found, key = trimmed(*held, k)
-        if len(row):
-            yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(found), pa.array(key)], names=["qid", "id", "key"])
-
-    return corpus.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(run, "qid long, id long, key double")
-
-
-def query_blocks(queries: DataFrame, most: int = QUERY_BYTES, rows: int = BEST_ROWS) -> Iterator[list[tuple[int, list[float]]]]:
-    held, size = [], 0
-    for r in queries.select(F.col("qid").cast("long").alias("qid"), "vec").toLocalIterator():
-        held.append((r.qid, r.vec))
-        size += 8 * len(r.vec)
-        if size >= most or len(held) >= rows:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+            for lo in range(0, b.num_rows, rows):
+                part = b.slice(lo, rows)
+                ids, x = part.column(0).to_numpy(), matrix(part.column(1), dim)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<f8").tobytes()], pa.binary())], names=["block", "ids", "vecs"])
+                number += 1
+
+    out = df.select(F.col(id_column).cast("long").alias("id"), "vec").mapInArrow(run, "block long, ids binary, vecs binary")
+    return out.withColumn("block", F.xxhash64("block", "ids"))
+
+
+def grid_keys(corpus: DataFrame, queries: DataFrame, n_queries: int, dim: int, k: int, metric: Metric) -> DataFrame:
+    """The k nearest in each cell of a grid: blocks of queries by columns, blocks of the corpus by rows.
+
+    Every block is copied along its own side of the grid only, so a cell reads an even part of either, and
+    nothing goes through the driver; a cell's pairs of blocks are met one at a time.
+    """
+    rows = max(1, BLOCK_BYTES // (8 * dim))
+    columns = max(1, -(-n_queries * dim * 8 // QUERY_BYTES))
+    lines = max(1, -(-corpus.sparkSession.sparkContext.defaultParallelism * 2 // columns))
+    c = packed(corpus, "id", dim, rows).select(F.pmod("block", F.lit(lines)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"), F.col("ids").alias("cid"), F.col("vecs").alias("c"))
+    q = packed(queries, "qid", dim, rows).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lines - 1).cast("long"))).alias("i"), F.pmod("block", F.lit(columns)).cast("int").alias("j"), F.col("ids").alias("qid"), F.col("vecs").alias("q"))
+    pairs = q.join(c.hint("merge"), ["i", "j"]).select("qid", "q", "cid", "c")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                qids, q, ids, c = (b.column(i)[at].as_py() for i in range(4))
+                parts = [(np.frombuffer(ids, "<i8"), np.frombuffer(c, "<f8").reshape(-1, dim))]
+                yield from best_rows(np.frombuffer(qids, "<i8"), np.frombuffer(q, "<f8").reshape(-1, dim), iter(parts), k, metric)
+
+    return pairs.mapInArrow(run, KEYS)
+
+
+def size_of(queries: DataFrame) -> tuple[int, int]:
+    """(rows, dimension)"""
+    r = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    return r.n, r.dim or 0
 
 
 def exact_keys(corpus: DataFrame, queries: DataFrame, k: int, metric: Metric | str = L2, plan: str = "kernel", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(qid, id, key): at least the k nearest rows of every query."""
     metric = Metric.of(metric)
     if plan == "expressions":
-        pairs = corpus.select("id", F.col("vec").alias("__c")).crossJoin(F.broadcast(queries.select("qid", F.col("vec").alias("__q"))))
+        pairs = all_pairs(corpus, queries)
         return pairs.select("qid", "id", sort_key(F.col("__q"), F.col("__c"), metric).alias("key"))
     if plan != "kernel":
         raise ValueError(f"unknown plan {plan!r}; use 'kernel' or 'expressions'")
-    parts = [kernel_keys(corpus, block, k, metric) for block in query_blocks(queries, query_bytes, max(1, BEST_ROWS // k))]
-    return reduce(DataFrame.unionAll, parts) if parts else queries.sparkSession.createDataFrame([], "qid long, id long, key double")
+    n, dim = size_of(queries)
+    if n * dim * 8 <= query_bytes and n * k <= BEST_ROWS:
+        return kernel_keys(corpus, queries, dim, k, metric)
+    return grid_keys(corpus, queries, n, dim, k, metric)
 
 
 def exact_search(corpus: DataFrame, queries: DataFrame, k: int, metric: Metric | str = L2, return_distances: bool = True, pad: bool = True, plan: str = "kernel") -> DataFrame:

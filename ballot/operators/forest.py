@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ballot.functions import randomness as R
-from ballot.sources.vectors import matrix
+from ballot.sources.vectors import matrix, of_dimension
 
 PLACES = 9
 TERMINAL = -1
@@ -32,7 +32,7 @@ def resolve_density(density: float | str | None, dim: int) -> float:
     if density is None:
         return 1.0
     if isinstance(density, str) or not 0 < density <= 1:
-        raise ValueError("density should be in (0, 1], 'auto' or None")
+        raise ValueError(f"density is a share above 0 and up to 1, 'auto' or None, not {density!r}")
     return float(density)
 
 
@@ -113,11 +113,11 @@ class Forest:
         return out
 
 
-def routed(df: DataFrame, id_column: str, forest: Forest, training: bool = False) -> DataFrame:
-    """(id_column, tree, leaf): the leaf each row reaches in every tree; `training`: where building put it."""
+def leaves_of(df: DataFrame, id_column: str, forest: Forest, training: bool = False, with_vec: bool = False) -> DataFrame:
+    """(id_column, leaves[, vec]): the leaf each row reaches, by tree; `training`: ties on a split go by id, as in building."""
     shared = df.sparkSession.sparkContext.broadcast(forest)
-    src = df.select(F.col(id_column).cast("long").alias(id_column), "vec")
-    schema = T.StructType([T.StructField(id_column, T.LongType()), T.StructField("leaves", T.ArrayType(T.IntegerType()))])
+    src = df.select(F.col(id_column).cast("long").alias(id_column), of_dimension(forest.dim, "rows to be routed"))
+    schema = T.StructType([T.StructField(id_column, T.LongType()), T.StructField("leaves", T.ArrayType(T.IntegerType())), *([T.StructField("vec", df.schema["vec"].dataType)] if with_vec else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
@@ -125,19 +125,24 @@ def routed(df: DataFrame, id_column: str, forest: Forest, training: bool = False
             ids = b.column(0).to_numpy()
             leaves = f.leaves(matrix(b.column(1), f.dim), ids if training else None).astype(np.int32)
             offsets = np.arange(0, leaves.size + 1, f.n_trees, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, leaves.ravel())], names=[id_column, "leaves"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, leaves.ravel()), *([b.column(1)] if with_vec else [])], names=schema.names)
+
+    return src.mapInArrow(run, schema)
 
-    return src.mapInArrow(run, schema).select(id_column, F.posexplode("leaves").alias("tree", "leaf"))
+
+def routed(df: DataFrame, id_column: str, forest: Forest, training: bool = False) -> DataFrame:
+    """(id_column, tree, leaf): a row for each tree."""
+    return leaves_of(df, id_column, forest, training).select(id_column, F.posexplode("leaves").alias("tree", "leaf"))
 
 
 def check_shape(kind: str, n_trees: int, depth: int, n_train: int) -> None:
     if n_trees < 1:
-        raise ValueError("n_trees must be positive")
+        raise ValueError(f"a forest needs a tree or more, not {n_trees}")
     if kind == "RF":
         if not 0 <= depth <= 24:
-            raise ValueError("depth must be from 0 to 24")
+            raise ValueError(f"RF trees have depths from 0 to 24, not {depth}")
     elif depth < 1 or depth > int(math.log2(n_train)):
-        raise ValueError(f"depth must be from 1 to log2 of the {n_train} training rows")
+        raise ValueError(f"{n_train} rows that place splits carry depths from 1 to {int(math.log2(max(1, n_train)))}, not {depth}")
 
 
 def rp_weights(n_trees: int, depth: int, dim: int, density: float, seed: int) -> np.ndarray:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ def candidate_keys(candidates: DataFrame, corpus: DataFrame, queries: DataFrame,
             dim = len(b.column(2)[0])
             c, q = matrix(b.column(2), dim), matrix(b.column(3), dim)
             key = ((q - c) ** 2).sum(axis=1) if metric is L2 else -(q * c).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.where(np.isnan(key), np.inf, key))], names=["qid", "id", "key"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key)], names=["qid", "id", "key"])
 
     return pairs.select(F.col("qid").cast("long").alias("qid"), F.col("id").cast("long").alias("id"), "c", "q").mapInArrow(run, "qid long, id long, key double")
 

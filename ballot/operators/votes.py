@@ -9,9 +9,14 @@ ROOM = 1e-12  # sums of normalised votes are compared with this much room
 
 
 def leaf_counts(train_leaves: DataFrame, knn: DataFrame) -> DataFrame:
-    """(tree, leaf, label, count) of the labels of the training rows in each leaf; labels under 0 are no rows."""
-    own = knn.select("train_id", F.explode("labels").alias("label")).filter("label >= 0")
-    return train_leaves.join(own, "train_id").groupBy("tree", "leaf", "label").agg(F.count(F.lit(1)).alias("count"))
+    """(tree, leaf, label, count) of the labels of the training rows in each leaf; labels under 0 are no rows.
+
+    train_leaves: (train_id, leaves), as routing gives them; a training row is joined to its labels once, not
+    once a tree. Counts are summed before they are shuffled.
+    """
+    both = train_leaves.join(knn.select("train_id", F.filter("labels", lambda x: x >= 0).alias("labels")), "train_id")
+    slots = both.select(F.posexplode("leaves").alias("tree", "leaf"), "labels").select("tree", "leaf", F.explode("labels").alias("label"))
+    return slots.groupBy("tree", "leaf", "label").agg(F.count(F.lit(1)).alias("count"))
 
 
 def leaf_votes(counts: DataFrame, b: int = 1, n_trees: int | None = None) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballot.functions.vectors import L2, Metric
-from ballot.operators import build as grow
-from ballot.operators.evaluate import candidate_counts
+from ballot.operators.build import FIT_ROWS, grow
+from ballot.operators.evaluate import candidate_counts, votes_for_recall
 from ballot.operators.exact import exact_search
-from ballot.operators.forest import Forest, check_shape, resolve_density, routed
+from ballot.operators.forest import Forest, check_shape, leaves_of, resolve_density, routed
 from ballot.operators.rerank import rerank
 from ballot.operators.votes import elected, leaf_counts, leaf_votes, votes
 from ballot.sources.vectors import check_schema, check_vectors
@@ -43,21 +43,20 @@ class VectorIndex:
     def empty(self) -> bool:
         return self.forest is None or not self.forest.n_trees
 
-    def build(self, train: DataFrame, knn: DataFrame, n_trees: int, depth: int, density: float | str | None = "auto", b: int = 1) -> VectorIndex:
-        """train: (train_id, vec); knn: (train_id, labels), each row the ids of its nearest corpus rows."""
+    def build(self, train: DataFrame, knn: DataFrame, n_trees: int, depth: int, density: float | str | None = "auto", b: int = 1, fit_rows: int = FIT_ROWS) -> VectorIndex:
+        """train: (train_id, vec); knn: (train_id, labels), each row the ids of its nearest corpus rows.
+
+        Splits are placed by about `fit_rows` training rows at most (and by 64 MB of them); all training rows
+        are routed, and all their labels counted.
+        """
         if self.built:
-            raise RuntimeError("The index has already been built")
+            raise RuntimeError("this index is built already; make another for other parameters")
         density = resolve_density(density, self.dim)
         n_train, _ = check_vectors(train, "train", self.dim, "train_id")
-        check_shape(self.index_type, n_trees, depth, n_train)
+        check_shape(self.index_type, n_trees, depth, min(n_train, fit_rows))
         forest = Forest(self.index_type, n_trees, depth, self.dim, density, b, self.seed)
-        if self.index_type == "RP":
-            grow.grow_rp(train, forest)
-        elif self.index_type == "PCA":
-            grow.grow_pca(train, forest)
-        else:
-            grow.grow_rf(train, knn, forest)
-        counts = leaf_counts(routed(train, "train_id", forest, training=True), knn)
+        grow(train, forest, n_train, knn, fit_rows)
+        counts = leaf_counts(leaves_of(train, "train_id", forest, training=True), knn)
         self.leaf_votes = leaf_votes(counts, b, n_trees if self.index_type == "RF" else None)
         self.forest = forest
         return self
@@ -75,7 +74,7 @@ class VectorIndex:
 
     def _ready(self) -> None:
         if not self.built:
-            raise RuntimeError("Cannot query before building index")
+            raise RuntimeError("this index has no trees yet; build or load it first")
 
     def leaves(self, queries: DataFrame) -> DataFrame:
         """(qid, tree, leaf)."""
@@ -94,6 +93,10 @@ class VectorIndex:
     def n_candidates(self, queries: DataFrame, votes_required: float) -> DataFrame:
         return candidate_counts(self.candidates(queries, votes_required), queries)
 
+    def votes_for_recall(self, queries: DataFrame, k: int, target: float = 0.9, dist: Metric | str = L2) -> float:
+        """A votes_required that elects a share `target` of these queries' exact neighbours; a sample of queries will do."""
+        return votes_for_recall(self.votes(queries), self.exact_search(queries, k, dist), target)
+
     def ann(self, queries: DataFrame, k: int, votes_required: float, dist: Metric | str = L2, return_distances: bool = False) -> DataFrame:
         """(qid, rank, id[, distance]): the k nearest of the rows that get the votes, -1 where there are fewer."""
         return rerank(self.candidates(queries, votes_required), self.corpus, queries, k, dist, return_distances)
@@ -130,7 +133,18 @@ class VectorIndex:
 
 
 def positional(df: DataFrame, vec_column: str = "vec", id_column: str = "id") -> DataFrame:
-    """(id, vec) with ids 0, 1, ... in the frame's order, for sources without ids."""
-    rows = df.select(F.col(vec_column).alias("vec"))
-    numbered = rows.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return df.sparkSession.createDataFrame(numbered, f"{id_column} long, vec {rows.schema['vec'].dataType.simpleString()}")
+    """(id, vec) with ids 0, 1, ... in the frame's order, for sources without ids.
+
+    Rows are counted a partition; each partition then adds the count of those before it. The frame must
+    give the same partitions both times, as a table read from files does.
+    """
+    vec = df.select(F.col(vec_column).alias("vec"))
+    placed = vec.withColumn("at", F.monotonically_increasing_id())  # partition number times 2^33, plus place
+    sizes = placed.groupBy(F.shiftright("at", 33).alias("part")).count().orderBy("part").collect()  # one record a partition
+    before, total = {}, 0
+    for r in sizes:
+        before[r.part] = total
+        total += r["count"]
+    rows = df.sparkSession.createDataFrame(list(before.items()), "part long, before long")
+    placed = placed.join(F.broadcast(rows), F.shiftright("at", 33) == F.col("part"))
+    return placed.select((F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias(id_column), "vec")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ballot.plans import forest_sql
-from ballot.plans.queries import DEPTH, DIM, K, LABELLED, NARROW, QUERY_EVERY, RF_SHARE, SEED, TRAIN_K, TREES, VOTES
+from ballot.plans.queries import CLASS_LABELS, DEPTH, DIM, K, LABELLED, NARROW, QUERY_EVERY, RF_SHARE, SEED, TRAIN_K, TREES, VOTES
 
 V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings)"
 S = "s AS (SELECT id, list_transform(vec, lambda x: x * (1 + id % 7)) AS vec FROM v)"
@@ -41,22 +41,35 @@ def projection(density: float) -> str:
     return f"WITH {V}, {weights(density)} SELECT id, t::INT AS tree, l::INT AS level, round(list_inner_product(vec, w), 6) + 0.0 AS value FROM v, w"
 
 
-def forest() -> str:
-    """CTEs: p (projections), n0.. (training rows' nodes), splits, leaves, labels, counts, route."""
-    out = [V, S, Q, weights(0.125), "p AS (SELECT id, t, l, round(list_inner_product(vec, w), 9) AS x FROM v, w)", f"n0 AS (SELECT id, t, 0 AS node FROM v, range({TREES}) a(t))"]
-    for level in range(DEPTH):
-        out.append(f"r{level} AS (SELECT n.id, n.t, n.node, x, row_number() OVER (PARTITION BY n.t, node ORDER BY x, n.id) AS r, count(*) OVER (PARTITION BY n.t, node) AS c FROM n{level} n JOIN p ON p.id = n.id AND p.t = n.t AND p.l = {level})")
-        out.append(f"s{level} AS (SELECT t, node, median(x) AS split FROM r{level} GROUP BY t, node)")
-        out.append(f"n{level + 1} AS (SELECT id, t, 2 * node + CASE WHEN r <= (c + 1) // 2 THEN 1 ELSE 2 END AS node FROM r{level})")
-    out.append("splits AS (" + " UNION ALL ".join(f"SELECT * FROM s{level}" for level in range(DEPTH)) + ")")
-    out.append(f"leaves AS (SELECT id AS train_id, t, node - {2**DEPTH - 1} AS leaf FROM n{DEPTH})")
-    out.append(f"labels AS (SELECT qid AS train_id, id AS label FROM ({ranked(pairs(L2, queries='a').replace('FROM a, v', 'FROM (SELECT id AS qid, vec FROM v) a, v'), TRAIN_K)}))")
-    out.append("counts AS (SELECT t, leaf, label, count(*) AS c FROM leaves JOIN labels USING (train_id) GROUP BY ALL)")
-    out.append(f"g0 AS (SELECT qid, t, 0 AS node FROM q, range({TREES}) a(t))")
+ALL_LABELS = f"labels AS MATERIALIZED (SELECT qid AS train_id, id AS label FROM ({ranked(pairs(L2, queries='a').replace('FROM a, v', 'FROM (SELECT id AS qid, vec FROM v) a, v'), TRAIN_K)}))"
+
+
+def forest(*parts: str) -> str:
+    """CTEs of an RP forest: p (projections), n0.. (training rows' nodes), splits, and those of parts with what they need:
+    leaves, labels, counts, route, summed.
+    """
+    parts = set(parts)
+    parts |= {"counts", "route"} if "summed" in parts else set()
+    parts |= {"leaves", "labels"} if "counts" in parts else set()
+    out = [V, S, Q, weights(0.125), "p AS MATERIALIZED (SELECT id, t, l, round(list_inner_product(vec, w), 9) AS x FROM v, w)", f"n0 AS MATERIALIZED (SELECT id, t, 0 AS node FROM v, range({TREES}) a(t))"]
     for level in range(DEPTH):
-        out.append(f"g{level + 1} AS (SELECT g.qid, g.t, 2 * g.node + CASE WHEN x <= split THEN 1 ELSE 2 END AS node FROM g{level} g JOIN p ON p.id = g.qid AND p.t = g.t AND p.l = {level} JOIN splits s ON s.t = g.t AND s.node = g.node)")
-    out.append(f"route AS (SELECT qid, t, node - {2**DEPTH - 1} AS leaf FROM g{DEPTH})")
-    out.append("summed AS (SELECT qid, label, sum(c)::DOUBLE AS votes FROM route JOIN counts USING (t, leaf) GROUP BY ALL)")
+        out.append(f"r{level} AS MATERIALIZED (SELECT n.id, n.t, n.node, x, row_number() OVER (PARTITION BY n.t, node ORDER BY x, n.id) AS r, count(*) OVER (PARTITION BY n.t, node) AS c FROM n{level} n JOIN p ON p.id = n.id AND p.t = n.t AND p.l = {level})")
+        out.append(f"s{level} AS MATERIALIZED (SELECT t, node, median(x) AS split FROM r{level} GROUP BY t, node)")
+        out.append(f"n{level + 1} AS MATERIALIZED (SELECT id, t, 2 * node + CASE WHEN r <= (c + 1) // 2 THEN 1 ELSE 2 END AS node FROM r{level})")
+    out.append("splits AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM s{level}" for level in range(DEPTH)) + ")")
+    if "leaves" in parts:
+        out.append(f"leaves AS (SELECT id AS train_id, t, node - {2**DEPTH - 1} AS leaf FROM n{DEPTH})")
+    if "labels" in parts:
+        out.append(ALL_LABELS)
+    if "counts" in parts:
+        out.append("counts AS MATERIALIZED (SELECT t, leaf, label, count(*) AS c FROM leaves JOIN labels USING (train_id) GROUP BY ALL)")
+    if "route" in parts:
+        out.append(f"g0 AS (SELECT qid, t, 0 AS node FROM q, range({TREES}) a(t))")
+        for level in range(DEPTH):
+            out.append(f"g{level + 1} AS MATERIALIZED (SELECT g.qid, g.t, 2 * g.node + CASE WHEN x <= split THEN 1 ELSE 2 END AS node FROM g{level} g JOIN p ON p.id = g.qid AND p.t = g.t AND p.l = {level} JOIN s{level} s ON s.t = g.t AND s.node = g.node)")
+        out.append(f"route AS (SELECT qid, t, node - {2**DEPTH - 1} AS leaf FROM g{DEPTH})")
+    if "summed" in parts:
+        out.append("summed AS MATERIALIZED (SELECT qid, label, sum(c)::DOUBLE AS votes FROM route JOIN counts USING (t, leaf) GROUP BY ALL)")
     return "WITH " + ",\n".join(out)
 
 
@@ -84,28 +97,37 @@ gains AS (SELECT t, ord, d, i - 1 AS position, (key + next) / 2 AS split,
   FROM bounds WHERE next IS NOT NULL AND next <> key)"""
 
 
-LABELS = f"labels AS MATERIALIZED (SELECT qid AS train_id, id AS label FROM ({ranked(pairs(L2, queries='a').replace('FROM a, v', 'FROM (SELECT id AS qid, vec FROM v) a, v'), TRAIN_K)}))"
+#: Labels that the rows of a class share.
+CLASSES = f"labels AS MATERIALIZED (SELECT vec_id AS train_id, label * 100 + j AS label FROM embeddings, range({CLASS_LABELS}) a(j))"
 TRIED = 8  # whole part of DIM / sqrt(DIM)
 
 
-def trees(kind: str) -> str:
-    """CTEs of a whole forest, up to the summed votes of the queries."""
-    out = [V, Q, LABELS]
-    if kind == "RF":
-        out += forest_sql.rf_levels(DEPTH, TREES, DIM, TRIED, SEED, TRAIN_K) + forest_sql.rf_route(DEPTH, TREES)
-    else:
-        out += forest_sql.pca_levels(DEPTH, TREES, DIM, TRIED, SEED) + forest_sql.pca_route(DEPTH, TREES)
-    out.append(f"leaves AS (SELECT id AS train_id, t, node - {2**DEPTH - 1} AS leaf FROM f{DEPTH})")
-    out.append("counts AS (SELECT t, leaf, label, count(*) AS c FROM leaves JOIN labels USING (train_id) GROUP BY ALL)")
-    vote = "c::DOUBLE" if kind == "PCA" else f"c / (sum(c) OVER (PARTITION BY t, leaf) * {TREES})::DOUBLE"
-    out.append(f"weighed AS (SELECT t, leaf, label, {vote} AS vote FROM counts)")
-    out.append(f"summed AS (SELECT qid, label, sum(vote) AS votes FROM (SELECT qid, t, node - {2**DEPTH - 1} AS leaf FROM g{DEPTH}) JOIN weighed USING (t, leaf) GROUP BY ALL)")
+def trees(kind: str, *parts: str, labels: str = ALL_LABELS, train_k: int = TRAIN_K) -> str:
+    """CTEs of a whole RF or PCA forest, and those of parts: leaves, counts, route, summed."""
+    parts = set(parts)
+    parts |= {"counts", "route"} if "summed" in parts else set()
+    parts |= {"leaves"} if "counts" in parts else set()
+    out = [V, S, Q]
+    if kind == "RF" or "counts" in parts:
+        out.append(labels)
+    out += forest_sql.rf_levels(DEPTH, TREES, DIM, TRIED, SEED, train_k) if kind == "RF" else forest_sql.pca_levels(DEPTH, TREES, DIM, TRIED, SEED)
+    if "route" in parts:
+        out += (forest_sql.rf_route if kind == "RF" else forest_sql.pca_route)(DEPTH, TREES)
+        out.append(f"route AS (SELECT qid, t, node - {2**DEPTH - 1} AS leaf FROM g{DEPTH})")
+    if "leaves" in parts:
+        out.append(f"leaves AS (SELECT id AS train_id, t, node - {2**DEPTH - 1} AS leaf FROM f{DEPTH})")
+    if "counts" in parts:
+        out.append("counts AS MATERIALIZED (SELECT t, leaf, label, count(*) AS c FROM leaves JOIN labels USING (train_id) GROUP BY ALL)")
+    if "summed" in parts:
+        vote = "c::DOUBLE" if kind == "PCA" else f"c / (sum(c) OVER (PARTITION BY t, leaf) * {TREES})::DOUBLE"
+        out.append(f"weighed AS (SELECT t, leaf, label, {vote} AS vote FROM counts)")
+        out.append("summed AS MATERIALIZED (SELECT qid, label, sum(vote) AS votes FROM route JOIN weighed USING (t, leaf) GROUP BY ALL)")
     return "WITH RECURSIVE " + ",\n".join(out)
 
 
-def nodes(kind: str) -> str:
+def nodes(kind: str, head: str | None = None) -> str:
     own = "coalesce(s.d, -1)::INT AS split_dim" if kind == "RF" else "-1 AS split_dim"
-    return f"{trees(kind)} SELECT a.t::INT AS tree, b.node::INT AS node, floor(log2(b.node + 1))::INT AS level, {own}, coalesce(round(s.split, 4), 0.0::DOUBLE) + 0.0 AS split_point FROM range({TREES}) a(t) CROSS JOIN range({2**DEPTH - 1}) b(node) LEFT JOIN splits s ON s.t = a.t AND s.node = b.node"
+    return f"{head or trees(kind)} SELECT a.t::INT AS tree, b.node::INT AS node, floor(log2(b.node + 1))::INT AS level, {own}, coalesce(round(s.split, 4), 0.0::DOUBLE) + 0.0 AS split_point FROM range({TREES}) a(t) CROSS JOIN range({2**DEPTH - 1}) b(node) LEFT JOIN splits s ON s.t = a.t AND s.node = b.node"
 
 
 def share(found: str, exact: str, head: str) -> str:
@@ -113,8 +135,8 @@ def share(found: str, exact: str, head: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    f = forest()
     exact = ranked(pairs(L2), K)
+    classes = trees("RF", labels=CLASSES, train_k=CLASS_LABELS)
     rf_least = f"{RF_SHARE} / (SELECT count(*) FROM v)"
     return {
         "pairwise_l2": f"{BASE} SELECT qid, id, round(d, 5) + 0.0 AS distance FROM ({pairs(L2)})",
@@ -128,30 +150,41 @@ def oracle_sql() -> dict[str, str]:
         "exact_k1_ip": f"{BASE} {ranked(pairs(IP, 's'), 1, 'DESC')}",
         "exact_ids_only": f"{BASE} SELECT qid, rank, id FROM ({exact})",
         "exact_padded": f"{BASE} {padded(ranked(pairs(L2, where=f'WHERE label = {LABELLED}'), NARROW), NARROW)}",
-        "training_labels": f"{f} SELECT train_id, label FROM labels",
+        "training_labels": f"{forest('labels')} SELECT train_id, label FROM labels",
         "rp_projection_dense": projection(1.0),
         "rp_projection_sparse": projection(0.125),
-        "rp_split_points": f"{f} SELECT t::INT AS tree, node, round(split, 4) + 0.0 AS split_point FROM splits",
-        "rp_leaf_assignment": f"{f} SELECT train_id, t::INT AS tree, leaf FROM leaves",
-        "leaf_votes_raw": f"{f} SELECT t::INT AS tree, leaf, label, c::DOUBLE AS vote FROM counts",
-        "leaf_votes_min_b": f"{f} SELECT t::INT AS tree, leaf, label, c::DOUBLE AS vote FROM counts WHERE c >= 5",
-        "leaf_votes_normalised": f"{f} SELECT t::INT AS tree, leaf, label, round(c / (sum(c) OVER (PARTITION BY t, leaf) * {TREES})::DOUBLE, 9) AS vote FROM counts WHERE c >= 5",
-        "rp_route": f"{f} SELECT qid, t::INT AS tree, leaf FROM route",
-        "rp_votes": f"{f} SELECT qid, label, votes FROM summed",
-        "rp_elected": f"{f} SELECT qid, label, votes FROM summed WHERE votes >= {VOTES}",
-        "rp_n_elected": f"{f} SELECT qid, count(votes) AS n_elected FROM q LEFT JOIN (SELECT * FROM summed WHERE votes >= {VOTES}) USING (qid) GROUP BY qid",
-        "ann_rp_l2": f"{f} {ann(L2, 'v', 'ASC', VOTES)}",
-        "ann_rp_ip": f"{f} {ann(IP, 's', 'DESC', VOTES)}",
-        "ann_rp_empty_election": f"{f} {ann(L2, 'v', 'ASC', 1e9)}",
+        "rp_split_points": f"{forest()} SELECT t::INT AS tree, node, round(split, 4) + 0.0 AS split_point FROM splits",
+        "rp_leaf_assignment": f"{forest('leaves')} SELECT train_id, t::INT AS tree, leaf FROM leaves",
+        "leaf_votes_raw": f"{forest('counts')} SELECT t::INT AS tree, leaf, label, c::DOUBLE AS vote FROM counts",
+        "leaf_votes_min_b": f"{forest('counts')} SELECT t::INT AS tree, leaf, label, c::DOUBLE AS vote FROM counts WHERE c >= 5",
+        "leaf_votes_normalised": f"{forest('counts')} SELECT t::INT AS tree, leaf, label, round(c / (sum(c) OVER (PARTITION BY t, leaf) * {TREES})::DOUBLE, 9) AS vote FROM counts WHERE c >= 5",
+        "rp_route": f"{forest('route')} SELECT qid, t::INT AS tree, leaf FROM route",
+        "rp_votes": f"{forest('summed')} SELECT qid, label, votes FROM summed",
+        "rp_elected": f"{forest('summed')} SELECT qid, label, votes FROM summed WHERE votes >= {VOTES}",
+        "rp_n_elected": f"{forest('summed')} SELECT qid, count(votes) AS n_elected FROM q LEFT JOIN (SELECT * FROM summed WHERE votes >= {VOTES}) USING (qid) GROUP BY qid",
+        "ann_rp_l2": f"{forest('summed')} {ann(L2, 'v', 'ASC', VOTES)}",
+        "ann_rp_ip": f"{forest('summed')} {ann(IP, 's', 'DESC', VOTES)}",
+        "ann_rp_empty_election": f"{forest('summed')} {ann(L2, 'v', 'ASC', 1e9)}",
         "rf_root_gain": f"{root_gain()} SELECT t::INT AS tree, d::INT AS dim, position, round(gain, 6) + 0.0 AS gain, round(split, 6) + 0.0 AS split FROM gains",
         "rf_root_split": f"{root_gain()} SELECT t::INT AS tree, x.d::INT AS dim, round(x.split, 6) + 0.0 AS split FROM (SELECT t, list_reduce(list_prepend({{'gain': 0::DOUBLE, 'd': -1::BIGINT, 'split': 0::DOUBLE}}, list({{'gain': gain, 'd': d, 'split': split}} ORDER BY ord, position)), lambda a, b: CASE WHEN b.gain > a.gain + 0.001 THEN b ELSE a END) AS x FROM gains GROUP BY t)",
         "rf_nodes": nodes("RF"),
-        "rf_leaf_assignment": f"{trees('RF')} SELECT train_id, t::INT AS tree, leaf FROM leaves",
-        "ann_rf_l2": f"{trees('RF')} {ann(L2, 'v', 'ASC', rf_least)}",
+        "rf_terminal": nodes("RF", classes),
+        "rf_terminal_leaves": f"{trees('RF', 'leaves', labels=CLASSES, train_k=CLASS_LABELS)} SELECT train_id, t::INT AS tree, leaf FROM leaves",
+        "rf_leaf_votes": f"{trees('RF', 'counts')} SELECT t::INT AS tree, leaf, label, round(c / (sum(c) OVER (PARTITION BY t, leaf) * {TREES})::DOUBLE, 9) AS vote FROM counts WHERE c >= 2",
+        "rf_route": f"{trees('RF', 'route')} SELECT qid, t::INT AS tree, leaf FROM route",
+        "pca_route": f"{trees('PCA', 'route')} SELECT qid, t::INT AS tree, leaf FROM route",
+        "pca_leaf_assignment": f"{trees('PCA', 'leaves')} SELECT train_id, t::INT AS tree, leaf FROM leaves",
+        "ann_rf_ip": f"{trees('RF', 'summed')} {ann(IP, 's', 'DESC', rf_least)}",
+        "ann_pca_ip": f"{trees('PCA', 'summed')} {ann(IP, 's', 'DESC', VOTES)}",
+        "ann_single": f"{trees('PCA', 'summed')} SELECT * FROM ({ann(L2, 'v', 'ASC', VOTES)}) WHERE qid = 0",
+        "ann_zero_threshold": f"{forest('summed')} {ann(L2, 'v', 'ASC', 0)}",
+        "ann_reloaded": f"{forest('summed')} {ann(L2, 'v', 'ASC', VOTES)}",
+        "rf_leaf_assignment": f"{trees('RF', 'leaves')} SELECT train_id, t::INT AS tree, leaf FROM leaves",
+        "ann_rf_l2": f"{trees('RF', 'summed')} {ann(L2, 'v', 'ASC', rf_least)}",
         "pca_root_direction": f"{trees('PCA')} SELECT t::INT AS tree, (j - 1)::INT AS place, dims[j]::INT AS dim, round(w[j], 6) + 0.0 AS weight FROM c0, range(1, {TRIED + 1}) a(j)",
         "pca_nodes": nodes("PCA"),
-        "ann_pca_l2": f"{trees('PCA')} {ann(L2, 'v', 'ASC', VOTES)}",
-        "recall_at_k": share(ann(L2, "v", "ASC", VOTES), exact, f),
-        "recall_at_k_rf": share(ann(L2, "v", "ASC", rf_least), exact, trees("RF")),
-        "recall_at_k_pca": share(ann(L2, "v", "ASC", VOTES), exact, trees("PCA")),
+        "ann_pca_l2": f"{trees('PCA', 'summed')} {ann(L2, 'v', 'ASC', VOTES)}",
+        "recall_at_k": share(ann(L2, "v", "ASC", VOTES), exact, forest("summed")),
+        "recall_at_k_rf": share(ann(L2, "v", "ASC", rf_least), exact, trees("RF", "summed")),
+        "recall_at_k_pca": share(ann(L2, "v", "ASC", VOTES), exact, trees("PCA", "summed")),
     }

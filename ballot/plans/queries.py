@@ -1,29 +1,34 @@
 """The engine's operators over the driver's `embeddings`, and the same results in DuckDB's SQL.
 
-All rows are corpus and all rows train, whatever their number; the queries are the rows whose id is a multiple
-of QUERY_EVERY. Vectors have unit length, so for searches by inner product they are stretched by
-1 + id % 7, which tells the metrics apart.
+All rows are corpus and all rows train, whatever their number: splits are placed by a bounded sample, then
+every row is routed and labelled. Trees get a level more each time the rows double beyond 2^DEPTH leaves of
+LEAF rows. The queries are the rows whose id is a multiple of QUERY_EVERY. Vectors have unit length, so for
+searches by inner product they are stretched by 1 + id % 7, which tells the metrics apart.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballot.functions.vectors import Metric, normalised
 from ballot.operators import build, evaluate, exact, forest, votes
+from ballot.operators.neighbours import near_labels
 from ballot.operators.rerank import rerank
 from ballot.plans.index import VectorIndex
-from ballot.sources.vectors import read_vectors
+from ballot.sources.vectors import read_vectors, shared_folder
 
 QUERY_EVERY = 50
 K, TRAIN_K, TREES, DEPTH, SEED, DIM = 10, 50, 10, 5, 7, 64
+LEAF, DEEPEST = 64, 15  # rows a leaf beyond which trees are deeper than DEPTH, and the depth that FIT_ROWS can place
 VOTES = 19.5  # of RP and PCA: counts, whole numbers, so that none lies on the threshold
 RF_SHARE = 1.3  # of RF: a probability, as a multiple of what each corpus row would get if all got the same
 NARROW, LABELLED = 100, 3  # a search among the rows of one label
+CLASS_LABELS = 5
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +122,6 @@ def _projection(spark, sf_dir, density):
 
     def run(batches):
         import numpy as np
-        import pyarrow as pa
 
         from ballot.sources.vectors import matrix
 
@@ -141,15 +145,28 @@ def rp_projection_sparse(spark, sf_dir):
 _models: dict = {}
 
 
+def depth_of(rows: int) -> int:
+    return min(DEEPEST, max(DEPTH, math.ceil(math.log2(max(1, rows) / LEAF))))
+
+
+def built(rows: DataFrame, kind: str, knn: DataFrame | None = None, b: int = 1) -> VectorIndex:
+    """An index over rows, all of which train; knn: their labels, by default those of near_labels."""
+    ix = VectorIndex(rows, kind, SEED)
+    return ix.build(train_of(rows), near_labels(rows, TRAIN_K, seed=SEED) if knn is None else knn, TREES, depth_of(ix.n_corpus), b=b)
+
+
 def index(spark: SparkSession, sf_dir: str, kind: str, b: int = 1) -> VectorIndex:
     """Built once a session, directory and kind: the queries on a model share it, as a caller's would."""
     key = (spark.sparkContext.applicationId, sf_dir, kind, b)
     if key not in _models:
-        c = corpus(spark, sf_dir)
-        train = train_of(c)
-        knn = exact.training_labels(c, train, TRAIN_K).persist()
-        _models[key] = (VectorIndex(c, kind, SEED).build(train, knn, TREES, DEPTH, b=b), train, knn)
-    return _models[key][0]
+        _models[key] = built(corpus(spark, sf_dir), kind, b=b).persist()
+    return _models[key]
+
+
+def forget() -> None:
+    """Frees the models kept for queries."""
+    while _models:
+        _models.popitem()[1].unpersist()
 
 
 def rp_split_points(spark, sf_dir):
@@ -165,9 +182,9 @@ def rp_leaf_assignment(spark, sf_dir):
     return _assignment(spark, sf_dir, "RP")
 
 
-def _counts(spark, sf_dir):
-    ix = index(spark, sf_dir, "RP")
-    return votes.leaf_counts(_assignment(spark, sf_dir, "RP"), exact.training_labels(ix.corpus, train_of(ix.corpus), TRAIN_K))
+def _counts(spark, sf_dir, kind="RP"):
+    ix = index(spark, sf_dir, kind)
+    return votes.leaf_counts(forest.leaves_of(train_of(ix.corpus), "train_id", ix.forest, training=True), near_labels(ix.corpus, TRAIN_K, seed=SEED))
 
 
 def leaf_votes_raw(spark, sf_dir):
@@ -182,11 +199,31 @@ def leaf_votes_normalised(spark, sf_dir):
     return votes.leaf_votes(_counts(spark, sf_dir), b=5, n_trees=TREES).withColumn("vote", F.round("vote", 9))
 
 
-def rp_route(spark, sf_dir):
-    ix = index(spark, sf_dir, "RP")
+def rf_leaf_votes(spark, sf_dir):
+    return votes.leaf_votes(_counts(spark, sf_dir, "RF"), b=2, n_trees=TREES).withColumn("vote", F.round("vote", 9))
+
+
+def _route(spark, sf_dir, kind):
+    ix = index(spark, sf_dir, kind)
     return ix.leaves(queries_of(ix.corpus))
 
 
+def rp_route(spark, sf_dir):
+    return _route(spark, sf_dir, "RP")
+
+
+def pca_route(spark, sf_dir):
+    return _route(spark, sf_dir, "PCA")
+
+
+def rf_route(spark, sf_dir):
+    return _route(spark, sf_dir, "RF")
+
+
+def pca_leaf_assignment(spark, sf_dir):
+    return _assignment(spark, sf_dir, "PCA")
+
+
 def rp_votes(spark, sf_dir):
     ix = index(spark, sf_dir, "RP")
     return ix.votes(queries_of(ix.corpus))
@@ -207,10 +244,44 @@ def ann_rp_l2(spark, sf_dir):
     return shown(ix.ann(queries_of(ix.corpus), K, VOTES, return_distances=True))
 
 
+def _ann_ip(spark, sf_dir, kind, threshold):
+    """Candidates by the index, ranked by the inner product with stretched vectors."""
+    ix = index(spark, sf_dir, kind)
+    q = queries_of(ix.corpus)
+    return shown(rerank(ix.candidates(q, threshold), stretched(ix.corpus), q, K, "ip"))
+
+
 def ann_rp_ip(spark, sf_dir):
+    return _ann_ip(spark, sf_dir, "RP", VOTES)
+
+
+def ann_pca_ip(spark, sf_dir):
+    return _ann_ip(spark, sf_dir, "PCA", VOTES)
+
+
+def ann_rf_ip(spark, sf_dir):
+    return _ann_ip(spark, sf_dir, "RF", RF_SHARE / index(spark, sf_dir, "RF").n_corpus)
+
+
+def ann_single(spark, sf_dir):
+    """One query."""
+    ix = index(spark, sf_dir, "PCA")
+    return shown(ix.ann(queries_of(ix.corpus).filter("qid = 0"), K, VOTES, return_distances=True))
+
+
+def ann_zero_threshold(spark, sf_dir):
+    """With a threshold of 0 every label met is a candidate, and nothing else."""
     ix = index(spark, sf_dir, "RP")
-    q = queries_of(ix.corpus)
-    return shown(rerank(ix.candidates(q, VOTES), stretched(ix.corpus), q, K, "ip"))
+    return shown(ix.ann(queries_of(ix.corpus), K, 0.0, return_distances=True))
+
+
+def ann_reloaded(spark, sf_dir):
+    """A saved and loaded index answers as the one that was saved."""
+    ix = index(spark, sf_dir, "RP")
+    path = f"{shared_folder(spark)}/index-{spark.sparkContext.applicationId}"
+    ix.save(path)
+    again = VectorIndex.load(spark, path, ix.corpus)
+    return shown(again.ann(queries_of(ix.corpus), K, VOTES, return_distances=True))
 
 
 def ann_rp_empty_election(spark, sf_dir):
@@ -218,55 +289,67 @@ def ann_rp_empty_election(spark, sf_dir):
     return shown(ix.ann(queries_of(ix.corpus), K, 1e9, return_distances=True))
 
 
-def _root_samples(spark, sf_dir):
-    c = corpus(spark, sf_dir)
-    train = train_of(c)
+def _roots(spark, sf_dir, work, schema):
+    """What `work` yields for the rows that score each RF tree's root."""
+    rows = corpus(spark, sf_dir)
+    train = train_of(rows)
     f = forest.Forest("RF", TREES, DEPTH, DIM, forest.resolve_density("auto", DIM), 1, SEED)
-    return build.node_samples(train, exact.training_labels(c, train, TRAIN_K), f, 0), build.level_dims(f)[:, 0].tolist()
-
+    sample = build.fit_sample(train, f, rows.count(), near_labels(rows, TRAIN_K, seed=SEED))
+    return build.per_tree(spark, f, sample, work, schema)
 
-def _arranged(pdf: pd.DataFrame):
-    import numpy as np
 
-    pdf = pdf.sort_values("train_id")
-    return np.stack(pdf.vec.to_numpy()).astype(np.float64), [list(v) for v in pdf.labels]
+def _root(t, f, s):
+    some = build.node_sample(s.ids, f.seed, t, 0)
+    return s.x[some], [s.labels[i] for i in some], build.tried_dims(f, t, 0)
 
 
 def rf_root_gain(spark, sf_dir):
-    samples, dims = _root_samples(spark, sf_dir)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        x, labels = _arranged(pdf)
-        tree, out = int(pdf.tree.iloc[0]), []
-        for d in dims[tree]:
-            order = np.argsort(x[:, d], kind="stable")
-            out += [(tree, d, i, round(g, 6), round(s, 6)) for i, g, s in build.gains(x[order, d], [labels[j] for j in order])]
-        return pd.DataFrame(out, columns=["tree", "dim", "position", "gain", "split"])
+    def work(t, f, s):
+        x, labels, dims = _root(t, f, s)
+        for d in dims:
+            order = x[:, d].argsort(kind="stable")
+            at, gain, split = build.boundary_gains(x[order, d], [labels[j] for j in order])
+            yield pa.RecordBatch.from_arrays([pa.array([t] * len(at), pa.int32()), pa.array([d] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(gain.round(6)), pa.array(split.round(6))], names=["tree", "dim", "position", "gain", "split"])
 
-    return samples.groupBy("tree").applyInPandas(run, "tree int, dim int, position int, gain double, split double")
+    return _roots(spark, sf_dir, work, "tree int, dim int, position int, gain double, split double")
 
 
 def rf_root_split(spark, sf_dir):
-    samples, dims = _root_samples(spark, sf_dir)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf.tree.iloc[0])
-        found = build.best_split(*_arranged(pdf), dims[tree])
-        return pd.DataFrame({"tree": [tree], "dim": [found[0] if found else -1], "split": [round(found[1], 6) if found else 0.0]})
+    def work(t, f, s):
+        found = build.best_split(*_root(t, f, s)) or (-1, 0.0)
+        yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([found[0]], pa.int32()), pa.array([round(found[1], 6)])], names=["tree", "dim", "split"])
 
-    return samples.groupBy("tree").applyInPandas(run, "tree int, dim int, split double")
+    return _roots(spark, sf_dir, work, "tree int, dim int, split double")
 
 
-def _nodes(spark, sf_dir, kind):
+def _shown_nodes(nodes):
     """-1 and 0 where a node has no split."""
-    out = index(spark, sf_dir, kind).nodes().withColumn("split_point", F.coalesce(F.round("split_point", 4), F.lit(0.0)))
+    out = nodes.withColumn("split_point", F.coalesce(F.round("split_point", 4), F.lit(0.0)))
     return out.withColumn("split_dim", F.coalesce("split_dim", F.lit(-1)))
 
 
 def rf_nodes(spark, sf_dir):
-    return _nodes(spark, sf_dir, "RF")
+    return _shown_nodes(index(spark, sf_dir, "RF").nodes())
+
+
+def _classes(spark, sf_dir):
+    """Rows labelled by their class alone: CLASS_LABELS labels that all rows of a class share."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    labels = F.transform(F.sequence(F.lit(0), F.lit(CLASS_LABELS - 1)), lambda j: F.col("label").cast("long") * 100 + j)
+    return corpus(spark, sf_dir), rows.select(F.col("vec_id").cast("long").alias("train_id"), labels.alias("labels"))
+
+
+def rf_terminal(spark, sf_dir):
+    """Nodes whose rows have one class have nothing to gain: they are terminal, and what is below them has no split."""
+    rows, knn = _classes(spark, sf_dir)
+    return _shown_nodes(built(rows, "RF", knn).nodes())
+
+
+def rf_terminal_leaves(spark, sf_dir):
+    """Rows that meet a terminal node go to its leftmost leaf."""
+    rows, knn = _classes(spark, sf_dir)
+    ix = built(rows, "RF", knn)
+    return forest.routed(train_of(rows), "train_id", ix.forest, training=True)
 
 
 def rf_leaf_assignment(spark, sf_dir):
@@ -283,7 +366,7 @@ def ann_rf_l2(spark, sf_dir):
 
 
 def pca_nodes(spark, sf_dir):
-    return _nodes(spark, sf_dir, "PCA")
+    return _shown_nodes(index(spark, sf_dir, "PCA").nodes())
 
 
 def pca_root_direction(spark, sf_dir):
@@ -317,7 +400,7 @@ def recall_at_k_pca(spark, sf_dir):
 NAMES = [
     "pairwise_l2", "pairwise_ip", "exact_l2_batch", "exact_ip_batch", "exact_l2_expressions", "exact_cosine", "exact_single", "exact_k1_l2", "exact_k1_ip", "exact_ids_only", "exact_padded",
     "training_labels", "rp_projection_dense", "rp_projection_sparse", "rp_split_points", "rp_leaf_assignment", "leaf_votes_raw", "leaf_votes_min_b", "leaf_votes_normalised",
-    "rp_route", "rp_votes", "rp_elected", "rp_n_elected", "ann_rp_l2", "ann_rp_ip", "ann_rp_empty_election", "rf_root_gain", "rf_root_split", "rf_nodes", "rf_leaf_assignment", "ann_rf_l2",
+    "rf_leaf_votes", "pca_leaf_assignment", "rp_route", "pca_route", "rf_route", "rp_votes", "rp_elected", "rp_n_elected", "ann_rp_l2", "ann_rp_ip", "ann_pca_ip", "ann_rf_ip", "ann_single", "ann_zero_threshold", "ann_reloaded", "ann_rp_empty_election", "rf_root_gain", "rf_root_split", "rf_nodes", "rf_terminal", "rf_terminal_leaves", "rf_leaf_assignment", "ann_rf_l2",
     "pca_root_direction", "pca_nodes", "ann_pca_l2", "recall_at_k", "recall_at_k_rf", "recall_at_k_pca",
 ]
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ballot.operators import build
 from ballot.operators.evaluate import recall
 from ballot.operators.exact import training_labels
+from ballot.operators.neighbours import near_labels
 from ballot.operators.forest import TERMINAL, Forest, projected_dims, resolve_density, routed
 from ballot.operators.votes import leaf_counts, leaf_votes
 from ballot.plans.index import VectorIndex, positional
@@ -28,18 +29,13 @@ def index(request, data):
     return VectorIndex(c, request.param, seed=3).build(train, knn, 6, 4)
 
 
-def values(spark, rows):
-    return spark.createDataFrame([(0, 0, float(v), i) for i, v in rows], "tree int, node long, value double, train_id long")
+def test_median_split_of_odd_even_and_tied():
+    def split(values):
+        return build.median_split(np.array(values, float), np.arange(len(values)))[:3]
 
-
-@pytest.mark.parametrize("most", [1_000_000, 2])
-def test_median_split_of_odd_even_and_tied(spark, most):
-    odd = build.median_splits(values(spark, enumerate([5, 1, 3, 2, 4])), most).collect()[0]
-    assert (odd.split, odd.cut_value, odd.cut_id) == (3.0, 3.0, 2)
-    even = build.median_splits(values(spark, enumerate([6, 1, 3, 2, 4, 5])), most).collect()[0]
-    assert (even.split, even.cut_value, even.cut_id) == (3.5, 3.0, 2)
-    tied = build.median_splits(values(spark, enumerate([7, 7, 7, 7, 1])), most).collect()[0]
-    assert (tied.split, tied.cut_value, tied.cut_id) == (7.0, 7.0, 1)
+    assert split([5, 1, 3, 2, 4]) == (3.0, 3.0, 2)
+    assert split([6, 1, 3, 2, 4, 5]) == (3.5, 3.0, 2)
+    assert split([7, 7, 7, 7, 1]) == (7.0, 7.0, 1)
 
 
 def test_every_training_row_has_one_leaf_a_tree_and_median_leaves_balance(data, index):
@@ -106,7 +102,7 @@ def test_votes_of_rf_add_up(data):
 
 
 def test_minimum_count(spark):
-    leaves = spark.createDataFrame([(0, 0, 0), (1, 0, 0), (2, 0, 1)], "train_id long, tree int, leaf int")
+    leaves = spark.createDataFrame([(0, [0]), (1, [0]), (2, [1])], "train_id long, leaves array<int>")
     knn = spark.createDataFrame([(0, [5, 6, -1]), (1, [5]), (2, [6])], "train_id long, labels array<long>")
     counts = leaf_counts(leaves, knn)
     rows = lambda df: sorted((r.leaf, r.label, r.vote) for r in df.collect())
@@ -187,6 +183,7 @@ def test_density():
 def test_positional(spark):
     df = spark.createDataFrame([([float(i)],) for i in range(9)], "vec array<float>").repartition(3)
     assert sorted(r.id for r in positional(df).collect()) == list(range(9))
+    assert positional(df.limit(0)).count() == 0
 
 
 def test_streamed_queries(spark, data, tmp_path):
@@ -207,13 +204,49 @@ def test_all_rows_train_at_any_size(spark):
 
     rows = spark.range(60_000).select("id", F.array(F.lit(1.0)).alias("vec"))
     assert queries.train_of(rows).count() == 60_000
+    assert [queries.depth_of(n) for n in (1, 500, 2000, 4096, 4097, 10**12)] == [5, 5, 5, 6, 7, 15]
 
 
-def test_labels_in_many_blocks(data, monkeypatch):
+def test_labels_through_a_grid_of_blocks(data, monkeypatch):
     from ballot.operators import exact
 
     c, train, _, _ = data
     want = {r.train_id: r.labels for r in training_labels(c, train, 20).collect()}
     monkeypatch.setattr(exact, "BEST_ROWS", 20 * 150)
-    assert len(list(exact.query_blocks(train.withColumnRenamed("train_id", "qid"), rows=150))) == 4
+    monkeypatch.setattr(exact, "BLOCK_BYTES", 64 * 8 * 100)
+    monkeypatch.setattr(exact, "QUERY_BYTES", 64 * 8 * 200)
     assert {r.train_id: r.labels for r in training_labels(c, train, 20).collect()} == want
+
+
+def test_near_labels(spark, data):
+    c, train, _, _ = data
+    want = {r.train_id: r.labels for r in training_labels(c, train, 20).collect()}
+    assert {r.train_id: r.labels for r in near_labels(c, 20).collect()} == want  # one leaf
+    got = {r.train_id: r.labels for r in near_labels(c, 20, leaf_rows=125).collect()}
+    assert set(got) == set(want) and all(len(v) == 20 and v[0] == i for i, v in got.items())
+    assert np.mean([len(set(got[i]) & set(want[i])) / 20 for i in want]) > 0.7
+    equal = spark.range(300).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("vec"))
+    assert all(len(r.labels) == 3 for r in near_labels(equal, 3, leaf_rows=40).collect())
+
+
+@pytest.mark.parametrize("kind", ["RP", "PCA", "RF"])
+def test_recall_where_a_tenth_of_the_rows_places_the_splits(spark, kind):
+    c = read_vectors(spark, "/root/testdata/sf0.1/embeddings.parquet")
+    n = c.count()
+    ix = VectorIndex(c, kind, 7).build(c.withColumnRenamed("id", "train_id"), near_labels(c, 50, leaf_rows=n // 4), 10, 5, fit_rows=n // 10)
+    assert ix.leaf_votes.select("label").distinct().count() == n  # every row can be elected
+    tune = c.filter("id % 50 = 25").withColumnRenamed("id", "qid")
+    q = c.filter("id % 50 = 0").withColumnRenamed("id", "qid")
+    votes = ix.votes_for_recall(tune, 10, 0.97)
+    got = recall(ix.ann(q, 10, votes), ix.exact_search(q, 10), 10).agg(F.avg("recall")).first()[0]
+    few = ix.n_candidates(q, votes).agg(F.avg("n_elected")).first()[0]
+    assert got >= 0.9 and few < n / 2, (got, few)
+
+
+def test_queries_of_another_dimension_and_no_numbers(spark, data):
+    c, train, knn, q = data
+    ix = VectorIndex(c, "RP").build(train, knn, 2, 2)
+    with pytest.raises(Exception, match="vectors of 64 elements"):
+        ix.leaves(q.withColumn("vec", F.slice("vec", 1, 5))).collect()
+    with pytest.raises(ValueError):
+        VectorIndex(c.withColumn("vec", F.transform("vec", lambda x: F.lit(float("nan")))), "RP")
