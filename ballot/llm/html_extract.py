@@ -6,8 +6,11 @@ ancestors. Every block has features of its ancestors (tags, words of class and i
 The field is trained on labelled pages: those made by `labelled_pages`, whose labels are known from how
 they are made, or the caller's own. Decoding is by Viterbi, a page at a time.
 
-Defined results: a null or empty page has the text ''; equal pages get equal texts; tags cut off by the
-end of the page are dropped, as browsers do.
+Defined results: a null or empty page has the text ''; equal pages (rows that repeat, equal ids) get equal
+texts; tags cut off by the end of the page are dropped, as browsers do; very long pages and any number of
+open elements take time and memory in proportion to the page; of two parses of a page there are no ties, and
+equal scores of the field go to the label "beside the article". Hidden elements are parsed like others: the
+field alone decides what belongs to the article. Input columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -26,66 +29,117 @@ from ballot.llm.common import map_text
 
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never shown or is code; their end is their own end tag.
-RAW = frozenset("script style template noscript iframe textarea title svg annotation annotation-xml object canvas".split())
+#: Elements that hold code, markup as text, a form's own text or the page's name; their end is their own end tag.
+RAW = frozenset("script style iframe noembed noframes textarea title annotation annotation-xml".split())
 #: An open element of these is closed by the start of one of those.
 CLOSED_BY = {"p": BLOCKS - {"button", "label", "legend", "option", "summary"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "option": frozenset({"option"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"})}
+CLOSES = {tag: [x for x in CLOSED_BY if tag in CLOSED_BY[x]] for tag in BLOCKS}
+#: Within these an element is not looked for to be closed by the start of another.
+BARRIERS = BLOCKS - {"p", "li", "dt", "dd", "option", "tr", "td", "th", "tbody"}
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-NAMED = re.compile(r"""\b(class|id|role|data-gold|hidden|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+GOLD = re.compile(r'\bdata-gold="([01])"')
 WORD = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"([a-z])([A-Z])")
+
+
+@dataclass(frozen=True)
+class Place:
+    """An element with its ancestors, as sums of what features ask of them: their size is bounded, however deep it is."""
+
+    tag: str
+    tags: int = 0  # of TAGS, itself and its ancestors
+    hints: int = 0  # of HINTS, by their classes, ids and roles
+    own: str = "none"  # the innermost block element
+    linked: bool = False
+    gold: int | None = None
+
+    def below(self, tag: str, names: list[str], gold: int | None) -> Place:
+        tags = self.tags | TAG_BIT.get(tag, 0)
+        hints = self.hints
+        for n in names:
+            hints |= HINT_BIT.get(n, 0)
+        return Place(tag, tags, hints, tag if tag in BLOCKS else self.own, self.linked or tag == "a", self.gold if gold is None else gold)
 
 
 @dataclass
 class Block:
     text: str
-    tags: list[str]  # ancestors, outermost first
-    names: list[str]  # words of their classes, ids and roles
+    place: Place
     linked: int  # characters inside links
-    gold: int | None = None
 
 
-@dataclass
-class _Open:
-    tag: str
-    names: list[str]
-    gold: int | None
-    hidden: bool
+def names_of(attributes: str) -> list[str]:
+    """Words of an element's class, id and role."""
+    out = []
+    for m in NAMED.finditer(attributes):
+        out += WORD.findall(CAMEL.sub(r"\1 \2", m[2] or m[3] or m[4] or "").lower())
+    return out
+
 
+class Opened:
+    """The open elements: a stack that finds the innermost of a tag without a search."""
 
-def attributes(text: str) -> tuple[list[str], int | None, bool]:
-    names, gold, hidden = [], None, False
-    for m in NAMED.finditer(text):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "data-gold":
-            gold = int(value)
-        elif key == "style":
-            hidden |= "display:none" in value.replace(" ", "").lower()
-        elif key != "hidden":
-            names += WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-    return names, gold, hidden
+    def __init__(self):
+        self.stack = [Place("")]
+        self.at: dict[str, list[int]] = {}
+        self.barriers: list[int] = []
 
+    @property
+    def top(self) -> Place:
+        return self.stack[-1]
 
-def leaf_blocks(html: str | None) -> list[Block]:
+    def push(self, place: Place) -> None:
+        self.at.setdefault(place.tag, []).append(len(self.stack))
+        if place.tag in BARRIERS:
+            self.barriers.append(len(self.stack))
+        self.stack.append(place)
+
+    def cut(self, depth: int) -> None:
+        """Closes all elements from a depth on."""
+        while len(self.stack) > depth:
+            tag = self.stack.pop().tag
+            self.at[tag].pop()
+            if tag in BARRIERS:
+                self.barriers.pop()
+
+    def innermost(self, tag: str) -> int:
+        own = self.at.get(tag)
+        return own[-1] if own else 0
+
+    def close_for(self, tag: str) -> None:
+        """The start of a block element closes what cannot hold it."""
+        depth = max((self.innermost(x) for x in CLOSES[tag]), default=0)
+        if depth > (self.barriers[-1] if self.barriers else 0):
+            self.cut(depth)
+
+
+def leaf_blocks(html: str | None, marked: bool = False) -> list[Block]:
+    """A page's leaf blocks; `marked`: with the marks of labelled pages, which other pages' marks must not pass for.
+
+    One pass, linear in the page however many elements are open.
+    """
     out: list[Block] = []
-    stack: list[_Open] = []
+    opened = Opened()
     parts: list[str] = []
-    linked = [0]
+    linked = 0
     html = html or ""
 
     def flush() -> None:
+        nonlocal linked
         text = " ".join("".join(parts).split())
         parts.clear()
-        if text and not any(x.hidden for x in stack):
-            gold = next((x.gold for x in reversed(stack) if x.gold is not None), None)
-            out.append(Block(text, [x.tag for x in stack], [n for x in stack for n in x.names], linked[0], gold))
-        linked[0] = 0
+        if text:
+            out.append(Block(text, opened.top, linked))
+        linked = 0
 
     def show(text: str) -> None:
+        nonlocal linked
         if text:
             text = unescape(text)
             parts.append(text)
-            if any(x.tag == "a" for x in stack):
-                linked[0] += len(text.strip())
+            if opened.top.linked:
+                linked += len(text.strip())
 
     at = 0
     while m := TAG.search(html, at):
@@ -98,11 +152,11 @@ def leaf_blocks(html: str | None) -> list[Block]:
         if not m[0].endswith(">"):
             break  # the page ends inside the tag
         if end:
-            if any(x.tag == tag for x in stack):
+            depth = opened.innermost(tag)
+            if depth:
                 if tag in BLOCKS:
                     flush()
-                while stack.pop().tag != tag:
-                    pass
+                opened.cut(depth)
             elif tag in BLOCKS:
                 flush()
             continue
@@ -110,24 +164,26 @@ def leaf_blocks(html: str | None) -> list[Block]:
             parts.append(" ")
         if tag in BLOCKS:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if tag in CLOSED_BY.get(stack[k].tag, ()):
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCKS and stack[k].tag not in ("p", "li", "dt", "dd", "option", "tr", "td", "th", "tbody"):
-                    break
+            opened.close_for(tag)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+            if rest.rstrip().endswith("/") and tag.startswith("annotation"):
+                continue
+            close = closing(tag).search(html, at)
             at = close.end() if close else len(html)
         elif tag not in VOID and not rest.rstrip().endswith("/"):
-            names, gold, hidden = attributes(rest) if "=" in rest or "hidden" in rest else ([], None, False)
-            stack.append(_Open(tag, names, gold, hidden or bool(re.search(r"(?:^|\s)hidden(?:\s|$)", rest))))
+            gold = GOLD.search(rest) if marked and "data-gold" in rest else None
+            opened.push(opened.top.below(tag, names_of(rest) if "=" in rest else [], int(gold[1]) if gold else None))
     else:
         show(html[at:])
     flush()
     return out
 
 
+@cache
+def closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I)
+
+
 # Words of classes and ids, by what they stand for.
 HINTS = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs tabs toc skip pagination pager topbar",
@@ -141,7 +197,7 @@ HINTS = {
     "form": "form login signin signup register newsletter subscribe subscription search contact",
     "main": "content article post entry main story body text page single blog prose",
 }
-HINT_OF = {w: k for k, words in HINTS.items() for w in words.split()}
+HINT_BIT = {w: 1 << i for i, words in enumerate(HINTS.values()) for w in words.split()}
 # Stock phrases of what surrounds articles.
 PHRASES = re.compile(r"©|\bcopyright\b|all rights reserved|\bcookies?\b|\bsubscribe\b|\bsign (?:in|up)\b|\blog ?in\b|privacy policy|terms of|\bnewsletter\b|\bread more\b|\bshare (?:this|on)\b|\breply\b|\bcomments?\b|\badvertisement\b|\bsponsored\b", re.I)
 #: One of these is in any text that the phrases are in; plain searches are much faster.
@@ -149,11 +205,13 @@ STEMS = ("©", "copyright", "rights reserved", "cookie", "subscribe", "sign in",
 TAGS = "nav header footer aside form article main section ul ol li table td figure figcaption blockquote pre button label select h1 h2 h3 h4 h5 h6 p a dl div".split()
 
 
-def chain_features(tags: tuple[str, ...], names: tuple[str, ...]) -> tuple[list[str], str]:
-    """Features of a block's ancestors, and its own block element."""
-    held = set(tags)
-    own = next((t for t in reversed(tags) if t in BLOCKS), "none")
-    hints = {HINT_OF[n] for n in names if n in HINT_OF}
+TAG_BIT = {t: 1 << i for i, t in enumerate(TAGS)}
+
+
+def chain_features(tags: int, hinted: int, own: str) -> list[str]:
+    """Features of a block's ancestors."""
+    held = {t for t in TAGS if tags & TAG_BIT[t]}
+    hints = {h for i, h in enumerate(HINTS) if hinted >> i & 1}
     f = [f"tag:{t}" for t in TAGS if t in held] + [f"own:{own}"] + [f"hint:{h}" for h in sorted(hints)]
     inside = "article" if "article" in held else "main" if "main" in held or "main" in hints else "body"
     f.append(f"inside:{inside}")
@@ -161,20 +219,20 @@ def chain_features(tags: tuple[str, ...], names: tuple[str, ...]) -> tuple[list[
     f += [f"apart in {inside}"] if apart else [f"plain in {inside}"]
     if "header" in held and own in ("h1", "h2"):
         f.append(f"title in header in {inside}")
-    return f, own
+    return f
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
     """Names of the features that hold for each block."""
     out = []
     seen_h1 = False
-    chains: dict[tuple, tuple[list[str], str]] = {}
+    chains: dict[tuple, list[str]] = {}
     for i, b in enumerate(blocks):
-        chain = (tuple(b.tags), tuple(b.names))
+        own = b.place.own
+        chain = (b.place.tags, b.place.hints, own)
         if chain not in chains:
             chains[chain] = chain_features(*chain)
-        above, own = chains[chain]
-        f = list(above)
+        f = list(chains[chain])
         n = b.text.count(" ") + 1
         links = b.linked / max(1, len(b.text))
         seen_h1 |= own == "h1"
@@ -407,8 +465,8 @@ def labelled(pages: list[str]) -> list[tuple[list[list[str]], list[int]]]:
     """Features and labels of the blocks of marked pages; what is not marked is not of the article."""
     out = []
     for page in pages:
-        blocks = leaf_blocks(page)
-        out.append((features(blocks), [b.gold or 0 for b in blocks]))
+        blocks = leaf_blocks(page, marked=True)
+        out.append((features(blocks), [b.place.gold or 0 for b in blocks]))
     return out
 
 

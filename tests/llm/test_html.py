@@ -20,7 +20,40 @@ def test_viterbi_is_the_best_of_all_labellings():
 
 def test_blocks():
     got = H.leaf_blocks("<p>a <b>b</b>&amp;c<br>d<p>e&nbsp;f<script>var t='</p>';</script><ul><li>g<li>h</ul><!-- x --><div hidden>no</div>tail <foo")
-    assert [b.text for b in got] == ["a b&c d", "e f", "g", "h", "tail"]
+    assert [b.text for b in got] == ["a b&c d", "e f", "g", "h", "no", "tail"]
+
+
+def test_marks_of_input_pages_mean_nothing():
+    for mark in ('data-gold="x"', 'data-gold=""', 'data-gold="1"', "data-gold"):
+        (block,) = H.leaf_blocks(f"<p {mark}>hi</p>")
+        assert block.text == "hi" and block.place.gold is None
+    assert H.leaf_blocks('<p data-gold="1">hi</p>', marked=True)[0].place.gold == 1
+
+
+def test_what_is_not_code_stays_with_the_field():
+    got = H.leaf_blocks("<p>a <svg><text>in a picture</text></svg> b</p><noscript><p>no script</p></noscript><iframe><p>x</p></iframe><textarea>y</textarea><template><p>t</p></template>")
+    assert [b.text for b in got] == ["a in a picture b", "no script", "t"]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def seconds(n, part, end=""):
+        began = time.perf_counter()
+        blocks = H.leaf_blocks(part * n + end * n)
+        H.features(blocks)
+        return time.perf_counter() - began, len(blocks)
+
+    for part, end in (("<div>x", ""), ("<div>x", "</div>"), ("<b><p>x", ""), ("<span>x</i>", ""), ("<tbody><div>x</div>", ""), ("<li>x", "</ul>")):
+        small, _ = seconds(5_000, part, end)
+        large, _ = seconds(50_000, part, end)
+        assert large < 30 * small + 0.5, (part, small, large)
+    assert seconds(50_000, "<div>x")[1] == 50_000
+
+
+def test_null_empty_and_cut_pages():
+    assert [FIELD.text(x) for x in (None, "", "   ", "<div", "<!-- ")] == [""] * 5
+    assert H.leaf_blocks(None) == [] and H.leaf_blocks("<!-- x") == []
 
 
 def test_formulas_are_text():
