@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,22 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ballot.sources.vectors import shared_folder
+
 #: ASCII white space, [\x20\x09-\x0D]: what bytes.split() and bytes.strip() take without an argument.
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ballot-"))
-        base = sc.getCheckpointDir()
-    return base.rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation of what led to them.
 
@@ -36,7 +25,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.base = f"{shared_dir(spark)}/ballot-{uuid.uuid4().hex}"
+        self.base = f"{shared_folder(spark)}/ballot-{uuid.uuid4().hex}"
         self.count = 0
 
     def table(self, df: DataFrame) -> DataFrame:
@@ -78,6 +67,39 @@ def share(column, rows: int, wanted: int, seed: int = 0) -> F.Column:
     return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(2**31)) < cut
 
 
+def aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with columns called like an operator's own renamed, and what gives all of df's columns back under their names."""
+    taken = {n.lower() for n in names}
+    mark = "own"
+    while any(c.lower().startswith(mark) for c in df.columns) or any(n.startswith(mark) for n in taken):
+        mark += "_"
+    new = [f"{mark}{i}" if c.lower() in taken else c for i, c in enumerate(df.columns)]
+    renamed = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, new, strict=True)])
+    old = df.columns
+    return renamed, lambda out: out.select(*[F.col(f"`{n}`").alias(c) for c, n in zip(old, new, strict=True)])
+
+
+HUB = 100_000  # rows of one key beyond which a join spreads them
+
+
+def hub_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, hub: int = HUB) -> DataFrame:
+    """left joined to right, which has one row a key and in `n` the rows that left has of it; n is dropped.
+
+    A key with more than `hub` rows, or more than a thousandth of all, is cut into parts by a hash of
+    `spread_by`, and right's row is copied to each part: no task gets more, whatever the key's share. There
+    are a thousand such keys at most, so that their table can be broadcast.
+    """
+    total, most = right.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    least = max(hub, total // 1000)
+    if most <= least:
+        return left.join(right.drop("n"), key)
+    heavy = F.broadcast(right.filter(F.col("n") > least).select(F.col(key).alias("__key"), F.ceil(F.col("n") / least).cast("int").alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1))
+    cut = left.join(heavy, F.col(key) == F.col("__key"), "left").withColumn("__part", F.pmod(F.xxhash64(spread_by), parts).cast("int")).drop("__key", "__parts")
+    copies = right.drop("n").join(heavy, F.col(key) == F.col("__key"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__key", "__parts")
+    return cut.join(copies, [key, "__part"]).drop("__part")
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """df less the columns that an operator is about to add; the operator's own win when names clash."""
     low = {n.lower() for n in names}

@@ -7,15 +7,18 @@ range is filled up in order: neighbours on the curve share sequences, each of wh
 is left at the end of a range is cut into sequences of powers of two, so that nothing is padded.
 
 Ids are from the tokenizer file given. Texts in plain Latin scripts take a faster library with the same
-vocabulary and merges; other texts take the file's own library. An added token's string in a text, such as
-<|endoftext|>, is ordinary text, or with `added` that token's one id, as the file's own library has it by default.
+vocabulary and merges; other texts, and those that hold an added token's string such as <|endoftext|> (that
+token's one id), take the file's own library.
 
 Defined results: a null or empty text is the closing id alone; rows with equal or null ids are documents
-of their own, told apart by a row number.
+of their own, told apart by a row number, and so are repeated rows; rows with equal keys stay in the order
+they were read in; very long texts are cut into rows of a sequence's length; an empty table gives an empty
+result. Only the id and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -32,6 +35,7 @@ from ballot.llm.common import Scratch, map_text
 
 LENGTH = 2048
 CLOSING = 1
+RANGE_BYTES = 8 << 20  # of ids that a task packs
 BUCKETS, DIMS, BITS = 1024, 3, 10
 OTHER = re.compile("[^\x00-ɏ]")
 
@@ -43,12 +47,11 @@ def id_type(path: str) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def encoder(path: str, ranks: str | None, kind: str, added: bool = False) -> Callable[[str], np.ndarray]:
-    """A function from a text to its ids, without special tokens around it; `added`: those written in it have their ids."""
+def encoder(path: str, ranks: str | None, kind: str) -> Callable[[str], np.ndarray]:
+    """A function from a text to its ids, without special tokens around it; those written in it have their ids."""
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = not added
     whole = lambda t: slow.encode(t, add_special_tokens=False).ids
     if ranks is None:
         return lambda t: np.array(whole(t), kind)
@@ -62,7 +65,7 @@ def encoder(path: str, ranks: str | None, kind: str, added: bool = False) -> Cal
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
     plain = fast.encode_ordinary
     code = "H" if kind == "<u2" else "I"
-    strings = [x.content for x in slow.get_added_tokens_decoder().values()] if added else []
+    strings = [x.content for x in slow.get_added_tokens_decoder().values()]
 
     def encode(t: str) -> np.ndarray:
         ids = whole(t) if OTHER.search(t) or any(x in t for x in strings) else plain(t)
@@ -116,11 +119,11 @@ def curve_keys(ids: list[np.ndarray], matrix: np.ndarray) -> np.ndarray:
     return hilbert(cell.astype(np.int64), BITS)
 
 
-def tokenised(docs: DataFrame, text: str, keep: list[str], paths: tuple[str, str | None], id_kind: str, added: bool = False) -> DataFrame:
+def tokenised(docs: DataFrame, text: str, keep: list[str], paths: tuple[str, str | None], id_kind: str) -> DataFrame:
     """keep, curve (Hilbert key), doc_tokens and chunks: the ids (little-endian, of id_kind), LENGTH at a time."""
 
     def make():
-        encode = _encoder(paths, id_kind, added)
+        encode = _encoder(paths, id_kind)
         matrix = projection()
         closing = np.array([CLOSING], id_kind)
 
@@ -137,11 +140,11 @@ def tokenised(docs: DataFrame, text: str, keep: list[str], paths: tuple[str, str
 _held: dict = {}
 
 
-def _encoder(paths, kind, added):
+def _encoder(paths, kind):
     """One encoder a worker process and kind."""
-    if (paths, added) not in _held:
-        _held[paths, added] = encoder(*paths, kind, added)
-    return _held[paths, added]
+    if paths not in _held:
+        _held[paths] = encoder(*paths, kind)
+    return _held[paths]
 
 
 def parts_of(n: int) -> list[int]:
@@ -186,7 +189,7 @@ def place(rows: Iterator[tuple[object, int, int, np.ndarray]], length: int) -> I
                 sizes, number, fill = sizes[1:], number + 1, 0
 
 
-def pack(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, paths: tuple[str, str | None] | None = None, scratch: Scratch | None = None, added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, paths: tuple[str, str | None] | None = None, scratch: Scratch | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     scratch = scratch or Scratch(docs.sparkSession)
     kind = docs.select(F.col(f"`{id_column}`")).schema[0].dataType
@@ -194,8 +197,11 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length:
     # Written once: the range bounds are sampled from it, and the row number must stay what it was.
     paths = paths or default_paths()
     id_kind = id_type(paths[0])
-    ids = scratch.table(tokenised(src, "text", ["doc"], paths, id_kind, added).withColumn("row", F.monotonically_increasing_id()).select("doc", "curve", "row", "doc_tokens", F.posexplode("chunks").alias("part", "ids")))
-    ordered = ids.repartitionByRange("curve", "row", "part").sortWithinPartitions("curve", "row", "part").select("doc", "part", "doc_tokens", "ids")
+    ids = scratch.table(tokenised(src, "text", ["doc"], paths, id_kind).withColumn("row", F.monotonically_increasing_id()).select("doc", "curve", "row", "doc_tokens", F.posexplode("chunks").alias("part", "ids")))
+    # As many ranges as the ids' bytes ask for, however many there are; a range is one task's.
+    total = ids.filter("part = 0").agg(F.sum("doc_tokens")).first()[0] or 0
+    ranges = max(1, math.ceil(total * np.dtype(id_kind).itemsize / range_bytes))
+    ordered = ids.repartitionByRange(ranges, "curve", "row", "part").sortWithinPartitions("curve", "row", "part").select("doc", "part", "doc_tokens", "ids")
     names = [id_column, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = T.StructType([T.StructField(id_column, kind), *[T.StructField(n, T.LongType()) for n in names[1:]]])
 

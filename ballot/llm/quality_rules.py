@@ -6,18 +6,22 @@ threshold condition of the best information gain, is pruned on rows it did not g
 is precise there; what it covers leaves the sample. The list becomes one CASE WHEN expression.
 
 Defined results: a null text is empty and has no words; a text without words is not kept; equal rows get
-equal results; without labels of both kinds no rule is learned and only the fixed rules reject.
+equal results, whatever their ids; very long texts are taken whole, as arrays of one row; ties between
+conditions go to the feature named first, then the lower cut; an empty table gives an empty result; without
+labels of both kinds no rule is learned and only the fixed rules reject. Input columns named like the results
+are replaced; all others, whatever their names, stay.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballot.llm.common import SPACE, held_out, share, without
+from ballot.llm.common import SPACE, aside, held_out, share, without
 
 WINDOW = 5
 FIXED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -25,9 +29,15 @@ FEATURES = ["n_words", "mean_chars", "symbol_rate", "dup_line_rate", "repeat_rat
 SAMPLE = 8000  # labelled rows at most, about, that the list is learned from
 
 
+#: Names of columns on the way, which the input's columns make room for.
+INNER = ["__t", "__trim", "__words", "__lines", "__upper", "__marks", "__windows", "__placed", "__twice", "__n_lines", "__distinct"]
+
+
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with FIXED and FEATURES columns; clashing columns of df are replaced."""
-    own = [c for c in without(df, [*FIXED, *FEATURES]).columns if not c.startswith("__")]
+    """df with FIXED and FEATURES columns; columns of df with those names are replaced, all others stay."""
+    df, restored = aside(without(df, [*FIXED, *FEATURES]), INNER)
+    text = text if text in df.columns else next(c for c, old in zip(df.columns, restored(df).columns, strict=True) if old == text)
+    own = df.columns
     keep = [F.col(f"`{c}`") for c in own]
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     none = F.array().cast("array<string>")
@@ -62,7 +72,7 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         "__marks",
     )
     rate = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return df.select(
+    df = df.select(
         *keep,
         *FIXED,
         rate("word_chars", "n_words").alias("mean_chars"),
@@ -73,6 +83,8 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         rate("__distinct", "n_words").alias("distinct_rate"),
         rate("__marks", "word_chars").alias("mark_rate"),
     )
+    back = [F.col(f"`{c}`").alias(old) for c, old in zip(own, restored(df).columns, strict=True)]
+    return df.select(*back, *FIXED, *FEATURES)
 
 
 @dataclass(frozen=True)
@@ -173,18 +185,26 @@ def verdict(rules: list[list[Condition]]) -> Column:
     return F.lit(True) if out is None else out.otherwise(True)
 
 
-def learned_rules(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> list[list[Condition]]:
-    """Rules from about `sample` labelled rows at most outside the held-out fold, chosen by a hash of their ids."""
+def learned_rules(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, **settings) -> list[list[Condition]]:
+    """Rules from about `sample` labelled rows at most outside the held-out fold, chosen by a hash of their ids.
+
+    Rows are put in order by their statistics, and a checksum of a row's statistics says whether it grows or
+    prunes rules, so that ids of any type, repeated ids and ties of all kinds give the same rules in every run.
+    """
     known = labels.select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{label}`").alias("__label")).filter("__label IN (0, 1)").filter(~held_out("__id"))
     some = known.filter(share(F.col("__id"), known.count(), sample))
-    rows = with_statistics(docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(some), F.col("id") == F.col("__id")).select("id", "text", F.col("__label").alias("label")), "text")
-    found = rows.select("id", "label", *FEATURES).collect()
-    return learn([{f: float(r[f]) for f in FEATURES} | {"bad": 1 - int(r.label), "fold": hash((r.id, 7)) % 3} for r in sorted(found, key=lambda r: r.id)])
+    rows = with_statistics(docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(some), F.col("id") == F.col("__id")).select("text", F.col("__label").alias("label")), "text")
+    found = sorted((tuple(float(r[f]) for f in FEATURES), int(r.label)) for r in rows.select("label", *FEATURES).collect())
+    return learn([dict(zip(FEATURES, x, strict=True)) | {"bad": 1 - y, "fold": zlib.crc32(repr((x, i)).encode()) % 3} for i, (x, y) in enumerate(found)], **settings)
+
 
+def quality_rules(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", sample: int = SAMPLE, precision: float = 0.95, longest: int = 4, most: int = 24) -> DataFrame:
+    """docs with the statistics, base_failed and kept.
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the statistics, base_failed and kept."""
-    rules = learned_rules(docs, labels, id_column, text)
+    sample: labelled rows, about, that rules are learned from; precision: the share of bad rows that a rule
+    must cover among them; longest: conditions a rule; most: rules.
+    """
+    rules = learned_rules(docs, labels, id_column, text, sample=sample, precision=precision, longest=longest, most=most)
     failed = (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
     out = with_statistics(without(docs, ["base_failed", "kept"]), text)
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(rules))

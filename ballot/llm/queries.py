@@ -77,7 +77,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ballot.llm.packing import pack
 
-    return pack(documents(spark, sf_dir), added=True)
+    return pack(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -86,21 +86,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP1_SQL = """
 WITH lines AS (
-  SELECT doc_id, unnest(range(1, len(parts) + 1)) AS place, unnest(parts) AS line
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+  SELECT row, doc_id, unnest(range(1, len(parts) + 1)) AS place, unnest(parts) AS line
+  FROM (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
 ), keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM lines
 ), repeated AS (
   SELECT key, max(doc_id) AS keep FROM keyed WHERE length(key) >= 40
-  GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+  GROUP BY key HAVING count(DISTINCT row) >= 5
 ), marked AS (
-  SELECT keyed.*, keep IS NOT NULL AND keep <> doc_id AS gone FROM keyed LEFT JOIN repeated USING (key)
+  SELECT keyed.*, keep IS NOT NULL AND keep IS DISTINCT FROM doc_id AS gone FROM keyed LEFT JOIN repeated USING (key)
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY row, doc_id
 """
 
 ORACLE_SQL = {"op1_line_dedup": OP1_SQL}

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ballot.llm import decontam, line_dedup, packing, pii, quality_pu, quality_rules, queries, secrets, simhash, toxicity
+from ballot.llm import bloom, decontam, line_dedup, packing, pii, quality_pu, quality_rules, queries, secrets, simhash, toxicity
 from ballot.llm.automaton import Automaton
 from ballot.llm.common import table
 
@@ -35,12 +35,12 @@ def test_line_dedup_equals_its_sql(spark):
     assert got.to_records(index=False).tolist() == want[got.columns].to_records(index=False).tolist()
 
 
-@pytest.mark.parametrize("limit", [1 << 20, -1])
-def test_line_dedup_both_ways(spark, limit):
+@pytest.mark.parametrize(("limit", "bits"), [(1 << 20, 1 << 30), (-1, 1 << 30), (1 << 20, 128)])
+def test_line_dedup_all_ways(spark, limit, bits):
     r = random.Random(2)
     pool = [f"  A Line Number {i} that is long enough to count as such  " for i in range(12)] + ["short", "", "ÄÖ" * 25]
     rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(0, 9)))) for i in range(40)]
-    got = {x.doc_id: x for x in line_dedup.line_dedup(frame(spark, rows).repartition(6), broadcast_bytes=limit).collect()}
+    got = {x.doc_id: x for x in line_dedup.line_dedup(frame(spark, rows).repartition(6), broadcast_bytes=limit, filter_bits=bits).collect()}
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
     seen = {}
     for i, t in rows:
@@ -53,11 +53,27 @@ def test_line_dedup_both_ways(spark, limit):
         assert (got[i].n_lines, got[i].n_dropped, got[i].text) == (len(lines), len(lines) - len(kept), "\n".join(kept))
 
 
-def test_bloom_filter_has_no_false_negatives():
-    h = np.random.default_rng(0).integers(0, 2**63, 5000).astype(np.uint64)
+def test_bloom_filters_have_no_false_negatives_and_few_false_positives(spark):
+    r = np.random.default_rng(0)
+    h, other = (r.integers(0, 2**63, n).astype(np.uint64) for n in (5000, 50_000))
     f = np.zeros(1 << 13, np.uint8)
-    line_dedup.put(f, line_dedup.probes(h, 1 << 16))
-    assert line_dedup.has(f, line_dedup.probes(h, 1 << 16)).all()
+    bloom.put(f, bloom.probes(h, 1 << 16))
+    assert bloom.has(f, bloom.probes(h, 1 << 16)).all()
+    grown = line_dedup.Layered(keys=64)
+    for part in np.array_split(h, 7):
+        grown.put(part)
+    assert len(grown.layers) > 3 and grown.has(h).all() and grown.has(other).mean() < 0.02
+    got = np.frombuffer(bloom.merged(spark.createDataFrame([(int(x),) for x in h], "h long").repartition(3), 1 << 17), np.uint8)
+    assert bloom.has(got, bloom.probes(h, 1 << 17)).all() and bloom.has(got, bloom.probes(other, 1 << 17)).mean() < 0.02
+
+
+def test_false_suspects_are_few(spark):
+    """Lines that pass 2 sends on without need: the share of the suspects, whatever the corpus."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    keys = Counter(k for r in docs.collect() for k in line_dedup.text_keys((r.text or "").encode(), 40))
+    got = line_dedup.seen_again(docs, "text", 40, 4).count()
+    real = sum(n > 1 for n in keys.values())
+    assert real <= got <= real + 0.01 * len(keys)
 
 
 def plain_fingerprint(text):
@@ -94,6 +110,58 @@ def test_simhash_classes_against_all_pairs(spark, clustered):
     assert all(len(x) == 1 for x in of.values()) and len({min(x) for x in of.values()}) == len(of)
 
 
+def test_wide_links_against_all_pairs():
+    r = np.random.default_rng(6)
+    for n, words, most in ((1, 1, 3), (300, 1, 6), (200, 4, 48), (150, 2, 20)):
+        codes = r.integers(0, 1 << 63, (n, words), np.uint64)
+        codes[n // 2 :] = codes[: n - n // 2] ^ (np.uint64(1) << r.integers(0, 64, (n - n // 2, words), np.uint64))
+        group = np.sort(r.integers(0, 3, n))
+        rank = simhash.gray_rank(codes)
+        order = np.lexsort((*[rank[:, w] for w in range(words - 1, -1, -1)], group))
+        codes = codes[order]
+        label = simhash.stars(n, simhash.links(group, codes, most))
+        near = (np.bitwise_count(codes[:, None] ^ codes[None, :]).sum(axis=2) <= most) & (group[:, None] == group[None, :])
+        assert (label == simhash.stars(n, iter([np.nonzero(near)]))).all()
+
+
+def test_gray_rank_counts_the_sequence():
+    codes = np.array([[i ^ (i >> 1)] for i in range(64)], np.uint64)
+    assert simhash.gray_rank(codes)[:, 0].tolist() == list(range(64))
+    two = np.array([[3, 5], [2, 5]], np.uint64)
+    assert (simhash.gray_rank(two)[:, 1][0] ^ simhash.gray_rank(two)[:, 1][1]) == np.uint64(2**64 - 1)
+
+
+def test_near_copies_of_five_words_and_08(spark, texts):
+    """All pairs at 0.8 or more are in one class; no class holds a text that has no pair at 0.5."""
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    sets = {i: set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for i, t in rows.items()}
+    where = {}
+    for i, s in sets.items():
+        for h in s:
+            where.setdefault(h, []).append(i)
+    shared = Counter((a, b) for v in where.values() for k, a in enumerate(v) for b in v[k + 1 :])
+    like = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in shared.items()}
+    kept = {r.doc_id for r in simhash.keep_first(docs).collect()}
+    close = [p for p, j in like.items() if j >= 0.8]
+    assert len(close) > 20
+    assert sum(a in kept and b in kept for a, b in close) <= 0.01 * len(close)
+    some = {x for p, j in like.items() if j >= 0.5 for x in p}
+    empty = [i for i, s in sets.items() if not s]
+    assert set(rows) - kept <= some | set(empty)
+
+
+@pytest.mark.parametrize("hub", [1, 10**6])
+def test_hub_join(spark, hub):
+    from ballot.llm.common import hub_join
+
+    left = spark.createDataFrame([(i % 3 if i < 90 else i, i) for i in range(120)], "k long, v long")
+    right = left.groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "k * 10 AS m", "n")
+    got = sorted((r.k, r.v, r.m) for r in hub_join(left, right, "k", "v", hub=hub).collect())
+    assert got == sorted((r.k, r.v, r.k * 10) for r in left.collect())
+
+
 def test_simhash_components(spark, texts):
     rows = {r.doc_id: r for r in queries.op2_simhash(spark, SF).collect()}
     ids = sorted(texts)
@@ -350,7 +418,7 @@ def test_packing_added_tokens(ranks):
     from tokenizers import Tokenizer
 
     path, table_path = packing.default_paths()
-    encode, own = packing.encoder(path, table_path if ranks else None, "<u2", added=True), Tokenizer.from_file(path)
+    encode, own = packing.encoder(path, table_path if ranks else None, "<u2"), Tokenizer.from_file(path)
     for t in ("logs <|endoftext|> end", "<|endoftext|>", "<|endoftext|><|endoftext|>é", "plain <|endoftext| >", "привет <|endoftext|>"):
         assert encode(t).tolist() == own.encode(t, add_special_tokens=False).ids
     assert 50256 in encode("logs <|endoftext|> end")
@@ -366,7 +434,6 @@ def test_packing_round_trip(spark, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.default_paths()[0])
-    tokenizer.encode_special_tokens = True
     own = {**texts, 9001: "two  spaces and\ttab ", 9002: "кириллица и 日本語 <|endoftext|>", 9003: None, 9004: " lead", 9005: "don't  stop\n\n now's"}
     got = packing.pack(frame(spark, list(own.items())).repartition(3)).toPandas().sort_values(["doc_id", "start"])
     for i, g in got.groupby("doc_id"):
