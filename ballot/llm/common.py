@@ -115,7 +115,10 @@ def map_text(df: DataFrame, column: str, added: list[tuple[str, T.DataType, pa.D
     """
     names = [n for n, _, _ in added]
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in {n.lower() for n in names}]
-    src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").cast("string").alias("__text"))
+    inner = "__text"
+    while inner in {c.lower() for c in kept}:
+        inner += "_"
+    src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").cast("string").alias(inner))
     schema = T.StructType([*[f for f in src.schema.fields[:-1]], *[T.StructField(n, t) for n, t, _ in added]])
     arrow = [t for _, _, t in added]
 
