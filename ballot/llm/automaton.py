@@ -3,7 +3,8 @@
 The dialect: literals, escapes (\\xHH, \\., \\n ...), classes, groups, |, ?, *, + and {m}, {m,}, {m,n}.
 Rules are made into one nondeterministic automaton with a loop at its start, so that a match may begin
 anywhere; subset construction over byte classes and partition refinement give a transition array whose
-states say which rules end there.
+states say which rules end there. Anchored automata, without the loop, and backward ones, of the rules read
+from their ends, find where a match that ends at a known place begins.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 ALL = frozenset(range(256))
+GUESSES = 4
 
 
 class Parser:
@@ -104,7 +106,7 @@ class Parser:
 class Automaton:
     """delta[state * classes + class] is the next state times `classes`; ends[state] is a mask of rules."""
 
-    def __init__(self, rules: list[tuple[str, bool]]):
+    def __init__(self, rules: list[tuple[str, bool]], anchored: bool = False, backward: bool = False):
         edges, jumps, final = [[]], [[]], {}
 
         def state() -> int:
@@ -119,7 +121,7 @@ class Automaton:
                 edges[at].append((tree[1], to))
                 return to
             if tree[0] == "cat":
-                for x in tree[1]:
+                for x in reversed(tree[1]) if backward else tree[1]:
                     at = build(x, at)
                 return at
             if tree[0] == "alt":
@@ -178,7 +180,7 @@ class Automaton:
                 raw = frozenset().union(*(moves[x][c] for x in here if x in moves))
                 to = closed.get(raw)
                 if to is None:
-                    to = closed[raw] = closure(raw) | start
+                    to = closed[raw] = closure(raw) if anchored else closure(raw) | start
                 if to not in numbers:
                     numbers[to] = len(queue)
                     queue.append(to)
@@ -199,47 +201,112 @@ class Automaton:
         self.start = int(block[0]) * self.classes
         self.delta = np.ascontiguousarray(block[delta[one]] * self.classes, np.int32).ravel()
         self.resets = bool((self.delta.reshape(self.states, -1)[:, self.class_of[10]] == self.start).all())
+        nothing = numbers.get(frozenset())
+        self.dead = int(block[nothing]) * self.classes if nothing is not None else -1
+        self._lists = None
 
-    def scan(self, texts: list[bytes], lane: int = 1024) -> np.ndarray:
-        """For each text, the mask of rules that match in it: one pass over the bytes, in lanes side by side.
+    def farthest(self, text: bytes, begin: int, end: int, step: int) -> int:
+        """From `begin` in steps of 1 or -1 up to `end`: the bytes taken at the last final state, -1 if there is none.
 
-        Lanes start without knowing the state their text is in there; those for which it turns out not to be
-        the start state run again from the right one, until all agree, so that cuts change nothing.
+        For anchored automata; it stops as soon as no match can follow.
+        """
+        if self._lists is None:
+            self._lists = self.delta.tolist(), self.class_of.tolist(), (np.repeat(self.ends, self.classes) > 0).tolist()
+        delta, class_of, final = self._lists
+        state, found, dead = self.start, -1, self.dead
+        for at in range(begin, end, step):
+            state = delta[state + class_of[text[at]]]
+            if state == dead:
+                break
+            if final[state]:
+                found = abs(at - begin) + 1
+        return found
+
+    def states_of(self, joined: bytes, lane: int) -> np.ndarray:
+        """The state after each byte, [place in lane, lane]: one pass, in lanes side by side.
+
+        Lanes start without knowing the state their text is in there. Those that should have started in another run
+        again, twice side by side. What is then left, such as a run over many lanes that keeps its state, is looked up in
+        a further pass from that state; beyond GUESSES such states, lanes are walked along byte by byte from their
+        right start until they meet what was found before.
         """
-        if not self.resets:
-            raise ValueError("a rule matches across line ends")
-        joined = b"\n".join(texts) + b"\n"
         n = len(joined)
         lanes = -(-n // lane)
         codes = np.full(lanes * lane, self.class_of[10], np.uint8)
         np.take(self.class_of, np.frombuffer(joined, np.uint8), out=codes[:n])
         steps = np.ascontiguousarray(codes.reshape(lanes, lane).T)
-        flag = np.repeat(self.ends, self.classes)  # by state times classes
-        found = np.zeros((lanes, -(-lane // 64)), np.int64)  # rules by lane and stretch of 64 bytes
+        out = np.empty((lane, lanes), np.int32)
         begin = np.full(lanes, self.start, np.int32)
-        last = np.full(lanes, -1, np.int32)
         todo = np.arange(lanes)
-        while len(todo):
+        for _ in range(3):
             state = begin[todo]
-            hits = np.zeros((len(todo), found.shape[1]), np.int64)
-            part = steps if len(todo) == lanes else np.ascontiguousarray(steps[:, todo])
+            whole = len(todo) == lanes
+            part = steps if whole else np.ascontiguousarray(steps[:, todo])
+            own = out if whole else np.empty((lane, len(todo)), np.int32)
             for p in range(lane):
                 state = self.delta.take(state + part[p])
-                hits[:, p // 64] |= flag.take(state)
-            found[todo] = hits
-            last[todo] = state
-            right = np.r_[np.int32(self.start), last[:-1]]
+                own[p] = state
+            if not whole:
+                out[:, todo] = own
+            right = np.r_[np.int32(self.start), out[-1, :-1]]
             todo = np.flatnonzero(right != begin)
             begin = right
-        out = np.zeros(len(texts), np.int64)
-        row, stretch = np.nonzero(found)
-        if len(row):
-            first = row * lane + stretch * 64
-            length = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-            stop = np.cumsum(length)
-            # A stretch may touch several texts; an exact check of each follows, so all of them are marked.
-            lo = np.searchsorted(stop, first, side="right")
-            hi = np.searchsorted(stop, np.minimum(first + 63, (row + 1) * lane - 1), side="right")
-            for a, b, m in zip(lo, hi, found[row, stretch], strict=True):
-                out[a : b + 1] |= m
+            if not len(todo):
+                return out
+        if self._lists is None:
+            self.farthest(b"", 0, 0, 1)
+        delta = self._lists[0]
+        wrong = np.zeros(lanes + 1, bool)
+        wrong[todo] = True
+        tried: dict[int, tuple[int, np.ndarray]] = {}  # start state: first lane, states of all lanes from there on
+        for k in range(int(todo[0]), lanes):
+            if not wrong[k]:
+                continue
+            state = int(out[-1, k - 1]) if k else self.start
+            if state not in tried and len(tried) < GUESSES:
+                # What begins in this state may end in it too: all later lanes from it, side by side.
+                now = np.full(lanes - k, state, np.int32)
+                own = np.empty((lane, lanes - k), np.int32)
+                part = np.ascontiguousarray(steps[:, k:])
+                for p in range(lane):
+                    now = self.delta.take(now + part[p])
+                    own[p] = now
+                tried[state] = k, own
+            if state in tried and tried[state][0] <= k:
+                first, own = tried[state]
+                wrong[k + 1] |= bool(own[-1, k - first] != out[-1, k])
+                out[:, k] = own[:, k - first]
+                continue
+            new = []
+            for c, before in zip(steps[:, k].tolist(), out[:, k].tolist(), strict=True):
+                state = delta[state + c]
+                if state == before:
+                    break
+                new.append(state)
+            out[: len(new), k] = new
+            wrong[k + 1] |= len(new) == lane  # its end has changed, so the next one's start has
+        return out
+
+    def ends_in(self, texts: list[bytes], lane: int = 1024, runs: int = 0) -> list[list[tuple[int, int]]]:
+        """For each text, (end, mask) in order: places that matches of the mask's rules end at; of the rules in `runs` only the last of places in a row."""
+        if not self.resets:
+            raise ValueError("a rule matches across line ends")
+        joined = b"\n".join(texts) + b"\n"
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        flag = np.repeat(self.ends, self.classes).astype(np.uint16 if len(self.ends) == 0 or int(self.ends.max()) < 1 << 16 else np.uint64)
+        if not flag.any():
+            return out
+        marks = flag.take(self.states_of(joined, lane)).T.ravel()[: len(joined)]
+        hit = np.flatnonzero(marks)
+        if not len(hit):
+            return out
+        after = np.zeros(len(hit), marks.dtype)
+        inside = hit + 1 < len(joined)
+        after[inside] = marks[hit[inside] + 1]
+        stop = marks[hit] & ~(after & marks.dtype.type(runs))
+        last = np.flatnonzero(stop)
+        stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        row = np.searchsorted(stops, hit[last], side="right")
+        for r, place, mask in zip(row.tolist(), hit[last].tolist(), stop[last].tolist(), strict=True):
+            out[r].append((place + 1 - (int(stops[r]) - len(texts[r]) - 1), mask))
         return out

@@ -38,7 +38,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ballot.llm.secrets import secret_spans
 
     found = secret_spans(documents(spark, sf_dir))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_secrets")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ballot.llm.pii import pii_spans
 
     found = pii_spans(documents(spark, sf_dir))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_pii")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
