@@ -454,6 +454,50 @@ def test_tiling_against_brute_force():
         assert sum(t[2] for t in tiles) == brute_tiles(item, text, 3)
 
 
+def test_tiles_of_both_ways_are_equal():
+    r = random.Random(10)
+    for k in range(300):
+        item, text = ([r.randint(1, r.choice((1, 2, 5))) for _ in range(r.randint(1, n))] for n in (30, 60))
+        width = r.randint(2, 5)
+        pairs = [(i, j) for i in range(len(item) - width + 1) for j in range(len(text) - width + 1) if item[i : i + width] == text[j : j + width]]
+        a, b = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+        one = decontam.tile(np.array(item), np.array(text), a, b, width)
+        two = decontam.tile_long(np.array(item), np.array(text), width)
+        assert sum(t[2] for t in one) == sum(t[2] for t in two) == brute_tiles(item, text, width), (k, item, text)
+
+
+def test_a_megabyte_of_one_word_takes_little_memory():
+    import tracemalloc
+
+    seeds = decontam.Seeds([(1, "ha " * 100), (2, "one two three four five six")])
+    text = "ha " * 350_000
+    tracemalloc.start()
+    got = list(decontam.in_batch(seeds, [text, "one two three four five six " * 9], 0.8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(r, name, total) for r, name, _, total, _ in got} == {(0, 1, 100), (1, 2, 6)} and peak < 250 << 20
+
+
+def test_op8_against_plain_tiling(spark, tmp_path):
+    """The query itself, by a search that knows no seeds."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.randint(3, 14)))) for i in range(6)] + [(9, None), (None, "w1 w2 w3 w4 w5 w6")]
+    rows = [(k, " ".join([*(r.choice(words) for _ in range(r.randint(0, 9))), *(items[k % 6][1].split()[r.randint(0, 2) :]), r.choice(words)])) for k in range(60)] + [(98, items[0][1]), (99, None), (None, "w1, W2 w3 w4 w5 w6!")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    frame(spark, items, "item_id").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(x.doc_id, x.item_id): (x.item_tokens, x.covered_tokens, x.coverage) for x in queries.op8_decontamination(spark, str(tmp_path)).collect()}
+    plain = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    want = {}
+    for d, t in rows:
+        for i, x in items:
+            a, b = plain(x), plain(t)
+            total = brute_tiles(a, b, 5) if len(a) >= 5 else len(a) * (a == b)
+            if a and total >= 0.8 * len(a):
+                want[d, i] = (len(a), total, total / len(a))
+    assert got == want and len(want) > 10
+
+
 def test_contamination_finds_planted_items(spark, texts):
     bench = {r.item_id: r.text for r in table(spark, SF, "benchmark").collect()}
     clean = [t for t in texts.values() if not any(b in t for b in bench.values())][:30]
