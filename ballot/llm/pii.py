@@ -1,12 +1,17 @@
 """Personal data with deobfuscation that keeps offsets.
 
-Base spans are found in the text as it stands. Then transducers rewrite a copy: homoglyphs and
-compatibility forms to ASCII, invisible characters to nothing, disguised "at" and "dot" to their signs,
-spelled digits to figures. Every character of the copy carries the source range it came from, so that
-identifiers found in the copy give spans of the source. Of these, only those that a transducer had a
-hand in, and that overlap no base span or hold it whole and more, are added; base spans stay.
-
-Defined results: a null text is empty; equal rows get equal results; spans are in code points.
+Base spans are found in the text as it stands. Then a cascade of transducers rewrites a copy: the first
+writes homoglyphs and compatibility forms as ASCII and invisible characters as nothing; the second reads words of the
+corpus's four languages for "at", "dot", the digits, "plus" and "double" and writes a mark for each; over the
+marks, finite-state contexts (bracketed signs, addresses spoken part by part, runs of spelled digits) decide which
+of them become signs or figures; the others stay the words they were. Every character of the copy carries the
+source range it came from, so that identifiers found in the copy give spans of the source. Of these, only those
+that a transducer had a hand in, and that overlap no base span or hold it whole and more, are added; base spans stay.
+
+Defined results: a null text is empty; equal rows get equal results, whatever their ids; very long texts are
+taken whole, in time and memory in proportion, with no bound on the parts of an address, their length or the
+spaces around signs; spans of one kind never overlap, the leftmost being taken; an empty table gives an empty result.
+Spans are in code points. Input columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -15,13 +20,14 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_left
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ballot.llm.common import map_text
+from ballot.llm.transducer import Copy, Edit, Transducer
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -33,26 +39,70 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SIGN = re.compile(r"[0-9@]")
 
 # Letters of other scripts that look like ASCII letters.
-HOMOGLYPHS = str.maketrans(
+LIKE = dict(zip(
     "аеорсухіјѕԁАВЕКМНОРСТХІЈЅοαρνΑΒΕΖΗΙΚΜΝΟΡΤΥΧı․．。‐‑‒–−﹫＠＋",
     "aeopcyxijsdABEKMHOPCTXIJSoapvABEZHIKMNOPTYXi...-----@@+",
-)
-INVISIBLE = frozenset("­​‌‍⁠﻿")
+    strict=True,
+))
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 FOREIGN = re.compile("[­ıͰ-֏​-―․⁠℀-⅏−①-⓿。﹐-﹯﻿！-～\U0001d400-\U0001d7ff]")
-# Digit words.
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-TIMES = {"double": 2, "triple": 3}
-_DIGIT = "(?:(?:double|triple)[ -]+)?(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ -]+)?(?:{_DIGIT}|[0-9]+)(?:(?:[ ,-]+|[ -]*\b(?:dot|point)\b[ -]*)(?:{_DIGIT}|[0-9]+)(?![A-Za-z0-9]))+", re.I)
-SPELLED_WORD = re.compile(rf"plus|double|triple|dot|point|[0-9]+|{'|'.join(DIGITS)}", re.I)
-HINT = re.compile(r"\b(?:zero|one|two|three|four|five|six|seven|eight|nine)\b", re.I)
+
+# Words in English, German, French and Spanish. "at" and "point" are everyday words of English prose.
+DIGIT_WORDS = {
+    "0": "zero oh null zéro cero",
+    "1": "one eins un uno",
+    "2": "two zwei zwo deux dos",
+    "3": "three drei trois tres",
+    "4": "four vier quatre cuatro",
+    "5": "five fünf cinq cinco",
+    "6": "six sechs seis",
+    "7": "seven sieben sept siete",
+    "8": "eight acht huit ocho",
+    "9": "nine neun neuf nueve",
+}
+AT, AT_ONLY, DOT, POINT, PLUS, TWICE, THRICE = (chr(0xE040 + k) for k in range(7))
+SIGN_WORDS = {
+    AT: "at ät",
+    AT_ONLY: "arobase arobas klammeraffe arroba",
+    DOT: "dot punkt punto",
+    POINT: "point",
+    PLUS: "plus más",
+    TWICE: "double doppelt doble",
+    THRICE: "triple dreifach",
+}
+FIGURE = {chr(0xE030 + int(d)): d for d in DIGIT_WORDS}
+_FIGURES = f"{min(FIGURE)}-{max(FIGURE)}"
+
+
+def folded(c: str) -> str:
+    """What the first transducer writes for a character: one ASCII character, nothing, or itself."""
+    if c in INVISIBLE:
+        return ""
+    new = LIKE.get(c) or unicodedata.normalize("NFKC", c)
+    return new if len(new) == 1 and new.isascii() else c
+
+
+def ranges(*pairs: tuple[int, int]) -> Iterator[str]:
+    for lo, hi in pairs:
+        yield from map(chr, range(lo, hi + 1))
+
+
+GLYPHS = Transducer((c, folded(c)) for c in [*LIKE, *INVISIBLE, *ranges((0x2100, 0x214F), (0x2460, 0x24FF), (0xFE50, 0xFE6F), (0xFF01, 0xFF5E), (0x1D400, 0x1D7FF))] if folded(c) != c)
+WORDS = Transducer([(w, mark) for table in (SIGN_WORDS, {chr(0xE030 + int(d)): w for d, w in DIGIT_WORDS.items()}) for mark, words in table.items() for w in words.split()], words=True)
+
+_SPOKEN = "|".join(w for words in DIGIT_WORDS.values() for w in words.split())
+#: What a text must have for the marks to matter: signs beside brackets or spaces, or digit words one after another.
 BRACKET = re.compile(r"[\[({<]")
-BRACKET_AT = re.compile(r"[\[({<]\s*(?:at|@)\s*[\])}>]", re.I)
-BRACKET_DOT = re.compile(r"[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]", re.I)
-#: Parts are as long as the rules of mail and names allow, 64 and 63, and twenty at most, so that a search is linear.
-#: A spaced full stop after a whole name ends a sentence; it joins only names that are spaced from their first part on.
-PLAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{1,64}(?:(?:\.| dot )[A-Za-z0-9_%+-]{1,64}){0,20}(?P<at> at |@| @ )[A-Za-z0-9-]{1,63}(?:(?:(?: dot |\.)[A-Za-z0-9-]{1,63}){0,20}(?: dot |\.)[A-Za-z]{2,63}(?![A-Za-z0-9-])| \. (?:[A-Za-z0-9-]{1,63}(?: dot |\.| \. (?-i:(?=[a-z0-9])))){0,20}[A-Za-z]{2,63}(?![A-Za-z0-9-]))", re.I)
-JOINT = re.compile(r" at | dot | @ | \. ", re.I)
+SAID = re.compile(r"\b(?:dot|punkt|punto|arobase?|klammeraffe|arroba)\b", re.I)
+SPELLED_HINT = re.compile(rf"\b(?:{_SPOKEN})[ ,-]+(?:(?:double|doppelt|doble|triple|dreifach)[ -]+)?(?:{_SPOKEN})\b", re.I)
+BRACKETED_HINT = re.compile(r"[\[({<]\s*(?:[@.]|at\b|ät\b|dot\b|point\b|pun[kt])", re.I)
+BRACKETED = re.compile(rf"[\[({{<]\s*(?:(?P<at>[{AT}{AT_ONLY}@])|[{DOT}{POINT}.])\s*[\])}}>]")
+JOINT = re.compile(rf" (?:[{AT}{AT_ONLY}]|@) |@")
+STEP = re.compile(rf" [{DOT}{POINT}] |\.| \. ")
+LABEL = re.compile(r"[A-Za-z0-9-]+")
+_ONE = f"(?:(?:[{TWICE}{THRICE}][ -]+)?[{_FIGURES}]|[0-9]+)"
+SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:{PLUS}[ -]+)?{_ONE}(?:(?:[ ,-]+|[ -]*[{DOT}{POINT}][ -]*){_ONE}(?![A-Za-z0-9]))+")
+SPELLED_PART = re.compile(f"[{PLUS}{TWICE}{THRICE}{DOT}{POINT}{_FIGURES}]|[0-9]+")
 
 
 def luhn(digits: str) -> bool:
@@ -104,106 +154,115 @@ def small(part: str) -> bool:
     return len(part) < 4 and int(part or 0) <= 255
 
 
-@dataclass
-class Copy:
-    """A rewritten text; begin and end: the source range of each character; made: whether a transducer made it."""
-
-    text: str
-    begin: list[int]
-    end: list[int]
-    made: list[bool]
-
-    @classmethod
-    def of(cls, text: str) -> Copy:
-        return cls(text, list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text))
-
-    def replaced(self, edits: list[tuple[int, int, str]]) -> Copy:
-        """With [a, b) replaced, for edits in order; new characters share the range of what they replace."""
-        out = Copy("", [], [], [])
-        parts, at = [], 0
-        for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
-            parts += [self.text[at:a], new]
-            out.begin += self.begin[at:a]
-            out.end += self.end[at:a]
-            out.made += self.made[at:a]
-            if new:
-                out.begin += [self.begin[a]] * len(new)
-                out.end += [self.end[b - 1]] * len(new)
-                out.made += [True] * len(new)
-            at = b
-        out.text = "".join(parts)
-        return out
-
-
-def folded(c: str) -> str:
-    if c in INVISIBLE:
-        return ""
-    new = c.translate(HOMOGLYPHS)
-    if new == c:
-        new = unicodedata.normalize("NFKC", c)
-    return new if len(new) == 1 and new.isascii() else c
-
-
-def homoglyphs(c: Copy) -> Copy:
-    return c.replaced([(m.start(), m.end(), new) for m in FOREIGN.finditer(c.text) if (new := folded(m[0])) != m[0]])
-
-
-def widened(t: str, a: int, b: int) -> tuple[int, int]:
-    """The range with the spaces beside it, eight on either side at most, as people type them."""
-    for _ in range(8):
-        a -= a > 0 and t[a - 1].isspace()
-        b += b < len(t) and t[b].isspace()
-    return a, b
+def bracketed(t: str) -> list[Edit]:
+    """Signs and words for them in brackets, with the spaces beside."""
+    edits, free = [], 0
+    for m in BRACKETED.finditer(t):
+        a, b = m.span()
+        while a > free and t[a - 1] in " \t\xa0":
+            a -= 1
+        while b < len(t) and t[b] in " \t\xa0":
+            b += 1
+        edits.append((a, b, "@" if m["at"] else "."))
+        free = b
+    return edits
+
+
+def spoken(t: str) -> list[Edit]:
+    """Addresses with words or spaced signs for "@" and ".": from each sign outwards, part by part.
+
+    The English words "at" and "point" make no address by themselves ("look at this point in ..."): "at" asks for
+    another word for a dot, and "point" for another word for "at" or for a sign. A spaced full stop after a whole name
+    ends a sentence; it joins only names that are spaced from their first part on.
+    """
+    edits: list[Edit] = []
+    free = 0
+    for m in JOINT.finditer(t):
+        a, at = m.start(), m[0].strip()
+        steps: list[Edit] = []
+        left = a
+        while True:
+            part = left
+            while left > free and t[left - 1] in LOCAL:
+                left -= 1
+            if left == part:
+                left = part + 3 if steps else part  # a step without a part before it is none
+                if steps:
+                    steps.pop()
+                break
+            if left - 3 >= free and t[left - 3] == t[left - 1] == " " and t[left - 2] in (DOT, POINT):
+                steps.append((left - 3, left, "."))
+                left -= 3
+                continue
+            break
+        begin = left
+        label = LABEL.match(t, m.end())
+        if begin == a or not label:
+            continue
+        right: list[tuple[Edit | None, re.Match]] = []
+        end, spaced = label.end(), False
+        while step := STEP.match(t, end):
+            after = LABEL.match(t, step.end())
+            if not after or step[0] == " . " and (right and not spaced or right and not (t[after.start()].islower() or t[after.start()].isdigit())):
+                break
+            spaced |= step[0] == " . "
+            right.append(((*step.span(), ".") if step[0] != "." else None, after))
+            end = after.end()
+        while right and not (right[-1][1][0].isalpha() and len(right[-1][1][0]) > 1):
+            right.pop()
+        if not right:
+            continue
+        own = [*reversed(steps), *([(*m.span(), "@")] if m[0] != "@" else []), *[x for x, _ in right if x]]
+        words = {t[x + 1] for x, y, _ in own if y - x == 3}
+        if at == AT and DOT not in words or POINT in words and at == AT:
+            continue
+        edits += own
+        free = right[-1][1].end()
+    return edits
 
 
-def signs(c: Copy) -> Copy:
-    if BRACKET.search(c.text):
-        for pattern, sign in ((BRACKET_AT, "@"), (BRACKET_DOT, ".")):
-            c = c.replaced([(*widened(c.text, *m.span()), sign) for m in pattern.finditer(c.text)])
-    edits = []
-    if "@" not in c.text and " dot " not in c.text.lower():
-        return c
-    for m in PLAIN.finditer(c.text):
-        own = m[0]
-        if " dot " not in own.lower() and m["at"] == " at ":
-            continue  # "look at example.com" is no address
-        edits += [(m.start() + j.start(), m.start() + j.end(), "@" if j[0].strip().lower() in ("at", "@") else ".") for j in JOINT.finditer(own)]
-    return c.replaced(edits)
+def spelled(t: str) -> list[Edit]:
+    """Runs with four digit words or more, or three dots or more: words to figures, separators to nothing, "plus" and "dot" to signs."""
+    edits: list[Edit] = []
+    for m in SPELLED.finditer(t):
+        parts = list(SPELLED_PART.finditer(t, *m.span()))
+        if sum(w[0] in FIGURE for w in parts) < 4 and sum(w[0] in (DOT, POINT) for w in parts) < 3:
+            continue
+        times, at = 1, m.start()
+        for w in parts:
+            if w[0] in (TWICE, THRICE):
+                times, new = 2 if w[0] == TWICE else 3, ""
+            else:
+                new = "+" if w[0] == PLUS else "." if w[0] in (DOT, POINT) else FIGURE.get(w[0], w[0]) * times
+                times = 1
+            edits.append((at, w.end(), new))
+            at = w.end()
+    return edits
 
 
-def worded(t: str) -> bool:
-    low = t.lower()
-    return low.count(" dot ") + low.count(" point ") > 2 or any(w in low for w in DIGITS) and len(HINT.findall(low)) > 3
+def in_context(tape: Copy, context: Callable[[str], list[Edit]]) -> Copy:
+    """The tape with the marks that a context accepts written out; words whose marks it does not accept stay."""
+    marked = Copy.of(tape.text).replaced(WORDS.edits(tape.text))
+    return tape.replaced([(marked.begin[a], marked.end[b - 1], new) for a, b, new in context(marked.text)])
 
 
-def spelled(c: Copy) -> Copy:
-    """Runs with four digit words or more, or three dots or more: words to figures, separators to nothing, "plus" and "dot" to signs."""
-    if not worded(c.text):
-        return c
-    edits = []
-    for m in SPELLED.finditer(c.text):
-        words = list(SPELLED_WORD.finditer(m[0]))
-        if sum(w[0].lower() in DIGITS for w in words) < 4 and sum(w[0].lower() in ("dot", "point") for w in words) < 3:
-            continue
-        times, at = 1, 0
-        for w in words:
-            a, b, word = m.start() + at, m.start() + w.end(), w[0].lower()
-            at = w.end()
-            if word in TIMES:
-                times = TIMES[word]
-                edits.append((a, b, ""))
-                continue
-            new = "+" if word == "plus" else "." if word in ("dot", "point") else DIGITS.get(word, word) * times
-            times = 1
-            edits.append((a, b, new))
-    return c.replaced(edits)
+def deobfuscated(text: str) -> Copy:
+    """The cascade; steps that have nothing to read in the text are left out."""
+    tape = GLYPHS(Copy.of(text)) if FOREIGN.search(text) else Copy.of(text)
+    if BRACKET.search(tape.text):
+        tape = in_context(tape, bracketed)
+    if "@" in tape.text or SAID.search(tape.text):
+        tape = in_context(tape, spoken)
+    if SPELLED_HINT.search(tape.text) or len(SAID.findall(tape.text)) > 2:
+        tape = in_context(tape, spelled)
+    return tape
 
 
 def disguised(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
     """Spans found in the rewritten copy only."""
-    if not (BRACKET.search(text) or "@" in text or " dot " in text.lower() or worded(text) or FOREIGN.search(text)):
+    if not (FOREIGN.search(text) or BRACKETED_HINT.search(text) or "@" in text or SAID.search(text) or SPELLED_HINT.search(text)):
         return []
-    copy = spelled(signs(homoglyphs(Copy.of(text))))
+    copy = deobfuscated(text)
     if not any(copy.made) and len(copy.text) == len(text):
         return []
     taken = sorted(s for found in base.values() for s in found)
@@ -228,14 +287,14 @@ def joined(found: list[tuple[str, int, int]]) -> str:
 
 
 def pii_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, and spans, the added ones too."""
+    """docs with n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, and spans and n_pii, the added ones too."""
 
     def make():
         nothing = hashlib.sha256(b"").hexdigest()
 
         def run(texts):
             counts = {k: [0] * len(texts) for k in KINDS}
-            digest, spans = [nothing] * len(texts), [""] * len(texts)
+            digest, spans, total = [nothing] * len(texts), [""] * len(texts), [0] * len(texts)
             for i, t in enumerate(texts):
                 if not t:
                     continue
@@ -246,9 +305,9 @@ def pii_spans(docs: DataFrame, text: str = "text") -> DataFrame:
                     counts[k][i] += 1
                 if own:
                     digest[i] = hashlib.sha256(joined(own).encode()).hexdigest()
-                spans[i] = joined(own + more)
-            return [*counts.values(), digest, spans]
+                spans[i], total[i] = joined(own + more), len(own) + len(more)
+            return [*counts.values(), digest, spans, total]
 
         return run
 
-    return map_text(docs, text, [*[(f"n_{k}", T.LongType(), pa.int64()) for k in KINDS], ("base_sha256", T.StringType(), pa.string()), ("spans", T.StringType(), pa.string())], make)
+    return map_text(docs, text, [*[(f"n_{k}", T.LongType(), pa.int64()) for k in KINDS], ("base_sha256", T.StringType(), pa.string()), ("spans", T.StringType(), pa.string()), ("n_pii", T.LongType(), pa.int64())], make)

@@ -355,6 +355,70 @@ def test_disguises(text, kind, part):
     assert [(k, text[a:b]) for k, a, b in found] == [(kind, part)]
 
 
+WHOLE = {
+    "email": ["hans at beispiel punkt de", "marie arobase exemple point fr", "luz arroba ejemplo punto es", "hans klammeraffe post punkt beispiel punkt de", "a.b [at] c-d (dot) org", "x{at}y{dot}z{dot}com", "ana (arroba) correo [punto] es", "joe @ mail . example . com", "jоe@ехample.com", "long" * 40 + " at " + "part dot " * 30 + "com"],
+    "phone": ["plus four nine one five two three four five six seven eight", "plus vier neun eins fünf zwei drei vier fünf sechs sieben acht", "plus trois trois un deux trois quatre cinq six sept huit neuf", "más tres cuatro uno dos tres cuatro cinco seis siete ocho nueve", "plus one double five five one two three four five six seven"],
+    "card": ["vier eins eins eins eins eins eins eins eins eins eins eins eins eins eins eins", "4111 eins eins eins eins 1111 1111", "quatre un un un un un un un un un un un un un un un"],
+    "ip": ["eins neun zwei punkt eins sechs acht punkt null punkt eins", "uno nueve dos punto uno seis ocho punto cero punto uno", "one zero point zero point zero point one"],
+}
+
+
+def test_planted_disguises_have_full_precision_and_recall(texts):
+    clean = [t for t in texts.values() if len(t or "") > 300]
+    for kind, values in WHOLE.items():
+        for value in values:
+            for t in clean[:40]:
+                at = t.find(" ", 150)
+                text = f"{t[:at]}, {value}; {t[at:]}"
+                found = pii.disguised(text, pii.detect(text))
+                assert [(k, text[a:b]) for k, a, b in found] == [(kind, value)], (kind, value)
+
+
+@pytest.mark.parametrize("text", ["look at this point in time", "we met at noon. dot com was big", "one two three", "she is at home point blank now", "un deux trois soleil", "uno dos tres", "meet at ten (dot) or not", "at the dot", "zero zero zero", "email me at work", "@ @ @ . . .", "a @ b", "see [.] and (.)"])
+def test_prose_is_no_disguise(text):
+    assert pii.disguised(text, pii.detect(text)) == []
+
+
+def test_transducers_carry_ranges():
+    from ballot.llm.transducer import Copy, Transducer
+
+    t = Transducer([("ab", "X"), ("abc", "YZ"), ("q", "")])
+    tape = t(Copy.of("abcabqd"))
+    assert (tape.text, tape.begin, tape.end, tape.made) == ("YZXd", [0, 0, 3, 6], [3, 3, 5, 7], [True, True, True, False])
+    again = Transducer([("ZX", "!")])(tape)
+    assert (again.text, again.begin, again.end) == ("Y!d", [0, 0, 6], [3, 5, 7])
+    words = Transducer([("at", "@"), ("one", "1")], words=True)
+    assert words(Copy.of("At cat at8 ONE, stone one")).text == "@ cat at8 1, stone 1"
+
+
+def test_long_disguises_take_linear_time():
+    import time
+
+    for part in ("a at b dot ", "one ", "[at] ", "( ", "a . ", "@ ", "dot ", " ", "1 ", "x@", "one dot ", "[ at"):
+        spent = []
+        for n in (20_000, 80_000):
+            text = part * n
+            began = time.perf_counter()
+            pii.disguised(text, pii.detect(text))
+            spent.append(time.perf_counter() - began)
+        assert spent[1] < 12 * spent[0] + 0.5, (part, spent)
+
+
+def test_op6_against_plain_regexes(spark, tmp_path, texts):
+    """The query itself: counts, digest and spans of the base, and the total."""
+    import hashlib
+
+    parts = ["a.b", "@", "x-y.com", ".", "12", "255", "4111 1111 1111 1111", "-", " ", "+1", "(555)", "\n", "é", "0", "1234567"]
+    own = dict(enumerate([*list(texts.values())[:150], *random_texts(parts, 200, 5), None, ""]))
+    frame(spark, list(own.items())).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in queries.op6_pii(spark, str(tmp_path)).collect():
+        found = base_pii(own[r.doc_id] or "")
+        want = ",".join(f"{k}:{a}:{b}" for k in pii.KINDS for a, b in found[k])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(len(found[k]) for k in pii.KINDS)
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert r.n_pii == len([x for x in r.spans.split(",") if x]) and set(filter(None, want.split(","))) <= set(r.spans.split(","))
+
+
 @pytest.mark.parametrize(
     ("text", "parts"),
     [
