@@ -319,9 +319,9 @@ def apart(some: DataFrame, least: int = 8, most: int = WORDS_KEPT) -> list[str]:
     return sorted(r.word for r in sums.orderBy(far.desc(), "word").limit(most).collect())
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame | None = None, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with held_out, score and predicted."""
-    model = docs.sparkSession.sparkContext.broadcast(toxicity_model(docs, labels, id_column, text))
+def toxicity_scores(docs: DataFrame, labels: DataFrame | None = None, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, scratch: Scratch | None = None, **bounds) -> DataFrame:
+    """docs with held_out, score and predicted; bounds: those of toxicity_model."""
+    model = docs.sparkSession.sparkContext.broadcast(toxicity_model(docs, labels, id_column, text, scratch=scratch, **bounds))
 
     def make():
         mined, classifier = model.value

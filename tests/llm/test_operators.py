@@ -184,8 +184,16 @@ def test_quality_on_held_out_rows(spark):
 
 def test_class_prior():
     r = np.random.default_rng(3)
-    p, u = r.normal(2, 1, 3000), np.r_[r.normal(2, 1, 2100), r.normal(-3, 1, 900)]
-    assert abs(quality_pu.class_prior(p, u) - 0.7) < 0.05
+    p, u = r.normal(2, 1, 3000), np.r_[r.normal(2, 1, 21_000), r.normal(-3, 1, 9000)]
+    assert abs(quality_pu.class_prior(quality_pu.histogram(p), quality_pu.histogram(u)) - 0.7) < 0.05
+    assert quality_pu.histogram(np.array([-99.0, 0.0, 99.0])).sum() == 3
+
+
+def test_quality_counts_all_rows(spark):
+    docs, labels = table(spark, SF, "documents").select("doc_id", "text"), table(spark, SF, "labels")
+    model = quality_pu.quality_model(docs, labels)
+    every = quality_pu.counted(docs, [model], "doc_id", "text")
+    assert every.sum() == sum(zlib.crc32(str(r.doc_id).encode()) % 5 != 0 for r in docs.collect()) and 0.02 < model.prior < 0.98
 
 
 def test_toxicity_on_held_out_rows(spark):
