@@ -458,6 +458,33 @@ def test_statistics(spark, texts):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in r.text), len(lines) - len(set(lines)), len(cover))
 
 
+OP7_SQL = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+  coalesce(text, '') AS t FROM documents),
+g AS (SELECT doc_id, i, unnest(range(i, i + 5)) AS place, list_slice(words, i, i + 4) AS five FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+c AS (SELECT doc_id, count(DISTINCT place) AS n FROM g SEMI JOIN (SELECT doc_id, five FROM (SELECT DISTINCT doc_id, i, five FROM g) GROUP BY ALL HAVING count(*) > 1) r USING (doc_id, five) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(words) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(words) AS base_failed
+FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN l ON l.doc_id = w.doc_id
+"""
+
+
+def test_op7_base_equals_its_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.sql(OP7_SQL).df().sort_values("doc_id")
+    got = queries.op7_quality_rules(spark, SF).toPandas().sort_values("doc_id")
+    assert got[want.columns].to_records(index=False).tolist() == want.to_records(index=False).tolist()
+    assert not got.kept[got.base_failed].any() and got.kept.any()
+
+
+def test_rules_do_not_depend_on_ids(spark):
+    docs, labels = table(spark, SF, "documents").select("doc_id", "text"), table(spark, SF, "labels")
+    one = quality_rules.learned_rules(docs, labels)
+    assert one == quality_rules.learned_rules(docs.repartition(7), labels.repartition(3))
+
+
 def test_rule_learning():
     r = random.Random(1)
     rows = [{"a": r.random(), "b": r.random(), "fold": i % 3} for i in range(900)]
