@@ -79,7 +79,7 @@ def aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[Dat
     return renamed, lambda out: out.select(*[F.col(f"`{n}`").alias(c) for c, n in zip(old, new, strict=True)])
 
 
-HUB = 100_000  # rows of one key beyond which a join spreads them
+HUB = 1000  # rows of one key beyond which a join spreads them
 
 
 def hub_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, hub: int = HUB) -> DataFrame:
