@@ -87,8 +87,8 @@ def signature(text: bytes | None, width: int, bands: int, rows: int) -> tuple[li
     h = shingle_hashes(text, width)
     if not len(h):
         return [0] * WORDS, [0] * bands
-    wide = [majority(mixed(h, k)) for k in range(WORDS)]
-    own = np.unique(h)
+    own = np.unique(h)  # a line said twice makes short texts no more alike
+    wide = [majority(mixed(own, k)) for k in range(WORDS)]
     factors = MULTIPLIERS[: bands * rows, None]
     least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(own), 1 << 12):
