@@ -285,8 +285,8 @@ def simhash_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     groups = scratch.table(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     near = classes(near_links(groups.select("fp"), most, scratch), scratch)
     low = groups.join(near, F.col("fp") == F.col("u"), "left").select("fp", "least", "n", F.coalesce("v", "fp").alias("root"))
-    roots = low.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.table(low.join(roots, "root").select("fp", "component_id", "n"))
+    roots = scratch.table(low.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    named = scratch.table(hub_join(low, roots, "root", "fp").select("fp", "component_id", "n"))
     return hub_join(fps, named, "fp", "id").select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -329,8 +329,8 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text", w
     groups = scratch.table(marks.groupBy("fp", *words).agg(first, F.count(F.lit(1)).alias("n"), F.min("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()))
     near = classes(wide_links(groups, most, scratch), scratch)
     low = groups.select("fp", *words, "node", "first", "n").join(near, F.col("node") == F.col("u"), "left").withColumn("root", F.coalesce("v", "node"))
-    of_root = low.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("size"))
-    shared = scratch.table(low.join(of_root.filter("size > 1"), "root").select("fp", *[F.col(w).alias(f"{w}_") for w in words], "stays", "n"))
+    of_root = scratch.table(low.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("n")).filter("size > 1").drop("size"))
+    shared = scratch.table(hub_join(low, of_root, "root", "node").select("fp", *[F.col(w).alias(f"{w}_") for w in words], "stays", "n"))
     # Rows of classes of two rows or more, one for each (id, text), with how many there are and whether they stay.
     same = F.lit(True)
     for w in words:
