@@ -55,14 +55,14 @@ def pca_levels(depth: int, trees: int, dim: int, m: int, seed: int) -> list[str]
 
 def pca_route(depth: int, trees: int) -> list[str]:
     """g0..: the queries' nodes."""
-    out = [f"g0 AS (SELECT qid, t, 0::BIGINT AS node FROM q, range({trees}) a(t))"]
+    out = [f"g0 AS (SELECT qid, t, 0::BIGINT AS node FROM qa, range({trees}) a(t))"]
     for e in range(depth):
-        out.append(f"g{e + 1} AS MATERIALIZED (SELECT g.qid, g.t, 2 * g.node + CASE WHEN round(list_inner_product(list_transform(dims, lambda d: q.vec[d + 1]), w), 9) <= split THEN 1 ELSE 2 END AS node FROM g{e} g JOIN q USING (qid) JOIN c{e} USING (t, node) JOIN s{e} USING (t, node))")
+        out.append(f"g{e + 1} AS MATERIALIZED (SELECT g.qid, g.t, 2 * g.node + CASE WHEN round(list_inner_product(list_transform(dims, lambda d: q.vec[d + 1]), w), 9) <= split THEN 1 ELSE 2 END AS node FROM g{e} g JOIN qa q USING (qid) JOIN c{e} USING (t, node) JOIN s{e} USING (t, node))")
     return out
 
 
 def rf_route(depth: int, trees: int) -> list[str]:
-    out = [f"g0 AS (SELECT qid, t, 0::BIGINT AS node FROM q, range({trees}) a(t))"]
+    out = [f"g0 AS (SELECT qid, t, 0::BIGINT AS node FROM qa, range({trees}) a(t))"]
     for e in range(depth):
-        out.append(f"g{e + 1} AS MATERIALIZED (SELECT g.qid, g.t, 2 * g.node + CASE WHEN x.d IS NULL OR q.vec[x.d + 1] <= x.split THEN 1 ELSE 2 END AS node FROM g{e} g JOIN q USING (qid) LEFT JOIN x{e} x ON x.t = g.t AND x.node = g.node)")
+        out.append(f"g{e + 1} AS MATERIALIZED (SELECT g.qid, g.t, 2 * g.node + CASE WHEN x.d IS NULL OR q.vec[x.d + 1] <= x.split THEN 1 ELSE 2 END AS node FROM g{e} g JOIN qa q USING (qid) LEFT JOIN x{e} x ON x.t = g.t AND x.node = g.node)")
     return out

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from ballot.plans import forest_sql
-from ballot.plans.queries import CLASS_LABELS, DEPTH, DIM, K, LABELLED, NARROW, QUERY_EVERY, RF_SHARE, SEED, TRAIN_K, TREES, VOTES
+from ballot.plans.queries import CLASS_LABELS, DEPTH, DIM, K, LABELLED, NARROW, QUERY_EVERY, SEED, TARGET, TRAIN_K, TREES, TUNE_AT
 
 V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings)"
 S = "s AS (SELECT id, list_transform(vec, lambda x: x * (1 + id % 7)) AS vec FROM v)"
 Q = f"q AS (SELECT id AS qid, vec FROM v WHERE id % {QUERY_EVERY} = 0)"
+#: The queries and those that the votes required are measured on.
+QA = f"qa AS (SELECT id AS qid, vec FROM v WHERE id % {QUERY_EVERY} IN (0, {TUNE_AT})), tune AS (SELECT * FROM qa WHERE qid % {QUERY_EVERY} = {TUNE_AT})"
+OWN = f"qid % {QUERY_EVERY} = 0"
+LEAST = "(SELECT v FROM least)"
 BASE = f"WITH {V}, {S}, {Q}"
 L2 = "list_distance({0}, {1})"
 IP = "list_inner_product({0}, {1})"
@@ -44,6 +48,12 @@ def projection(density: float) -> str:
 ALL_LABELS = f"labels AS MATERIALIZED (SELECT qid AS train_id, id AS label FROM ({ranked(pairs(L2, queries='a').replace('FROM a, v', 'FROM (SELECT id AS qid, vec FROM v) a, v'), TRAIN_K)}))"
 
 
+def least() -> str:
+    """CTE: the votes that elect a share TARGET of the true neighbours of the tuning queries, less some room for rounding."""
+    truth = ranked(pairs(L2, queries="tune"), K)
+    return f"least AS MATERIALIZED (SELECT quantile_cont(coalesce(s.votes, 0.0::DOUBLE), {1 - TARGET!r}) - 1e-12 AS v FROM ({truth}) t LEFT JOIN summed s ON s.qid = t.qid AND s.label = t.id)"
+
+
 def forest(*parts: str) -> str:
     """CTEs of an RP forest: p (projections), n0.. (training rows' nodes), splits, and those of parts with what they need:
     leaves, labels, counts, route, summed.
@@ -51,7 +61,7 @@ def forest(*parts: str) -> str:
     parts = set(parts)
     parts |= {"counts", "route"} if "summed" in parts else set()
     parts |= {"leaves", "labels"} if "counts" in parts else set()
-    out = [V, S, Q, weights(0.125), "p AS MATERIALIZED (SELECT id, t, l, round(list_inner_product(vec, w), 9) AS x FROM v, w)", f"n0 AS MATERIALIZED (SELECT id, t, 0 AS node FROM v, range({TREES}) a(t))"]
+    out = [V, S, Q, QA, weights(0.125), "p AS MATERIALIZED (SELECT id, t, l, round(list_inner_product(vec, w), 9) AS x FROM v, w)", f"n0 AS MATERIALIZED (SELECT id, t, 0 AS node FROM v, range({TREES}) a(t))"]
     for level in range(DEPTH):
         out.append(f"r{level} AS MATERIALIZED (SELECT n.id, n.t, n.node, x, row_number() OVER (PARTITION BY n.t, node ORDER BY x, n.id) AS r, count(*) OVER (PARTITION BY n.t, node) AS c FROM n{level} n JOIN p ON p.id = n.id AND p.t = n.t AND p.l = {level})")
         out.append(f"s{level} AS MATERIALIZED (SELECT t, node, median(x) AS split FROM r{level} GROUP BY t, node)")
@@ -64,12 +74,13 @@ def forest(*parts: str) -> str:
     if "counts" in parts:
         out.append("counts AS MATERIALIZED (SELECT t, leaf, label, count(*) AS c FROM leaves JOIN labels USING (train_id) GROUP BY ALL)")
     if "route" in parts:
-        out.append(f"g0 AS (SELECT qid, t, 0 AS node FROM q, range({TREES}) a(t))")
+        out.append(f"g0 AS (SELECT qid, t, 0 AS node FROM qa, range({TREES}) a(t))")
         for level in range(DEPTH):
             out.append(f"g{level + 1} AS MATERIALIZED (SELECT g.qid, g.t, 2 * g.node + CASE WHEN x <= split THEN 1 ELSE 2 END AS node FROM g{level} g JOIN p ON p.id = g.qid AND p.t = g.t AND p.l = {level} JOIN s{level} s ON s.t = g.t AND s.node = g.node)")
         out.append(f"route AS (SELECT qid, t, node - {2**DEPTH - 1} AS leaf FROM g{DEPTH})")
     if "summed" in parts:
         out.append("summed AS MATERIALIZED (SELECT qid, label, sum(c)::DOUBLE AS votes FROM route JOIN counts USING (t, leaf) GROUP BY ALL)")
+        out.append(least())
     return "WITH " + ",\n".join(out)
 
 
@@ -107,7 +118,7 @@ def trees(kind: str, *parts: str, labels: str = ALL_LABELS, train_k: int = TRAIN
     parts = set(parts)
     parts |= {"counts", "route"} if "summed" in parts else set()
     parts |= {"leaves"} if "counts" in parts else set()
-    out = [V, S, Q]
+    out = [V, S, Q, QA]
     if kind == "RF" or "counts" in parts:
         out.append(labels)
     out += forest_sql.rf_levels(DEPTH, TREES, DIM, TRIED, SEED, train_k) if kind == "RF" else forest_sql.pca_levels(DEPTH, TREES, DIM, TRIED, SEED)
@@ -122,6 +133,7 @@ def trees(kind: str, *parts: str, labels: str = ALL_LABELS, train_k: int = TRAIN
         vote = "c::DOUBLE" if kind == "PCA" else f"c / (sum(c) OVER (PARTITION BY t, leaf) * {TREES})::DOUBLE"
         out.append(f"weighed AS (SELECT t, leaf, label, {vote} AS vote FROM counts)")
         out.append("summed AS MATERIALIZED (SELECT qid, label, sum(vote) AS votes FROM route JOIN weighed USING (t, leaf) GROUP BY ALL)")
+        out.append(least())
     return "WITH RECURSIVE " + ",\n".join(out)
 
 
@@ -137,7 +149,6 @@ def share(found: str, exact: str, head: str) -> str:
 def oracle_sql() -> dict[str, str]:
     exact = ranked(pairs(L2), K)
     classes = trees("RF", labels=CLASSES, train_k=CLASS_LABELS)
-    rf_least = f"{RF_SHARE} / (SELECT count(*) FROM v)"
     return {
         "pairwise_l2": f"{BASE} SELECT qid, id, round(d, 5) + 0.0 AS distance FROM ({pairs(L2)})",
         "pairwise_ip": f"{BASE} SELECT qid, id, round(d, 5) + 0.0 AS distance FROM ({pairs(IP, 's')})",
@@ -158,12 +169,12 @@ def oracle_sql() -> dict[str, str]:
         "leaf_votes_raw": f"{forest('counts')} SELECT t::INT AS tree, leaf, label, c::DOUBLE AS vote FROM counts",
         "leaf_votes_min_b": f"{forest('counts')} SELECT t::INT AS tree, leaf, label, c::DOUBLE AS vote FROM counts WHERE c >= 5",
         "leaf_votes_normalised": f"{forest('counts')} SELECT t::INT AS tree, leaf, label, round(c / (sum(c) OVER (PARTITION BY t, leaf) * {TREES})::DOUBLE, 9) AS vote FROM counts WHERE c >= 5",
-        "rp_route": f"{forest('route')} SELECT qid, t::INT AS tree, leaf FROM route",
-        "rp_votes": f"{forest('summed')} SELECT qid, label, votes FROM summed",
-        "rp_elected": f"{forest('summed')} SELECT qid, label, votes FROM summed WHERE votes >= {VOTES}",
-        "rp_n_elected": f"{forest('summed')} SELECT qid, count(votes) AS n_elected FROM q LEFT JOIN (SELECT * FROM summed WHERE votes >= {VOTES}) USING (qid) GROUP BY qid",
-        "ann_rp_l2": f"{forest('summed')} {ann(L2, 'v', 'ASC', VOTES)}",
-        "ann_rp_ip": f"{forest('summed')} {ann(IP, 's', 'DESC', VOTES)}",
+        "rp_route": f"{forest('route')} SELECT qid, t::INT AS tree, leaf FROM route WHERE {OWN}",
+        "rp_votes": f"{forest('summed')} SELECT qid, label, votes FROM summed WHERE {OWN}",
+        "rp_elected": f"{forest('summed')} SELECT qid, label, votes FROM summed WHERE votes >= {LEAST} AND {OWN}",
+        "rp_n_elected": f"{forest('summed')} SELECT qid, count(votes) AS n_elected FROM q LEFT JOIN (SELECT * FROM summed WHERE votes >= {LEAST}) USING (qid) GROUP BY qid",
+        "ann_rp_l2": f"{forest('summed')} {ann(L2, 'v', 'ASC', LEAST)}",
+        "ann_rp_ip": f"{forest('summed')} {ann(IP, 's', 'DESC', LEAST)}",
         "ann_rp_empty_election": f"{forest('summed')} {ann(L2, 'v', 'ASC', 1e9)}",
         "rf_root_gain": f"{root_gain()} SELECT t::INT AS tree, d::INT AS dim, position, round(gain, 6) + 0.0 AS gain, round(split, 6) + 0.0 AS split FROM gains",
         "rf_root_split": f"{root_gain()} SELECT t::INT AS tree, x.d::INT AS dim, round(x.split, 6) + 0.0 AS split FROM (SELECT t, list_reduce(list_prepend({{'gain': 0::DOUBLE, 'd': -1::BIGINT, 'split': 0::DOUBLE}}, list({{'gain': gain, 'd': d, 'split': split}} ORDER BY ord, position)), lambda a, b: CASE WHEN b.gain > a.gain + 0.001 THEN b ELSE a END) AS x FROM gains GROUP BY t)",
@@ -171,20 +182,20 @@ def oracle_sql() -> dict[str, str]:
         "rf_terminal": nodes("RF", classes),
         "rf_terminal_leaves": f"{trees('RF', 'leaves', labels=CLASSES, train_k=CLASS_LABELS)} SELECT train_id, t::INT AS tree, leaf FROM leaves",
         "rf_leaf_votes": f"{trees('RF', 'counts')} SELECT t::INT AS tree, leaf, label, round(c / (sum(c) OVER (PARTITION BY t, leaf) * {TREES})::DOUBLE, 9) AS vote FROM counts WHERE c >= 2",
-        "rf_route": f"{trees('RF', 'route')} SELECT qid, t::INT AS tree, leaf FROM route",
-        "pca_route": f"{trees('PCA', 'route')} SELECT qid, t::INT AS tree, leaf FROM route",
+        "rf_route": f"{trees('RF', 'route')} SELECT qid, t::INT AS tree, leaf FROM route WHERE {OWN}",
+        "pca_route": f"{trees('PCA', 'route')} SELECT qid, t::INT AS tree, leaf FROM route WHERE {OWN}",
         "pca_leaf_assignment": f"{trees('PCA', 'leaves')} SELECT train_id, t::INT AS tree, leaf FROM leaves",
-        "ann_rf_ip": f"{trees('RF', 'summed')} {ann(IP, 's', 'DESC', rf_least)}",
-        "ann_pca_ip": f"{trees('PCA', 'summed')} {ann(IP, 's', 'DESC', VOTES)}",
-        "ann_single": f"{trees('PCA', 'summed')} SELECT * FROM ({ann(L2, 'v', 'ASC', VOTES)}) WHERE qid = 0",
+        "ann_rf_ip": f"{trees('RF', 'summed')} {ann(IP, 's', 'DESC', LEAST)}",
+        "ann_pca_ip": f"{trees('PCA', 'summed')} {ann(IP, 's', 'DESC', LEAST)}",
+        "ann_single": f"{trees('PCA', 'summed')} SELECT * FROM ({ann(L2, 'v', 'ASC', LEAST)}) WHERE qid = 0",
         "ann_zero_threshold": f"{forest('summed')} {ann(L2, 'v', 'ASC', 0)}",
-        "ann_reloaded": f"{forest('summed')} {ann(L2, 'v', 'ASC', VOTES)}",
+        "ann_reloaded": f"{forest('summed')} {ann(L2, 'v', 'ASC', LEAST)}",
         "rf_leaf_assignment": f"{trees('RF', 'leaves')} SELECT train_id, t::INT AS tree, leaf FROM leaves",
-        "ann_rf_l2": f"{trees('RF', 'summed')} {ann(L2, 'v', 'ASC', rf_least)}",
+        "ann_rf_l2": f"{trees('RF', 'summed')} {ann(L2, 'v', 'ASC', LEAST)}",
         "pca_root_direction": f"{trees('PCA')} SELECT t::INT AS tree, (j - 1)::INT AS place, dims[j]::INT AS dim, round(w[j], 6) + 0.0 AS weight FROM c0, range(1, {TRIED + 1}) a(j)",
         "pca_nodes": nodes("PCA"),
-        "ann_pca_l2": f"{trees('PCA', 'summed')} {ann(L2, 'v', 'ASC', VOTES)}",
-        "recall_at_k": share(ann(L2, "v", "ASC", VOTES), exact, forest("summed")),
-        "recall_at_k_rf": share(ann(L2, "v", "ASC", rf_least), exact, trees("RF", "summed")),
-        "recall_at_k_pca": share(ann(L2, "v", "ASC", VOTES), exact, trees("PCA", "summed")),
+        "ann_pca_l2": f"{trees('PCA', 'summed')} {ann(L2, 'v', 'ASC', LEAST)}",
+        "recall_at_k": share(ann(L2, "v", "ASC", LEAST), exact, forest("summed")),
+        "recall_at_k_rf": share(ann(L2, "v", "ASC", LEAST), exact, trees("RF", "summed")),
+        "recall_at_k_pca": share(ann(L2, "v", "ASC", LEAST), exact, trees("PCA", "summed")),
     }

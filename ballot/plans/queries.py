@@ -3,7 +3,8 @@
 All rows are corpus and all rows train, whatever their number: splits are placed by a bounded sample, then
 every row is routed and labelled. Trees get a level more each time the rows double beyond 2^DEPTH leaves of
 LEAF rows. The queries are the rows whose id is a multiple of QUERY_EVERY. Vectors have unit length, so for
-searches by inner product they are stretched by 1 + id % 7, which tells the metrics apart.
+searches by inner product they are stretched by 1 + id % 7, which tells the metrics apart. The votes required
+are measured at every size: those that elect a share TARGET of the true neighbours of as many other rows.
 """
 
 from __future__ import annotations
@@ -25,8 +26,7 @@ from ballot.sources.vectors import read_vectors, shared_folder
 QUERY_EVERY = 50
 K, TRAIN_K, TREES, DEPTH, SEED, DIM = 10, 50, 10, 5, 7, 64
 LEAF, DEEPEST = 64, 15  # rows a leaf beyond which trees are deeper than DEPTH, and the depth that FIT_ROWS can place
-VOTES = 19.5  # of RP and PCA: counts, whole numbers, so that none lies on the threshold
-RF_SHARE = 1.3  # of RF: a probability, as a multiple of what each corpus row would get if all got the same
+TARGET, TUNE_AT = 0.95, 25  # the votes required elect this share of the neighbours of other queries: rows with this id modulo QUERY_EVERY
 NARROW, LABELLED = 100, 3  # a search among the rows of one label
 CLASS_LABELS = 5
 
@@ -35,8 +35,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_vectors(spark, f"{sf_dir}/embeddings.parquet")
 
 
-def queries_of(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("id") % QUERY_EVERY == 0).select(F.col("id").alias("qid"), "vec")
+def queries_of(rows: DataFrame, at: int = 0) -> DataFrame:
+    return rows.filter(F.col("id") % QUERY_EVERY == at).select(F.col("id").alias("qid"), "vec")
 
 
 def train_of(rows: DataFrame) -> DataFrame:
@@ -163,8 +163,21 @@ def index(spark: SparkSession, sf_dir: str, kind: str, b: int = 1) -> VectorInde
     return _models[key]
 
 
+_required: dict = {}
+
+
+def required(spark: SparkSession, sf_dir: str, kind: str) -> float:
+    """The votes to require of an index, measured once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _required:
+        ix = index(spark, sf_dir, kind)
+        _required[key] = ix.votes_for_recall(queries_of(ix.corpus, TUNE_AT), K, TARGET)
+    return _required[key]
+
+
 def forget() -> None:
     """Frees the models kept for queries."""
+    _required.clear()
     while _models:
         _models.popitem()[1].unpersist()
 
@@ -231,42 +244,42 @@ def rp_votes(spark, sf_dir):
 
 def rp_elected(spark, sf_dir):
     ix = index(spark, sf_dir, "RP")
-    return ix.candidates(queries_of(ix.corpus), VOTES)
+    return ix.candidates(queries_of(ix.corpus), required(spark, sf_dir, "RP"))
 
 
 def rp_n_elected(spark, sf_dir):
     ix = index(spark, sf_dir, "RP")
-    return ix.n_candidates(queries_of(ix.corpus), VOTES)
+    return ix.n_candidates(queries_of(ix.corpus), required(spark, sf_dir, "RP"))
 
 
 def ann_rp_l2(spark, sf_dir):
     ix = index(spark, sf_dir, "RP")
-    return shown(ix.ann(queries_of(ix.corpus), K, VOTES, return_distances=True))
+    return shown(ix.ann(queries_of(ix.corpus), K, required(spark, sf_dir, "RP"), return_distances=True))
 
 
-def _ann_ip(spark, sf_dir, kind, threshold):
+def _ann_ip(spark, sf_dir, kind):
     """Candidates by the index, ranked by the inner product with stretched vectors."""
     ix = index(spark, sf_dir, kind)
     q = queries_of(ix.corpus)
-    return shown(rerank(ix.candidates(q, threshold), stretched(ix.corpus), q, K, "ip"))
+    return shown(rerank(ix.candidates(q, required(spark, sf_dir, kind)), stretched(ix.corpus), q, K, "ip"))
 
 
 def ann_rp_ip(spark, sf_dir):
-    return _ann_ip(spark, sf_dir, "RP", VOTES)
+    return _ann_ip(spark, sf_dir, "RP")
 
 
 def ann_pca_ip(spark, sf_dir):
-    return _ann_ip(spark, sf_dir, "PCA", VOTES)
+    return _ann_ip(spark, sf_dir, "PCA")
 
 
 def ann_rf_ip(spark, sf_dir):
-    return _ann_ip(spark, sf_dir, "RF", RF_SHARE / index(spark, sf_dir, "RF").n_corpus)
+    return _ann_ip(spark, sf_dir, "RF")
 
 
 def ann_single(spark, sf_dir):
     """One query."""
     ix = index(spark, sf_dir, "PCA")
-    return shown(ix.ann(queries_of(ix.corpus).filter("qid = 0"), K, VOTES, return_distances=True))
+    return shown(ix.ann(queries_of(ix.corpus).filter("qid = 0"), K, required(spark, sf_dir, "PCA"), return_distances=True))
 
 
 def ann_zero_threshold(spark, sf_dir):
@@ -281,7 +294,7 @@ def ann_reloaded(spark, sf_dir):
     path = f"{shared_folder(spark)}/index-{spark.sparkContext.applicationId}"
     ix.save(path)
     again = VectorIndex.load(spark, path, ix.corpus)
-    return shown(again.ann(queries_of(ix.corpus), K, VOTES, return_distances=True))
+    return shown(again.ann(queries_of(ix.corpus), K, required(spark, sf_dir, "RP"), return_distances=True))
 
 
 def ann_rp_empty_election(spark, sf_dir):
@@ -356,13 +369,13 @@ def rf_leaf_assignment(spark, sf_dir):
     return _assignment(spark, sf_dir, "RF")
 
 
-def _ann(spark, sf_dir, kind, threshold):
+def _ann(spark, sf_dir, kind):
     ix = index(spark, sf_dir, kind)
-    return shown(ix.ann(queries_of(ix.corpus), K, threshold, return_distances=True))
+    return shown(ix.ann(queries_of(ix.corpus), K, required(spark, sf_dir, kind), return_distances=True))
 
 
 def ann_rf_l2(spark, sf_dir):
-    return _ann(spark, sf_dir, "RF", RF_SHARE / index(spark, sf_dir, "RF").n_corpus)
+    return _ann(spark, sf_dir, "RF")
 
 
 def pca_nodes(spark, sf_dir):
@@ -376,25 +389,25 @@ def pca_root_direction(spark, sf_dir):
 
 
 def ann_pca_l2(spark, sf_dir):
-    return _ann(spark, sf_dir, "PCA", VOTES)
+    return _ann(spark, sf_dir, "PCA")
 
 
-def _recall(spark, sf_dir, kind, threshold):
+def _recall(spark, sf_dir, kind):
     ix = index(spark, sf_dir, kind)
     q = queries_of(ix.corpus)
-    return evaluate.recall(ix.ann(q, K, threshold), ix.exact_search(q, K), K)
+    return evaluate.recall(ix.ann(q, K, required(spark, sf_dir, kind)), ix.exact_search(q, K), K)
 
 
 def recall_at_k(spark, sf_dir):
-    return _recall(spark, sf_dir, "RP", VOTES)
+    return _recall(spark, sf_dir, "RP")
 
 
 def recall_at_k_rf(spark, sf_dir):
-    return _recall(spark, sf_dir, "RF", RF_SHARE / index(spark, sf_dir, "RF").n_corpus)
+    return _recall(spark, sf_dir, "RF")
 
 
 def recall_at_k_pca(spark, sf_dir):
-    return _recall(spark, sf_dir, "PCA", VOTES)
+    return _recall(spark, sf_dir, "PCA")
 
 
 NAMES = [
