@@ -229,6 +229,21 @@ def test_near_labels(spark, data):
     assert all(len(r.labels) == 3 for r in near_labels(equal, 3, leaf_rows=40).collect())
 
 
+@pytest.mark.parametrize("leaf_rows", [125, 10**6])
+def test_near_labels_of_leaves_cut_into_chunks(data, leaf_rows):
+    """Leaves larger than a task may hold give the labels that they give whole."""
+    c = data[0]
+    want = {r.train_id: r.labels for r in near_labels(c, 20, leaf_rows=leaf_rows).collect()}
+    for rows in (60, 170):
+        assert {r.train_id: r.labels for r in near_labels(c, 20, leaf_rows=leaf_rows, leaf_bytes=8 * 64 * rows).collect()} == want
+
+
+def test_near_labels_of_equal_vectors_cut_into_chunks(spark):
+    rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(60)], "id long, vec array<float>")
+    got = {r.train_id: r.labels for r in near_labels(rows, 3, leaf_bytes=8 * 2 * 7).collect()}
+    assert got == {i: [0, 1, 2] for i in range(60)}
+
+
 @pytest.mark.parametrize("kind", ["RP", "PCA", "RF"])
 def test_recall_where_a_tenth_of_the_rows_places_the_splits(spark, kind):
     c = read_vectors(spark, "/root/testdata/sf0.1/embeddings.parquet")
