@@ -56,7 +56,7 @@ def spread(df: DataFrame, share: int = 4 << 20) -> DataFrame:
 
 def held_out(id_column: str) -> F.Column:
     """One row in five, by the checksum of its id as text; such rows never train a model."""
-    return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 5 == 0, F.lit(False))
+    return F.coalesce(F.crc32(F.col(f"`{id_column}`").cast("string")) % 5 == 0, F.lit(False))
 
 
 def share(column, rows: int, wanted: int, seed: int = 0) -> F.Column:
@@ -106,6 +106,15 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow, which can't take a frame with dots in its columns' names, for columns of any name."""
+    names = df.columns
+    if not any("." in c for c in names):
+        return df.mapInArrow(run, schema)
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), schema)
+
+
 def map_text(df: DataFrame, column: str, added: list[tuple[str, T.DataType, pa.DataType]], make: Callable[[], Callable[[list], list[list]]], binary: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Appends columns computed from one text column, an Arrow batch at a time.
 
@@ -132,7 +141,7 @@ def map_text(df: DataFrame, column: str, added: list[tuple[str, T.DataType, pa.D
                 cols = [*part.columns[:-1], *[pa.array(x, type=k) for x, k in zip(out, arrow, strict=True)]]
                 yield pa.RecordBatch.from_arrays(cols, names=[*kept, *names])
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ballot.llm.common import pieces
+from ballot.llm.common import map_arrow, pieces
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -305,7 +305,7 @@ def free_of(docs: DataFrame, block: list[tuple[object, str | None]], text: str,
                     keep[r] = False
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def blocks(benchmark: DataFrame, item_column: str, text: str, most: int = BLOCK) -> Iterator[list[tuple[object, str | None]]]:

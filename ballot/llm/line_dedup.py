@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ballot.llm.bloom import MOST_BITS, bits_for, has, merged, probes, put
-from ballot.llm.common import Scratch, aside, hub_join, pieces, without
+from ballot.llm.common import Scratch, aside, hub_join, map_arrow, pieces, without
 
 RANGE_ROWS = 1 << 18  # documents, about, whose lines' hashes one task filters
 PROBE_BITS = 16  # a hash named, in the filter of pass 2
@@ -198,4 +198,4 @@ def rewrite(docs: DataFrame, id_column: str, text: str, least: int, drops) -> Da
                 cols = [pa.array(texts, pa.binary()).cast(pa.string()) if c == text else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
-    return base.mapInArrow(run, schema)
+    return map_arrow(base, run, schema)

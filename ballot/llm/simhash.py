@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ballot.llm.bloom import bits_for, has, merged, probes
-from ballot.llm.common import Scratch, aside, hub_join, map_text
+from ballot.llm.common import Scratch, aside, hub_join, map_arrow, map_text
 
 SEED = 42
 FAN = 8
@@ -369,9 +369,9 @@ def less(docs: DataFrame, identity: list[F.Column], verdict: DataFrame, scratch:
         return run
 
     out = [F.col(f"`{c}`").alias(restored[c]) for c in plain]
-    clear = marked.mapInArrow(kept(False), marked.schema).select(*out)
+    clear = map_arrow(marked, kept(False), marked.schema).select(*out)
     # Equal identities are summed to one row before the comparison, so that none of them makes a task large.
-    suspects = marked.mapInArrow(kept(True), marked.schema)
+    suspects = map_arrow(marked, kept(True), marked.schema)
     row = F.struct(*[F.col(f"`{c}`") for c in plain])
     one = suspects.groupBy(*names).agg(F.min_by(row, F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in plain])).alias("row"), F.count(F.lit(1)).alias("copies"))
     match = F.lit(True)

@@ -88,3 +88,26 @@ def test_texts_without_words(docs, labels):
     assert same == {"0" * 16}
     lines = {r.doc_id: r for r in line_dedup.line_dedup(docs.filter("doc_id IN (1, 2, 6)")).collect()}
     assert [(lines[i].n_lines, lines[i].text) for i in (1, 2, 6)] == [(1, ""), (1, ""), (3, "  \n\t\n ")]
+
+
+DOTTED = {
+    "lines": lambda d, lab: line_dedup.line_dedup(d, "doc.id"),
+    "lines joined": lambda d, lab: line_dedup.line_dedup(d, "doc.id", documents=2, least=3, broadcast_bytes=-1),
+    "simhash": lambda d, lab: simhash.simhash_classes(d, "doc.id"),
+    "keep first": lambda d, lab: simhash.keep_first(d, "doc.id"),
+    "quality": lambda d, lab: quality_pu.quality_scores(d, lab, "doc.id"),
+    "secrets": lambda d, lab: secrets.secret_spans(d),
+    "toxicity": lambda d, lab: toxicity.toxicity_scores(d, lab, "doc.id"),
+    "pii": lambda d, lab: pii.pii_spans(d),
+    "rules": lambda d, lab: quality_rules.quality_rules(d, lab, "doc.id"),
+    "decontaminated": lambda d, lab: decontam.decontaminated(d, d.selectExpr("n_chars AS item_id", "'word8 is number 8 word9 is number 9' AS text")),
+    "packing": lambda d, lab: packing.pack(d, "doc.id"),
+}
+
+
+@pytest.mark.parametrize("name", DOTTED)
+def test_dots_in_column_names(docs, labels, name):
+    few = docs.filter("doc_id < 5 OR doc_id IS NULL").withColumnRenamed("doc_id", "doc.id").withColumn("text.raw", F.lit("x"))
+    got = DOTTED[name](few, labels.withColumnRenamed("doc_id", "doc.id"))
+    assert "doc.id" in got.columns and {r["doc.id"] for r in got.collect()} <= {1, 2, 3, None}
+    assert got.count() > 0
