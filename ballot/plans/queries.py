@@ -1,8 +1,7 @@
 """The engine's operators over the driver's `embeddings`, and the same results in DuckDB's SQL.
 
-All rows are corpus and all rows train, whatever their number: splits are placed by a bounded sample, then
-every row is routed and labelled. Trees get a level more each time the rows double beyond 2^DEPTH leaves of
-LEAF rows. The queries are the rows whose id is a multiple of QUERY_EVERY. Vectors have unit length, so for
+All rows are corpus and all rows train, whatever their number, in trees of depth DEPTH as their SQL fixes it.
+The queries are the rows whose id is a multiple of QUERY_EVERY. Vectors have unit length, so for
 searches by inner product they are stretched by 1 + id % 7, which tells the metrics apart. The votes required
 are measured at every size: those that elect a share TARGET of the true neighbours of as many other rows.
 """
@@ -146,13 +145,14 @@ _models: dict = {}
 
 
 def depth_of(rows: int) -> int:
+    """A depth for an index whose depth nothing fixes: a level more each time the rows double beyond 2^DEPTH leaves of LEAF rows."""
     return min(DEEPEST, max(DEPTH, math.ceil(math.log2(max(1, rows) / LEAF))))
 
 
 def built(rows: DataFrame, kind: str, knn: DataFrame | None = None, b: int = 1) -> VectorIndex:
     """An index over rows, all of which train; knn: their labels, by default those of near_labels."""
     ix = VectorIndex(rows, kind, SEED)
-    return ix.build(train_of(rows), near_labels(rows, TRAIN_K, seed=SEED) if knn is None else knn, TREES, depth_of(ix.n_corpus), b=b)
+    return ix.build(train_of(rows), near_labels(rows, TRAIN_K, seed=SEED) if knn is None else knn, TREES, DEPTH, b=b)
 
 
 def index(spark: SparkSession, sf_dir: str, kind: str, b: int = 1) -> VectorIndex:

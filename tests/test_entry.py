@@ -2,6 +2,9 @@ import glob
 import os
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__
@@ -35,3 +38,25 @@ def test_query_equals_its_sql(spark, name):
 def test_recall(spark, name):
     got = __spark_entry__.queries()[name](spark, SF).toPandas()
     assert got.recall.mean() >= 0.9
+
+
+#: Queries on the index, compared with their SQL on more rows than the labels' search takes as one leaf.
+LARGER = ["rp_leaf_assignment"]
+
+
+@pytest.fixture(scope="module")
+def larger(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("larger")
+    vecs = np.random.default_rng(5).normal(size=(4200, 64)).astype(np.float32)
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    table = {"vec_id": np.arange(4200), "embedding": pa.array(list(vecs), pa.list_(pa.float32())), "label": pa.array(np.arange(4200) % 10, pa.int32())}
+    pq.write_table(pa.table(table), folder / "embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", LARGER)
+def test_index_query_equals_its_sql_on_a_larger_table(spark, larger, name):
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{larger}/embeddings.parquet'")
+    got = __spark_entry__.queries()[name](spark, larger).toPandas()
+    assert rows(got) == rows(con.sql(__spark_entry__.oracle_sql()[name]).df())
