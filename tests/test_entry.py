@@ -41,7 +41,7 @@ def test_recall(spark, name):
 
 
 #: Queries on the index, compared with their SQL on more rows than the labels' search takes as one leaf.
-LARGER = ["rp_leaf_assignment", "rp_route"]
+LARGER = ["rp_leaf_assignment", "rp_route", "pca_leaf_assignment"]
 
 
 @pytest.fixture(scope="module")
