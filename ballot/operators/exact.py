@@ -9,6 +9,8 @@ left is ranked. Ties go to the lower id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -60,15 +62,15 @@ def padded(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return out.select("qid", "rank", F.coalesce("id", F.lit(-1)).cast("long").alias("id"), F.coalesce("distance", F.lit(-1.0)).alias("distance"))
 
 
-def best_of(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: Metric) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, key) of each query's k nearest rows of c; ties at the end are all kept."""
+def best_of(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: Metric, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, key) of each query's k nearest rows of c, but those beyond `most`, its k-th key so far; ties at the end are all kept."""
     product = q @ c.T
     if metric is L2:
         near = (q * q).sum(axis=1)[:, None] - 2 * product + (c * c).sum(axis=1)[None, :]
     else:
         near = -product
-    if near.shape[1] > k:
-        cut = np.partition(near, k - 1, axis=1)[:, k - 1]
+    if near.shape[1] > k or most is not None:
+        cut = np.partition(near, k - 1, axis=1)[:, k - 1] if most is None else most
         # The product form is off by some ulps of the norms; whatever may belong to the k is measured directly.
         room = 1e-9 * (1 + np.abs(q).sum(axis=1) * np.abs(c).max(initial=1.0) + np.abs(cut, where=np.isfinite(cut), out=np.zeros_like(cut)))
         row, col = np.nonzero(near <= (cut + room)[:, None])
@@ -90,16 +92,17 @@ def trimmed(row: np.ndarray, ids: np.ndarray, key: np.ndarray, k: int) -> tuple[
 
 def best_rows(qids: np.ndarray, q: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray]], k: int, metric: Metric) -> Iterator[pa.RecordBatch]:
     """(qid, id, key): the k nearest rows of each query among all parts (ids, vectors)."""
-    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    held, most = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), None
     for ids, c in parts:
         for lo in range(0, len(c), 4096):
             part, own = c[lo : lo + 4096], ids[lo : lo + 4096]
             step = max(1, CELLS // len(part))
             for at in range(0, len(q), step):
-                row, found, key = best_of(q[at : at + step], part, own, k, metric)
+                row, found, key = best_of(q[at : at + step], part, own, k, metric, None if most is None else most[at : at + step])
                 held = tuple(np.concatenate(x) for x in zip(held, (row + at, found, key), strict=True))
-            if len(held[0]) > 4 * k * len(q):
+            if len(held[0]) > 1.5 * k * len(q) or most is None:
                 held = trimmed(*held, k)
+                most = held[2][k - 1 :: k] if len(held[0]) == k * len(q) else None
     row, found, key = trimmed(*held, k)
     if len(row):
         yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(found), pa.array(key)], names=["qid", "id", "key"])
@@ -141,7 +144,8 @@ def grid_keys(corpus: DataFrame, queries: DataFrame, n_queries: int, dim: int, k
     """The k nearest in each cell of a grid: blocks of queries by columns, blocks of the corpus by rows.
 
     Every block is copied along its own side of the grid only, so a cell reads an even part of either, and
-    nothing goes through the driver; a cell's pairs of blocks are met one at a time.
+    nothing goes through the driver; a cell's pairs of blocks are met one at a time, those of a block of queries
+    one after another, so that its best k are kept over all blocks that it meets there.
     """
     rows = max(1, BLOCK_BYTES // (8 * dim))
     columns = max(1, -(-n_queries * dim * 8 // QUERY_BYTES))
@@ -151,11 +155,10 @@ def grid_keys(corpus: DataFrame, queries: DataFrame, n_queries: int, dim: int, k
     pairs = q.join(c.hint("merge"), ["i", "j"]).select("qid", "q", "cid", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(b.num_rows):
-                qids, q, ids, c = (b.column(i)[at].as_py() for i in range(4))
-                parts = [(np.frombuffer(ids, "<i8"), np.frombuffer(c, "<f8").reshape(-1, dim))]
-                yield from best_rows(np.frombuffer(qids, "<i8"), np.frombuffer(q, "<f8").reshape(-1, dim), iter(parts), k, metric)
+        met = ([b.column(i)[at].as_py() for i in range(4)] for b in batches for at in range(b.num_rows))
+        for (qids, q), same in groupby(met, itemgetter(0, 1)):
+            parts = ((np.frombuffer(ids, "<i8"), np.frombuffer(c, "<f8").reshape(-1, dim)) for _, _, ids, c in same)
+            yield from best_rows(np.frombuffer(qids, "<i8"), np.frombuffer(q, "<f8").reshape(-1, dim), parts, k, metric)
 
     return pairs.mapInArrow(run, KEYS)
 

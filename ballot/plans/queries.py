@@ -12,12 +12,12 @@ import math
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballot.functions.vectors import Metric, normalised
 from ballot.operators import build, evaluate, exact, forest, votes
-from ballot.operators.neighbours import near_labels
 from ballot.operators.rerank import rerank
 from ballot.plans.index import VectorIndex
 from ballot.sources.vectors import read_vectors, shared_folder
@@ -149,17 +149,28 @@ def depth_of(rows: int) -> int:
     return min(DEEPEST, max(DEPTH, math.ceil(math.log2(max(1, rows) / LEAF))))
 
 
-def built(rows: DataFrame, kind: str, knn: DataFrame | None = None, b: int = 1) -> VectorIndex:
-    """An index over rows, all of which train; knn: their labels, by default those of near_labels."""
-    ix = VectorIndex(rows, kind, SEED)
-    return ix.build(train_of(rows), near_labels(rows, TRAIN_K, seed=SEED) if knn is None else knn, TREES, DEPTH, b=b)
+def built(rows: DataFrame, kind: str, knn: DataFrame, b: int = 1) -> VectorIndex:
+    """An index over rows, all of which train; knn: their labels."""
+    return VectorIndex(rows, kind, SEED).build(train_of(rows), knn, TREES, DEPTH, b=b)
+
+
+_labels: dict = {}
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact labels of all rows, searched once a session and directory."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _labels:
+        c = corpus(spark, sf_dir)
+        _labels[key] = exact.training_labels(c, train_of(c), TRAIN_K).persist(StorageLevel.MEMORY_AND_DISK)
+    return _labels[key]
 
 
 def index(spark: SparkSession, sf_dir: str, kind: str, b: int = 1) -> VectorIndex:
     """Built once a session, directory and kind: the queries on a model share it, as a caller's would."""
     key = (spark.sparkContext.applicationId, sf_dir, kind, b)
     if key not in _models:
-        _models[key] = built(corpus(spark, sf_dir), kind, b=b).persist()
+        _models[key] = built(corpus(spark, sf_dir), kind, labels(spark, sf_dir), b).persist()
     return _models[key]
 
 
@@ -176,10 +187,11 @@ def required(spark: SparkSession, sf_dir: str, kind: str) -> float:
 
 
 def forget() -> None:
-    """Frees the models kept for queries."""
+    """Frees the models and labels kept for queries."""
     _required.clear()
-    while _models:
-        _models.popitem()[1].unpersist()
+    for kept in (_models, _labels):
+        while kept:
+            kept.popitem()[1].unpersist()
 
 
 def rp_split_points(spark, sf_dir):
@@ -197,7 +209,7 @@ def rp_leaf_assignment(spark, sf_dir):
 
 def _counts(spark, sf_dir, kind="RP"):
     ix = index(spark, sf_dir, kind)
-    return votes.leaf_counts(forest.leaves_of(train_of(ix.corpus), "train_id", ix.forest, training=True), near_labels(ix.corpus, TRAIN_K, seed=SEED))
+    return votes.leaf_counts(forest.leaves_of(train_of(ix.corpus), "train_id", ix.forest, training=True), labels(spark, sf_dir))
 
 
 def leaf_votes_raw(spark, sf_dir):
@@ -307,7 +319,7 @@ def _roots(spark, sf_dir, work, schema):
     rows = corpus(spark, sf_dir)
     train = train_of(rows)
     f = forest.Forest("RF", TREES, DEPTH, DIM, forest.resolve_density("auto", DIM), 1, SEED)
-    sample = build.fit_sample(train, f, rows.count(), near_labels(rows, TRAIN_K, seed=SEED))
+    sample = build.fit_sample(train, f, rows.count(), labels(spark, sf_dir))
     return build.per_tree(spark, f, sample, work, schema)
 
 
