@@ -43,9 +43,13 @@ def fit_share(id_column: str, rows: int, wanted: int, seed: int) -> F.Column:
     return F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(1 << 40)) < int(wanted / rows * (1 << 40))
 
 
+def wanted_rows(fit_rows: int, dim: int) -> int:
+    return max(1, min(fit_rows, FIT_BYTES // (8 * dim)))
+
+
 def fit_sample(train: DataFrame, forest: Forest, n_train: int, knn: DataFrame | None = None, fit_rows: int = FIT_ROWS) -> Sample:
     """The rows that splits are placed by: `fit_rows` and FIT_BYTES at most, up to hashing."""
-    wanted = max(1, min(fit_rows, FIT_BYTES // (8 * forest.dim)))
+    wanted = wanted_rows(fit_rows, forest.dim)
     some = train.select(F.col("train_id").cast("long").alias("train_id"), "vec").filter(fit_share("train_id", n_train, wanted, forest.seed))
     if knn is not None:
         some = some.join(knn.select("train_id", F.array_distinct("labels").alias("labels")), "train_id", "left")

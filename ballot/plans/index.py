@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballot.functions.vectors import L2, Metric
-from ballot.operators.build import FIT_ROWS, grow
+from ballot.operators.build import FIT_ROWS, grow, wanted_rows
 from ballot.operators.evaluate import candidate_counts, votes_for_recall
 from ballot.operators.exact import exact_search
 from ballot.operators.forest import Forest, check_shape, leaves_of, resolve_density, routed
+from ballot.operators.passes import grow_by_passes
 from ballot.operators.rerank import rerank
 from ballot.operators.votes import elected, leaf_counts, leaf_votes, votes
 from ballot.sources.vectors import check_schema, check_vectors
@@ -43,19 +44,23 @@ class VectorIndex:
     def empty(self) -> bool:
         return self.forest is None or not self.forest.n_trees
 
-    def build(self, train: DataFrame, knn: DataFrame, n_trees: int, depth: int, density: float | str | None = "auto", b: int = 1, fit_rows: int = FIT_ROWS) -> VectorIndex:
+    def build(self, train: DataFrame, knn: DataFrame, n_trees: int, depth: int, density: float | str | None = "auto", b: int = 1, fit_rows: int | None = FIT_ROWS) -> VectorIndex:
         """train: (train_id, vec); knn: (train_id, labels), each row the ids of its nearest corpus rows.
 
         Splits are placed by about `fit_rows` training rows at most (and by 64 MB of them); all training rows
-        are routed, and all their labels counted.
+        are routed, and all their labels counted. With None all training rows place splits, by passes over them
+        where they are more than that.
         """
         if self.built:
             raise RuntimeError("this index is built already; make another for other parameters")
         density = resolve_density(density, self.dim)
         n_train, _ = check_vectors(train, "train", self.dim, "train_id")
-        check_shape(self.index_type, n_trees, depth, min(n_train, fit_rows))
+        check_shape(self.index_type, n_trees, depth, n_train if fit_rows is None else min(n_train, fit_rows))
         forest = Forest(self.index_type, n_trees, depth, self.dim, density, b, self.seed)
-        grow(train, forest, n_train, knn, fit_rows)
+        if fit_rows is None and n_train > wanted_rows(FIT_ROWS, self.dim):
+            grow_by_passes(train, forest, knn)
+        else:
+            grow(train, forest, n_train, knn, fit_rows or FIT_ROWS)
         counts = leaf_counts(leaves_of(train, "train_id", forest, training=True), knn)
         self.leaf_votes = leaf_votes(counts, b, n_trees if self.index_type == "RF" else None)
         self.forest = forest

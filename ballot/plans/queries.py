@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballot.functions.vectors import Metric, normalised
-from ballot.operators import build, evaluate, exact, forest, votes
+from ballot.operators import build, evaluate, exact, forest, passes, votes
 from ballot.operators.rerank import rerank
 from ballot.plans.index import VectorIndex
 from ballot.sources.vectors import read_vectors, shared_folder
@@ -151,7 +151,7 @@ def depth_of(rows: int) -> int:
 
 def built(rows: DataFrame, kind: str, knn: DataFrame, b: int = 1) -> VectorIndex:
     """An index over rows, all of which train; knn: their labels."""
-    return VectorIndex(rows, kind, SEED).build(train_of(rows), knn, TREES, DEPTH, b=b)
+    return VectorIndex(rows, kind, SEED).build(train_of(rows), knn, TREES, DEPTH, b=b, fit_rows=None)
 
 
 _labels: dict = {}
@@ -316,21 +316,18 @@ def ann_rp_empty_election(spark, sf_dir):
 
 def _roots(spark, sf_dir, work, schema):
     """What `work` yields for the rows that score each RF tree's root."""
-    rows = corpus(spark, sf_dir)
-    train = train_of(rows)
     f = forest.Forest("RF", TREES, DEPTH, DIM, forest.resolve_density("auto", DIM), 1, SEED)
-    sample = build.fit_sample(train, f, rows.count(), labels(spark, sf_dir))
-    return build.per_tree(spark, f, sample, work, schema)
 
+    def run(rows: pa.Table) -> pa.Table:
+        t = rows.column("tree")[0].as_py()
+        return pa.Table.from_batches(work(t, *passes.in_order(rows, DIM), build.tried_dims(f, t, 0)))
 
-def _root(t, f, s):
-    some = build.node_sample(s.ids, f.seed, t, 0)
-    return s.x[some], [s.labels[i] for i in some], build.tried_dims(f, t, 0)
+    found = passes.labelled_rows(train_of(corpus(spark, sf_dir)), f, labels(spark, sf_dir), 0)
+    return found.groupBy("tree", "node").applyInArrow(run, schema)
 
 
 def rf_root_gain(spark, sf_dir):
-    def work(t, f, s):
-        x, labels, dims = _root(t, f, s)
+    def work(t, x, labels, dims):
         for d in dims:
             order = x[:, d].argsort(kind="stable")
             at, gain, split = build.boundary_gains(x[order, d], [labels[j] for j in order])
@@ -340,8 +337,8 @@ def rf_root_gain(spark, sf_dir):
 
 
 def rf_root_split(spark, sf_dir):
-    def work(t, f, s):
-        found = build.best_split(*_root(t, f, s)) or (-1, 0.0)
+    def work(t, x, labels, dims):
+        found = build.best_split(x, labels, dims) or (-1, 0.0)
         yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([found[0]], pa.int32()), pa.array([round(found[1], 6)])], names=["tree", "dim", "split"])
 
     return _roots(spark, sf_dir, work, "tree int, dim int, split double")

@@ -265,3 +265,29 @@ def test_queries_of_another_dimension_and_no_numbers(spark, data):
         ix.leaves(q.withColumn("vec", F.slice("vec", 1, 5))).collect()
     with pytest.raises(ValueError):
         VectorIndex(c.withColumn("vec", F.transform("vec", lambda x: F.lit(float("nan")))), "RP")
+
+
+@pytest.mark.parametrize("kind", ["RP", "PCA", "RF"])
+def test_growing_by_passes_equals_growing_at_once(data, kind, monkeypatch):
+    """Rows beyond what tasks are sent all place splits."""
+    from ballot.plans import index as plans
+
+    c, train, knn, _ = data
+    want = VectorIndex(c, kind, 4).build(train, knn, 2, 3).forest
+    monkeypatch.setattr(plans, "FIT_ROWS", 100)
+    got = VectorIndex(c, kind, 4).build(train, knn, 2, 3, fit_rows=None).forest
+    assert np.allclose(got.splits, want.splits, rtol=0, atol=1e-8)
+    if kind == "RF":
+        assert (got.split_dims == want.split_dims).all()
+    else:
+        assert (got.cut_id == want.cut_id).all()
+
+
+def test_medians_of_equal_values_by_passes(spark):
+    from ballot.operators import passes
+
+    rows = [(2**62 - i, [float(i % 3 == 0)] * 2) for i in range(90)] + [(-(2**62) - i, [2.0, 2.0]) for i in range(30)]
+    train = spark.createDataFrame(rows, "train_id long, vec array<double>").repartition(3)
+    at_once = build.grow(train, Forest("RP", 2, 3, 2, 1.0, 1, 1), len(rows))
+    got = passes.grow_by_passes(train, Forest("RP", 2, 3, 2, 1.0, 1, 1))
+    assert np.allclose(got.splits, at_once.splits) and (got.cut_id == at_once.cut_id).all()
