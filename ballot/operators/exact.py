@@ -2,8 +2,9 @@
 
 Two plans with the same result. `expressions` stays in the JVM and suits few rows. `kernel` works on blocks
 as matrices: queries of bounded size are sent to the tasks that scan the corpus, and each task's best k a
-query are shuffled; more queries than that meet the corpus block by block in the cells of a grid. What is
-left is ranked. Ties go to the lower id.
+query are shuffled; a corpus of bounded size is sent to the tasks that read more queries than that; where
+both are larger they meet block by block in the cells of a grid. What is left is ranked. Ties go to the
+lower id.
 """
 
 from __future__ import annotations
@@ -62,20 +63,26 @@ def padded(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return out.select("qid", "rank", F.coalesce("id", F.lit(-1)).cast("long").alias("id"), F.coalesce("distance", F.lit(-1.0)).alias("distance"))
 
 
-def best_of(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: Metric, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, key) of each query's k nearest rows of c, but those beyond `most`, its k-th key so far; ties at the end are all kept."""
+def best_of(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: Metric, most: np.ndarray | None = None, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, key) of each query's k nearest rows of c, but those beyond `most`, its k-th key so far; ties at the end are all kept.
+
+    among: [query, row], the pairs to choose from.
+    """
     product = q @ c.T
     if metric is L2:
         near = (q * q).sum(axis=1)[:, None] - 2 * product + (c * c).sum(axis=1)[None, :]
     else:
         near = -product
+    if among is not None:
+        near[~among] = np.inf
     if near.shape[1] > k or most is not None:
         cut = np.partition(near, k - 1, axis=1)[:, k - 1] if most is None else most
         # The product form is off by some ulps of the norms; whatever may belong to the k is measured directly.
         room = 1e-9 * (1 + np.abs(q).sum(axis=1) * np.abs(c).max(initial=1.0) + np.abs(cut, where=np.isfinite(cut), out=np.zeros_like(cut)))
-        row, col = np.nonzero(near <= (cut + room)[:, None])
+        kept = near <= (cut + room)[:, None]
+        row, col = np.nonzero(kept if among is None else kept & among)
     else:
-        row, col = np.nonzero(np.ones_like(near, bool))
+        row, col = np.nonzero(np.ones_like(near, bool) if among is None else among)
     a, b = q[row], c[col]
     key = ((a - b) ** 2).sum(axis=1) if metric is L2 else -(a * b).sum(axis=1)
     return row, ids[col], key
@@ -90,8 +97,8 @@ def trimmed(row: np.ndarray, ids: np.ndarray, key: np.ndarray, k: int) -> tuple[
     return row[keep], ids[keep], key[keep]
 
 
-def best_rows(qids: np.ndarray, q: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray]], k: int, metric: Metric) -> Iterator[pa.RecordBatch]:
-    """(qid, id, key): the k nearest rows of each query among all parts (ids, vectors)."""
+def best_among(q: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray]], k: int, metric: Metric) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, key), in order: the k nearest rows of each query among all parts (ids, vectors)."""
     held, most = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), None
     for ids, c in parts:
         for lo in range(0, len(c), 4096):
@@ -103,7 +110,12 @@ def best_rows(qids: np.ndarray, q: np.ndarray, parts: Iterator[tuple[np.ndarray,
             if len(held[0]) > 1.5 * k * len(q) or most is None:
                 held = trimmed(*held, k)
                 most = held[2][k - 1 :: k] if len(held[0]) == k * len(q) else None
-    row, found, key = trimmed(*held, k)
+    return trimmed(*held, k)
+
+
+def best_rows(qids: np.ndarray, q: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray]], k: int, metric: Metric) -> Iterator[pa.RecordBatch]:
+    """best_among as rows of KEYS."""
+    row, found, key = best_among(q, parts, k, metric)
     if len(row):
         yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(found), pa.array(key)], names=["qid", "id", "key"])
 
@@ -111,11 +123,15 @@ def best_rows(qids: np.ndarray, q: np.ndarray, parts: Iterator[tuple[np.ndarray,
 KEYS = "qid long, id long, key double"
 
 
+def as_matrix(df: DataFrame, id_column: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of a frame of bounded size."""
+    got = df.select(F.col(id_column).cast("long").alias("id"), "vec").toArrow().combine_chunks()
+    return got.column("id").to_numpy(), matrix(pa.concat_arrays(got.column("vec").chunks), dim) if got.num_rows else np.zeros((0, dim))
+
+
 def kernel_keys(corpus: DataFrame, queries: DataFrame, dim: int, k: int, metric: Metric) -> DataFrame:
     """The k nearest of each task's part of the corpus, for few enough queries to be sent to all tasks."""
-    got = queries.select(F.col("qid").cast("long").alias("qid"), "vec").toArrow().combine_chunks()
-    vecs = pa.concat_arrays(got.column("vec").chunks) if got.num_rows else None
-    shared = corpus.sparkSession.sparkContext.broadcast((got.column("qid").to_numpy(), matrix(vecs, dim) if got.num_rows else np.zeros((0, dim))))
+    shared = corpus.sparkSession.sparkContext.broadcast(as_matrix(queries, "qid", dim))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = shared.value
@@ -124,6 +140,50 @@ def kernel_keys(corpus: DataFrame, queries: DataFrame, dim: int, k: int, metric:
     return corpus.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(run, KEYS)
 
 
+def sent_whole(corpus: DataFrame, dim: int, query_bytes: int | None = None) -> bool:
+    """Whether the corpus may be sent to all tasks: up to 64 MB, twice what queries may have."""
+    return size_of(corpus)[0] * dim * 8 <= 2 * min(QUERY_BYTES if query_bytes is None else query_bytes, QUERY_BYTES)
+
+
+def dealt(queries: DataFrame) -> DataFrame:
+    """(qid, vec) in even parts, several a core."""
+    return queries.select(F.col("qid").cast("long").alias("qid"), "vec").repartition(queries.sparkSession.sparkContext.defaultParallelism * 4, "qid")
+
+
+def some_queries(b: pa.RecordBatch, dim: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(qids, vectors) of as many queries at a time as have BEST_ROWS nearest."""
+    step = max(1, BEST_ROWS // k)
+    for lo in range(0, b.num_rows, step):
+        part = b.slice(lo, step)
+        yield part.column(0).to_numpy(), matrix(part.column(1), dim)
+
+
+def scan_keys(corpus: DataFrame, queries: DataFrame, dim: int, k: int, metric: Metric) -> DataFrame:
+    """The k nearest rows of a corpus that is small enough to be sent to all tasks, for any number of queries; nothing else is shuffled."""
+    shared = corpus.sparkSession.sparkContext.broadcast(as_matrix(corpus, "id", dim))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for qids, q in some_queries(b, dim, k):
+                yield from best_rows(qids, q, iter([shared.value]), k, metric)
+
+    return dealt(queries).mapInArrow(run, KEYS)
+
+
+def scan_labels(corpus: DataFrame, train: DataFrame, dim: int, k: int, metric: Metric) -> DataFrame:
+    """training_labels of scan_keys: a task has all of a row's nearest, in order."""
+    shared = corpus.sparkSession.sparkContext.broadcast(as_matrix(corpus, "id", dim))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for qids, q in some_queries(b, dim, k):
+                row, found, _ = best_among(q, iter([shared.value]), k, metric)
+                ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(q)))].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(qids), pa.ListArray.from_arrays(ends, pa.array(found))], names=["train_id", "labels"])
+
+    return dealt(train.withColumnRenamed("train_id", "qid")).mapInArrow(run, "train_id long, labels array<long>")
+
+
 def packed(df: DataFrame, id_column: str, dim: int, rows: int) -> DataFrame:
     """(block, ids, vecs): blocks of up to `rows` rows as little-endian bytes; block: a number to deal them by."""
 
@@ -180,6 +240,8 @@ def exact_keys(corpus: DataFrame, queries: DataFrame, k: int, metric: Metric | s
     n, dim = size_of(queries)
     if n * dim * 8 <= query_bytes and n * k <= BEST_ROWS:
         return kernel_keys(corpus, queries, dim, k, metric)
+    if sent_whole(corpus, dim, query_bytes):
+        return scan_keys(corpus, queries, dim, k, metric)
     return grid_keys(corpus, queries, n, dim, k, metric)
 
 
@@ -207,5 +269,11 @@ def folded(found: DataFrame) -> DataFrame:
 def training_labels(corpus: DataFrame, train: DataFrame, k: int, metric: Metric | str = L2) -> DataFrame:
     """(train_id, labels): the ids of each training vector's k nearest corpus rows."""
     queries = train.select(F.col("train_id").alias("qid"), "vec")
+    n, dim = size_of(queries)
+    if n * k > BEST_ROWS and sent_whole(corpus, dim):
+        check_k(k)
+        check_schema(corpus, "corpus")
+        check_schema(train, "train", "train_id")
+        return scan_labels(corpus, train, dim, k, Metric.of(metric))
     found = exact_search(corpus, queries, k, metric, return_distances=False, pad=False)
     return folded(found).select(F.col("qid").alias("train_id"), F.col("ids").alias("labels"))

@@ -37,6 +37,12 @@ def votes(query_leaves: DataFrame, leaf_votes: DataFrame) -> DataFrame:
     return query_leaves.join(leaf_votes, ["tree", "leaf"]).groupBy("qid", "label").agg(F.sum("vote").alias("votes"))
 
 
+def votes_of(pairs: DataFrame, query_leaves: DataFrame, leaf_votes: DataFrame, few: bool = False) -> DataFrame:
+    """votes of the stated pairs (qid, id) alone; `few`: they may be sent to all tasks, once a tree."""
+    met = pairs.select("qid", F.col("id").alias("label")).join(query_leaves, "qid")
+    return leaf_votes.join(F.broadcast(met) if few else met, ["tree", "leaf", "label"]).groupBy("qid", "label").agg(F.sum("vote").alias("votes"))
+
+
 def elected(summed: DataFrame, votes_required: float) -> DataFrame:
     """Labels with the votes required; at 0 or less every label met."""
     return summed.filter(F.col("votes") >= votes_required - ROOM)

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from ballot.functions.vectors import L2, Metric
 from ballot.operators.build import FIT_ROWS, grow, wanted_rows
 from ballot.operators.evaluate import candidate_counts, votes_for_recall
-from ballot.operators.exact import exact_search
+from ballot.operators.exact import QUERY_BYTES, check_k, exact_search, padded, ranked, size_of
 from ballot.operators.forest import Forest, check_shape, leaves_of, resolve_density, routed
 from ballot.operators.passes import grow_by_passes
-from ballot.operators.rerank import rerank
-from ballot.operators.votes import elected, leaf_counts, leaf_votes, votes
+from ballot.operators.rerank import elected_keys, rerank, searched_at_once
+from ballot.operators.votes import elected, leaf_counts, leaf_votes, votes, votes_of
 from ballot.sources.vectors import check_schema, check_vectors
 
 KINDS = ("RP", "PCA", "RF")
+AT_ONCE = 4  # times FIT_ROWS: rows, of 64 MB at most, that all place splits without passes
 
 
 class VectorIndex:
@@ -49,7 +50,7 @@ class VectorIndex:
 
         Splits are placed by about `fit_rows` training rows at most (and by 64 MB of them); all training rows
         are routed, and all their labels counted. With None all training rows place splits, by passes over them
-        where they are more than that.
+        where they are more than 64 MB or four times FIT_ROWS.
         """
         if self.built:
             raise RuntimeError("this index is built already; make another for other parameters")
@@ -57,10 +58,10 @@ class VectorIndex:
         n_train, _ = check_vectors(train, "train", self.dim, "train_id")
         check_shape(self.index_type, n_trees, depth, n_train if fit_rows is None else min(n_train, fit_rows))
         forest = Forest(self.index_type, n_trees, depth, self.dim, density, b, self.seed)
-        if fit_rows is None and n_train > wanted_rows(FIT_ROWS, self.dim):
+        if fit_rows is None and n_train > wanted_rows(AT_ONCE * FIT_ROWS, self.dim):
             grow_by_passes(train, forest, knn)
         else:
-            grow(train, forest, n_train, knn, fit_rows or FIT_ROWS)
+            grow(train, forest, n_train, knn, n_train if fit_rows is None else fit_rows)
         counts = leaf_counts(leaves_of(train, "train_id", forest, training=True), knn)
         self.leaf_votes = leaf_votes(counts, b, n_trees if self.index_type == "RF" else None)
         self.forest = forest
@@ -100,11 +101,27 @@ class VectorIndex:
 
     def votes_for_recall(self, queries: DataFrame, k: int, target: float = 0.9, dist: Metric | str = L2) -> float:
         """A votes_required that elects a share `target` of these queries' exact neighbours; a sample of queries will do."""
-        return votes_for_recall(self.votes(queries), self.exact_search(queries, k, dist), target)
+        exact = self.exact_search(queries, k, dist).filter("id >= 0").persist()
+        try:
+            few = size_of(queries)[0] * k * self.forest.n_trees * 32 <= QUERY_BYTES
+            return votes_for_recall(votes_of(exact, self.leaves(queries), self.leaf_votes, few), exact, target)
+        finally:
+            exact.unpersist()
 
-    def ann(self, queries: DataFrame, k: int, votes_required: float, dist: Metric | str = L2, return_distances: bool = False) -> DataFrame:
-        """(qid, rank, id[, distance]): the k nearest of the rows that get the votes, -1 where there are fewer."""
-        return rerank(self.candidates(queries, votes_required), self.corpus, queries, k, dist, return_distances)
+    def ann(self, queries: DataFrame, k: int, votes_required: float, dist: Metric | str = L2, return_distances: bool = False, vectors: DataFrame | None = None) -> DataFrame:
+        """(qid, rank, id[, distance]): the k nearest of the rows that get the votes, -1 where there are fewer.
+
+        vectors: (id, vec) to rank them by, if not by the corpus's own.
+        """
+        self._ready()
+        check_k(k)
+        check_schema(queries, "queries", "qid")
+        vectors = self.corpus if vectors is None else vectors
+        if not searched_at_once(size_of(queries)[0], self.dim, k):
+            return rerank(self.candidates(queries, votes_required), vectors, queries, k, dist, return_distances)
+        keys = elected_keys(self.leaf_votes, self.forest, vectors, self.n_corpus, queries, votes_required, k, dist)
+        out = padded(ranked(keys, k, dist), queries, k)
+        return out if return_distances else out.drop("distance")
 
     def exact_search(self, queries: DataFrame, k: int, dist: Metric | str = L2, return_distances: bool = False) -> DataFrame:
         return exact_search(self.corpus, queries, k, dist, return_distances)

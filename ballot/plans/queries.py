@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ballot.functions.vectors import Metric, normalised
 from ballot.operators import build, evaluate, exact, forest, passes, votes
-from ballot.operators.rerank import rerank
 from ballot.plans.index import VectorIndex
 from ballot.sources.vectors import read_vectors, shared_folder
 
@@ -273,7 +272,7 @@ def _ann_ip(spark, sf_dir, kind):
     """Candidates by the index, ranked by the inner product with stretched vectors."""
     ix = index(spark, sf_dir, kind)
     q = queries_of(ix.corpus)
-    return shown(rerank(ix.candidates(q, required(spark, sf_dir, kind)), stretched(ix.corpus), q, K, "ip"))
+    return shown(ix.ann(q, K, required(spark, sf_dir, kind), "ip", return_distances=True, vectors=stretched(ix.corpus)))
 
 
 def ann_rp_ip(spark, sf_dir):

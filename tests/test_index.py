@@ -291,3 +291,72 @@ def test_medians_of_equal_values_by_passes(spark):
     at_once = build.grow(train, Forest("RP", 2, 3, 2, 1.0, 1, 1), len(rows))
     got = passes.grow_by_passes(train, Forest("RP", 2, 3, 2, 1.0, 1, 1))
     assert np.allclose(got.splits, at_once.splits) and (got.cut_id == at_once.cut_id).all()
+
+
+def searched(df):
+    return sorted((r.qid, r["rank"], r.id, round(r.distance, 9)) for r in df.collect())
+
+
+@pytest.mark.parametrize("dist", ["l2", "ip"])
+def test_search_lists_no_pairs(data, index, dist, monkeypatch):
+    """Votes and candidates are made in the shards of the corpus; the plan by pairs of a query and a label has the same results."""
+    from ballot.operators import rerank
+    from ballot.operators.evaluate import votes_for_recall
+
+    c, _, _, q = data
+    vectors = c.select((F.col("id") + 0).alias("id"), F.transform("vec", lambda x: x * (1 + F.col("id") % 7)).alias("vec"))
+    required = votes_for_recall(index.votes(q), index.exact_search(q, 5), 0.9)
+    for least in (0.0, required, 1e9):
+        want = searched(rerank.rerank(index.candidates(q, least), vectors, q, 5, dist))
+        with monkeypatch.context() as m:
+            m.setattr(rerank, "SHARD_ROWS", 37)
+            m.setattr(VectorIndex, "votes", None)
+            assert searched(index.ann(q, 5, least, dist, True, vectors=vectors)) == want
+            assert index.votes_for_recall(q, 5, 0.9) == pytest.approx(required, abs=1e-12)
+
+
+def test_search_of_parts_of_the_queries(data, index, monkeypatch):
+    from ballot.operators import rerank
+
+    want = searched(index.ann(data[3], 5, 0.0, return_distances=True))
+    monkeypatch.setattr(rerank, "CELLS", rerank.SHARD_ROWS * 3)
+    assert searched(index.ann(data[3], 5, 0.0, return_distances=True)) == want
+    monkeypatch.setattr(rerank, "QUERY_BYTES", 0)
+    assert searched(index.ann(data[3], 5, 0.0, return_distances=True)) == want
+
+
+def test_search_of_repeated_rows_and_labels_that_are_no_rows(data, index):
+    """A row that is there twice is found twice; labels that are no rows of the corpus drop out."""
+    from ballot.operators.rerank import rerank
+
+    c, _, _, q = data
+    some = c.filter("id % 3 > 0").unionAll(c.filter("id % 5 = 1"))
+    assert searched(index.ann(q, 20, 0.0, return_distances=True, vectors=some)) == searched(rerank(index.candidates(q, 0.0), some, q, 20))
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_labels_of_many_rows_meet_no_grid(data, metric, monkeypatch):
+    from ballot.operators import exact
+
+    c, train, _, _ = data
+    want = {r.train_id: r.labels for r in training_labels(c, train, 20, metric).collect()}
+    monkeypatch.setattr(exact, "BEST_ROWS", 20 * 7)
+    monkeypatch.setattr(exact, "grid_keys", None)
+    assert {r.train_id: r.labels for r in training_labels(c, train, 20, metric).collect()} == want
+    few = c.filter("id < 13")
+    queries = train.withColumnRenamed("train_id", "qid")
+    assert all(len(r.labels) == 13 for r in training_labels(few, train, 20, metric).collect())
+    keys = exact.ranked(exact.exact_keys(c, queries, 20, metric), 20, metric).filter("rank <= 20")
+    assert {(r.qid, r.id) for r in keys.collect()} == {(t, i) for t, ids in want.items() for i in ids}
+
+
+@pytest.mark.parametrize("kind", ["RP", "PCA", "RF"])
+def test_all_rows_place_splits_at_once_where_they_are_few_enough(data, kind, monkeypatch):
+    from ballot.plans import index as plans
+
+    c, train, knn, _ = data
+    want = VectorIndex(c, kind, 4).build(train, knn, 2, 3).forest
+    monkeypatch.setattr(plans, "FIT_ROWS", 200)
+    monkeypatch.setattr(plans, "grow_by_passes", None)
+    got = VectorIndex(c, kind, 4).build(train, knn, 2, 3, fit_rows=None).forest
+    assert (got.splits == want.splits).all()
