@@ -8,7 +8,8 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__
-from ballot.plans.queries import NAMES
+from ballot.plans.index import VectorIndex
+from ballot.plans.queries import NAMES, forget
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +61,16 @@ def test_index_query_equals_its_sql_on_a_larger_table(spark, larger, name):
     con.sql(f"create view embeddings as select * from '{larger}/embeddings.parquet'")
     got = __spark_entry__.queries()[name](spark, larger).toPandas()
     assert rows(got) == rows(con.sql(__spark_entry__.oracle_sql()[name]).df())
+
+
+#: Queries that search by the index.
+SEARCHED = ["recall_at_k"]
+
+
+@pytest.mark.parametrize("name", SEARCHED)
+def test_search_lists_no_votes_of_all_pairs(spark, name, monkeypatch):
+    forget()
+    want = rows(__spark_entry__.queries()[name](spark, SF).toPandas())
+    forget()
+    monkeypatch.setattr(VectorIndex, "votes", None)
+    assert rows(__spark_entry__.queries()[name](spark, SF).toPandas()) == want
