@@ -64,7 +64,7 @@ def test_index_query_equals_its_sql_on_a_larger_table(spark, larger, name):
 
 
 #: Queries that search by the index.
-SEARCHED = ["recall_at_k"]
+SEARCHED = ["recall_at_k", "ann_reloaded"]
 
 
 @pytest.mark.parametrize("name", SEARCHED)
