@@ -64,7 +64,7 @@ def test_index_query_equals_its_sql_on_a_larger_table(spark, larger, name):
 
 
 #: Queries that search by the index.
-SEARCHED = ["recall_at_k", "ann_reloaded", "ann_rf_l2", "recall_at_k_rf"]
+SEARCHED = ["recall_at_k", "ann_reloaded", "ann_rf_l2", "recall_at_k_rf", "ann_pca_ip"]
 
 
 @pytest.mark.parametrize("name", SEARCHED)
